@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import simhash
+from . import mixing, quality, rules, secrets, simhash
 
 
 def queries() -> dict[str, Callable]:
-    return {"op9_simhash": simhash.op9_simhash}
+    return {
+        "op3_quality": quality.op3_quality,
+        "op4_rules": rules.op4_rules,
+        "op5_mixing": mixing.op5_mixing,
+        "op8_secrets": secrets.op8_secrets,
+        "op9_simhash": simhash.op9_simhash,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
