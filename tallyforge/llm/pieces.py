@@ -8,18 +8,19 @@ models keep their scores; for models of merges the ranks of all splits follow fr
 from __future__ import annotations
 
 import os
+import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import AddedToken, Regex, Tokenizer, decoders, normalizers, pre_tokenizers
+from sentencepiece import SentencePieceProcessor
+from tokenizers import AddedToken, Regex, Tokenizer, decoders, normalizers
 from tokenizers.models import BPE, Unigram
 
-from .common import materialise
-
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Kinds of pieces and of models in the file format.
@@ -125,9 +126,6 @@ def build(model: Model) -> Tokenizer:
     if model.dummy_prefix:
         rules.append(normalizers.Prepend(SPACE))
     out.normalizer = normalizers.Sequence([*rules, normalizers.Replace(" ", SPACE)])
-    # no piece goes on past the start of a word: words can be encoded apart
-    if model.kind == BPE_MODEL and not any(SPACE in p.lstrip(SPACE) for p, _, kind in model.pieces if kind in (NORMAL, USER)):
-        out.pre_tokenizer = pre_tokenizers.Split(Regex(f"{SPACE}*[^{SPACE}]+|{SPACE}+"), "isolated")
     users = [AddedToken(p, normalized=True, special=False) for p, _, kind in model.pieces if kind == USER]
     if users:
         out.add_tokens(users)
@@ -135,3 +133,111 @@ def build(model: Model) -> Tokenizer:
     out.decoder = decoders.Sequence([decoders.Replace(SPACE, " "), decoders.ByteFallback(), decoders.Fuse(), *strip])
     out.encode_special_tokens = True
     return out
+
+
+class Codec:
+    """Encodes and decodes batches, and holds them against the model's own library."""
+
+    def __init__(self, data: bytes, threads: int = 2) -> None:
+        os.environ["RAYON_NUM_THREADS"], os.environ["TOKENIZERS_PARALLELISM"] = str(threads), "true"
+        self.model = parse(data)
+        self.tokenizer = build(self.model)
+        self.own = SentencePieceProcessor(model_proto=data)
+        self.threads = threads
+        # where no piece goes on past the start of a word, a text may be cut there
+        self.cuts = self.model.dummy_prefix and not self.model.squeeze and not self.model.charsmap and not any(SPACE in p.lstrip(SPACE) for p, _, kind in self.model.pieces if kind in (NORMAL, USER))
+
+    def parts(self, text: str, most: int = 1 << 16) -> list[str]:
+        """A long text in parts that encode as the whole does: each later part loses the one space that the marker stands for."""
+        if not self.cuts or len(text) <= most:
+            return [text]
+        out, start = [], 0
+        while len(text) - start > most:
+            found = re.compile(f"(?<=[^ {SPACE}]) (?=.)", re.S).search(text, start + most)
+            if not found:
+                break
+            out.append(text[start : found.start()])
+            start = found.end()
+        return [*out, text[start:]]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        cut = [self.parts(t) for t in texts]
+        flat = [p for parts in cut for p in parts]
+        ids = [np.array(e.ids, dtype=np.int32) for e in self.tokenizer.encode_batch_fast(flat, add_special_tokens=False)]
+        ends = np.cumsum([len(parts) for parts in cut])
+        return [ids[e - len(parts)] if len(parts) == 1 else np.concatenate(ids[e - len(parts) : e]) for e, parts in zip(ends, cut)]
+
+    def decode(self, ids: list[list[int]]) -> list[str]:
+        return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+
+    def reference(self, texts: list[str]) -> list[list[int]]:
+        return self.own.encode(texts, num_threads=self.threads)
+
+
+_CODECS: dict[bytes, Codec] = {}
+
+
+def codec(data: bytes, threads: int) -> Codec:
+    """One codec per worker and model."""
+    if data not in _CODECS:
+        _CODECS[data] = Codec(data, threads)
+    return _CODECS[data]
+
+
+def _slices(sizes: list[int], most: int) -> Iterator[slice]:
+    start = total = 0
+    for i, size in enumerate(sizes):
+        if i > start and total + size > most:
+            yield slice(start, i)
+            start, total = i, 0
+        total += size
+    yield slice(start, len(sizes))
+
+
+def encode(docs: DataFrame, model: str = MODEL, threads: int = 2, batch_chars: int = 1 << 20) -> DataFrame:
+    """doc_id, n_tokens, ids, parity (the model's own library gives the same ids) and round_trip (decoding gives the text
+    back, markers as spaces) for every row of `docs`.
+
+    The whole text is encoded, in calls of about `batch_chars` characters. Null and empty texts have no ids; both checks
+    hold for them. A null doc_id is carried along, repeated rows are encoded each, an empty table gives no rows, other
+    columns are ignored. The driver reads the model file and sends it to the executors (a vocabulary: under 5 MB).
+    """
+    with open(model, "rb") as file:
+        data = file.read()
+    if len(data) > 5_000_000:
+        raise ValueError("the model file is larger than a vocabulary should be")
+    sent = docs.sparkSession.sparkContext.broadcast(data)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(sent.value, threads)
+        for batch in batches:
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for at in _slices([len(t) for t in texts], batch_chars):
+                part = texts[at]
+                ids = own.encode(part)
+                parity = [a.tolist() == b for a, b in zip(ids, own.reference(part))]
+                back = own.decode([a.tolist() for a in ids])
+                same = [a == (b.replace(SPACE, " ") if SPACE in b else b) for a, b in zip(back, part)]
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate(ids) if ids else [], pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at.start, len(part)), pa.array([len(a) for a in ids], pa.int32()), lists, pa.array(parity), pa.array(same)], ["doc_id", "n_tokens", "ids", "parity", "round_trip"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens int, ids array<int>, parity boolean, round_trip boolean")
+
+
+def decode(encoded: DataFrame, model: str = MODEL, threads: int = 2) -> DataFrame:
+    """doc_id and text of every row of `encoded` (doc_id, ids); null ids give a null text."""
+    with open(model, "rb") as file:
+        sent = encoded.sparkSession.sparkContext.broadcast(file.read())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(sent.value, threads)
+        for batch in batches:
+            ids = batch.column(1).to_pylist()
+            texts = own.decode([i or [] for i in ids])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if i is None else t for i, t in zip(ids, texts)], pa.string())], ["doc_id", "text"])
+
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text string")
+
+
+def op2_sentencepiece(spark, sf_dir: str) -> DataFrame:
+    return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"))
