@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import mixing, pieces, quality, rules, secrets, simhash, suffixes
+from . import langid, mixing, pieces, quality, rules, secrets, simhash, suffixes, vectors
 
 
 def queries() -> dict[str, Callable]:
     return {
+        "op1_vectors": vectors.op1_vectors,
         "op2_sentencepiece": pieces.op2_sentencepiece,
         "op3_quality": quality.op3_quality,
         "op4_rules": rules.op4_rules,
         "op5_mixing": mixing.op5_mixing,
+        "op6_langid": langid.op6_langid,
         "op7_suffixes": suffixes.op7_suffixes,
         "op8_secrets": secrets.op8_secrets,
         "op9_simhash": simhash.op9_simhash,
