@@ -1,3 +1,59 @@
-STAGES = []
+"""The corpus pipeline: quality classifier, SimHash near-dedup, secret scans, mixing to target weights, SentencePiece.
+
+Each stage reads all that its predecessor kept, written as Parquet in between. The first four return the columns of
+documents; the last returns the token ids. SQL can express neither the classifier nor the hashes: the tests hold the
+stages against brute force, so ORACLE_SQL is None.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tallyforge.llm import mixing, pieces, quality, secrets, simhash
+from tallyforge.llm.common import materialise
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, fitted on the labels of the corpus, doesn't reject."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each group of near copies."""
+    return simhash.keep_one(docs)
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets replaced by a mark."""
+    return secrets.redact(docs)
+
+
+def in_proportion(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Whole documents, as often as the mix takes them."""
+    return mixing.mix_documents(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids, parity and round_trip."""
+    return pieces.encode(docs)
+
+
+STAGES = [
+    ("quality classifier", good_quality),
+    ("SimHash near-dedup", one_of_each),
+    ("secret scans", without_secrets),
+    ("mixing sources to target weights", in_proportion),
+    ("SentencePiece encoding and decoding", tokens),
+]
+
 ORACLE_SQL = None
-def run(spark, sf_dir): ...
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to documents, each written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs, _ = materialise(docs, f"stage{k}")
+    return docs

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import langid, mixing, pieces, quality, rules, secrets, simhash, suffixes, vectors
+from . import html, langid, mixing, pieces, quality, rules, secrets, simhash, suffixes, vectors
 
 
 def queries() -> dict[str, Callable]:
     return {
+        "op10_html": html.op10_html,
         "op1_vectors": vectors.op1_vectors,
         "op2_sentencepiece": pieces.op2_sentencepiece,
         "op3_quality": quality.op3_quality,

@@ -1,6 +1,6 @@
 """Embedding near-duplicates by a flat graph with robust pruning.
 
-A bounded sample gives cluster centres; each vector goes to the clusters of its two nearest centres, so that clusters
+A bounded sample gives cluster centres; each vector goes to the clusters of its three nearest centres, so that clusters
 overlap. Every cluster builds a graph of its own: near neighbours thinned by the robust rule (a neighbour is dropped
 if one kept already is nearer to it by a factor alpha). The adjacency lists of a vector are united over its clusters.
 A search starts at a cluster's medoids and at the vector's own list, goes greedily on with a beam, and then expands
@@ -207,7 +207,7 @@ def _links_once(reps: DataFrame, least: float, cells: int, cell_rows: int, block
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         x = units(pdf["vector"].tolist())
         reps = pdf["rep"].to_numpy()
-        lists = with_reverse(robust_lists(x, degree, 2 * degree, alpha), x, degree)
+        lists = with_reverse(robust_lists(x, degree, 10 * degree, alpha), x, degree)
         return pd.DataFrame({"rep": reps, "list": [reps[own] for own in lists]})
 
     key = ["dim", "cell", "low", "high"]
@@ -277,7 +277,7 @@ def recall(reps: DataFrame, found: DataFrame, least: float, queries: int = 512)
     return sum(r["links"] for r in rows) / true if true else 1.0
 
 
-def near_duplicates(table: DataFrame, least: float = 0.95, cell_rows: int = 1500, block_rows: int = 3000, sample_rows: int = 16384, degree: int = 24, alpha: float = 1.2) -> DataFrame:
+def near_duplicates(table: DataFrame, least: float = 0.95, cell_rows: int = 1500, block_rows: int = 6000, sample_rows: int = 16384, degree: int = 20, alpha: float = 1.2) -> DataFrame:
     """vec_id, n_links, component_id, kept and audit_recall for every row of table(vec_id, embedding).
 
     Links join vectors of cosine `least` or more, in double precision. Vectors that are null, empty or zero, or that
@@ -292,11 +292,11 @@ def near_duplicates(table: DataFrame, least: float = 0.95, cell_rows: int = 1500
     rows = rows.withColumn("ok", F.coalesce(~bad & F.col("vec_id").isNotNull(), F.lit(False)))
     reps = rows.where("ok").groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).withColumn("dim", F.size("vector"))
     reps, _ = materialise(reps, "vec-reps")
-    for cells, beam in ((2, 16), (3, 48), (6, 128)):
+    for cells, beam in ((3, 16), (6, 48), (12, 128)):
         parts, _ = materialise(_links_once(reps, least, cells, cell_rows, block_rows, sample_rows, degree, beam, alpha), "vec-links")
         links = parts.groupBy("rep").agg(F.sum("links").alias("links"))
         share = recall(reps, links, least)
-        if share >= 0.95:
+        if share >= 0.99:
             break
     components = connected_components(parts.select(F.col("rep").alias("src"), F.col("root").alias("dst"))).withColumnRenamed("node", "rep")
     known = reps.join(links, "rep", "left").join(components, "rep", "left")
