@@ -74,16 +74,24 @@ def _parts(fmt: str) -> list[str]:
     return out
 
 
-def strict(x: Column, fmt: str) -> Column:
-    """The date that the whole text gives in one format, within the years 1990 to 2100; else null."""
+def _read(s: Column, fmt: str) -> Column:
     fmt = _spread(fmt)
-    s = canonical(x)
     if "%y" in fmt:
         s = _full_year(s, fmt)
     day = F.try_to_timestamp(s, F.lit(java_format(fmt))).cast("date")
     return F.when(F.year(day).between(YEAR_MIN, YEAR_MAX), day)
 
 
+def strict(x: Column, fmt: str) -> Column:
+    """The date that the whole text gives in one format, within the years 1990 to 2100; else null."""
+    return _read(canonical(x), fmt)
+
+
+def _once(x: Column, f) -> Column:
+    """f of a value that is worked out once, however often f uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def parse(x: Column, fmt: str) -> Column:
     """ISO text of a printed date, null where it can't be read."""
     return F.when(trim_ws(x) != "", F.date_format(strict(x, fmt), "yyyy-MM-dd"))
@@ -91,7 +99,7 @@ def parse(x: Column, fmt: str) -> Column:
 
 def first_format(x: Column, formats: Sequence[str]) -> Column:
     """The first of the formats that fits; for one value. See `column_format` for a whole column."""
-    return F.coalesce(*(strict(x, f) for f in formats))
+    return _once(canonical(x), lambda s: F.coalesce(*(_read(s, f) for f in formats)))
 
 
 def tolerant(x: Column) -> Column:
@@ -106,9 +114,14 @@ def column_format(x: Column, formats: Sequence[str]) -> Column:
     """Aggregate: the first format that reads every filled cell of a group, null if none does. One format needs no proof."""
     if len(formats) == 1:
         return F.first(F.lit(formats[0]))
-    filled = F.coalesce(trim_ws(x) != "", F.lit(False))
-    fits = [F.coalesce(F.bool_and(F.when(filled, strict(x, f).isNotNull())), F.lit(True)) for f in formats]
-    return F.coalesce(*(F.when(ok, F.lit(f)) for ok, f in zip(fits, formats)))
+    return fitting(x, formats)
+
+
+def fitting(x: Column, formats: Sequence[str], unless_empty: bool = False) -> Column:
+    """Aggregate: the first format that fits all filled cells. Without a filled cell: the first, or null with `unless_empty`."""
+    fits = F.when(F.coalesce(trim_ws(x) != "", F.lit(False)), _once(canonical(x), lambda s: F.array(*(_read(s, f).isNotNull() for f in formats))))
+    all_fit = [F.bool_and(F.get(fits, F.lit(i))) for i in range(len(formats))]
+    return F.coalesce(*(F.when(ok if unless_empty else F.coalesce(ok, F.lit(True)), F.lit(f)) for ok, f in zip(all_fit, formats)))
 
 
 def with_year(x: Column, years: Column, start: Column, end: Column, fmt: str) -> Column:

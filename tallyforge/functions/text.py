@@ -37,7 +37,7 @@ def fold_ws(x: Column) -> Column:
 
 
 def has_phrase(text: Column, phrase: Column | str) -> Column:
-    return F.instr(text, phrase) > 0 if isinstance(phrase, str) else F.locate(phrase, text) > 0
+    return F.instr(text, phrase) > 0 if isinstance(phrase, str) else F.position(phrase, text) > 0
 
 
 def is_redacted(x: Column) -> Column:
@@ -153,7 +153,7 @@ def layout_signature(tokens: Column) -> Column:
 
 def text_after(line: Column, term: Column) -> Column:
     """What follows a label on its line, without the separators between."""
-    at = F.locate(F.lower(term), F.lower(line))
+    at = F.position(F.lower(term), F.lower(line))
     rest = F.when(at > 0, line.substr(at + F.length(term), F.length(line)))
     return F.regexp_replace(rest, r"^[\s:=\-]+|\s+$", "")
 

@@ -14,7 +14,7 @@ def header_score(header_cells: Column, marks: Column) -> Column:
 
 
 def page_score(text: Column, marks: Column) -> Column:
-    return F.size(F.filter(marks, lambda m: F.locate(fold_ws(m), fold_ws(text)) > 0))
+    return F.size(F.filter(marks, lambda m: F.position(fold_ws(m), fold_ws(text)) > 0))
 
 
 def scored(files: DataFrame, templates: DataFrame) -> DataFrame:

@@ -103,6 +103,10 @@ def kpis(tx: DataFrame, headers: DataFrame, counters: DataFrame | None = None) -
     parsed = F.when(F.col("source_lines").isNotNull(), F.when((F.col("malformed") == 0) & (lost == 0), "pass").otherwise("fail")).when((F.col("malformed") > 0) | thin, "fail").otherwise("na")
     pages, scans = F.coalesce("ocr_pages", F.lit(0)), F.coalesce("redaction_scan_incomplete", F.lit(0))
     text = lambda c: c.cast("string")
+    names = ("balance", "runs", "counted", "period", "parsed")
+    rows = rows.withColumns({f"__{k}": c for k, c in zip(names, (balance, runs, counted, period, parsed))} | {"__lost": lost, "__back": back, "__off": off})
+    balance, runs, counted, period, parsed = (F.col(f"__{k}") for k in names)
+    lost, back, off = F.col("__lost"), F.col("__back"), F.col("__off")
     listed = F.array(
         _kpi(ORDER[0], balance, F.bround(F.col("open") + F.coalesce("total", F.lit(0.0)), 2), F.bround("close", 2), F.when(F.col("hidden") == 0, off), F.when(balance == "na", "no opening or closing balance to prove").when(F.col("hidden") > 0, unread).otherwise(proved)),
         _kpi(ORDER[1], runs, F.lit(0), F.col("broken"), F.col("broken"), F.when(runs == "na", "no running balance column").otherwise(F.concat(text(F.col("broken")), F.lit(" break(s), "), text(F.col("unverifiable")), F.lit(" unverifiable")))),
