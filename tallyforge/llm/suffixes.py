@@ -240,27 +240,29 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, head: int = HEAD, batches:
 
     def surround(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for part in parts:
-            rk, dk, at, h, cid, left, ctx = ([] for _ in range(7))
-            for k, d, data, marks in zip(*(part.column(c).to_pylist() for c in (*KEY, "data", "marks"))):
-                for mark in marks:
-                    own = max(0, mark["at"] - reach)
-                    text = data[own : mark["at"] + head + reach]
-                    name = xxhash.xxh3_64_intdigest(text, mark["at"] - own) - (1 << 63)
-                    rk.append(k), dk.append(d), at.append(mark["at"]), h.append(mark["h"]), cid.append(name), left.append(mark["at"] - own)
-                    ctx.append(None if name in seen else text)
-                    if len(seen) < 1_000_000:  # only saves sending a text again
-                        seen.add(name)
-            yield pa.RecordBatch.from_arrays([pa.array(rk, pa.int64()), pa.array(dk, pa.int64()), pa.array(at, pa.int32()), pa.array(h, pa.int64()), pa.array(cid, pa.int64()), pa.array(left, pa.int32()), pa.array(ctx, pa.binary())], [*KEY, "at", "h", "cid", "left", "ctx"])
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        for whole in parts:
+            for start in range(0, whole.num_rows, 256):  # few documents at a time: each may have many marks
+                part, out = whole.slice(start, 256), [[] for _ in kinds]
+                for k, d, data, marks in zip(*(part.column(c).to_pylist() for c in (*KEY, "data", "marks"))):
+                    for mark in marks:
+                        own = max(0, mark["at"] - reach)
+                        text = data[own : mark["at"] + head + reach]
+                        name = xxhash.xxh3_64_intdigest(text, mark["at"] - own) - (1 << 63)
+                        row = (k, d, mark["at"], mark["h"], name, mark["at"] - own, None if name in seen else text)
+                        for column, value in zip(out, row):
+                            column.append(value)
+                        if len(seen) < 1_000_000:  # only saves sending a text again
+                            seen.add(name)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], [*KEY, "at", "h", "cid", "left", "ctx"])
 
     held = _keyed(docs).select("data", *KEY).join(marks, KEY).mapInArrow(surround, "rk long, dk long, at int, h long, cid long, left int, ctx binary")
     held, held_path = materialise(held, "suffix-around")
     kinds = held.groupBy("h", "cid").agg(F.count("*").alias("n"), F.max("left").alias("left"), F.max("ctx").alias("ctx"))
     kinds, kinds_path = materialise(kinds, "suffix-kinds")
-    heat = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.sum("n").alias("all")).where("all > 1")
-    heat, _ = materialise(heat, "suffix-heat")
-    calm = kinds.join(heat.where(F.col("kinds") <= hot_rows).select("h"), "h")
-    hot = kinds.join(heat.where(F.col("kinds") > hot_rows).select("h"), "h")
+    # a table of its own, so that its size is known: it is empty but for heads of very many surroundings
+    heat, _ = materialise(kinds.groupBy("h").agg(F.count("*").alias("kinds")).where(F.col("kinds") > hot_rows).select("h"), "suffix-heat")
+    calm, hot = kinds.join(heat, "h", "left_anti"), kinds.join(heat, "h", "left_semi")
 
     def solve(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: list[pd.DataFrame] = []
