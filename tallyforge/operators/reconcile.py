@@ -74,12 +74,11 @@ def kpis(tx: DataFrame, headers: DataFrame, counters: DataFrame | None = None) -
     rows = headers.join(facts(tx), KEY, "left").fillna(0, ["n", "hidden", "balances", "broken", "unverifiable", "ins", "outs", "dated", "malformed", "redacted", "unresolved", "inferred", "ocr_low"])
     if counters is not None:
         rows = rows.join(counters, KEY, "left")
-    for name, kind in (("source_lines", "int"), ("multiline_extra", "int"), ("skipped_rows", "int"), ("visual_rows", "int"), ("actionable", "int"), ("outside", "long")):
-        if name not in rows.columns:
-            rows = rows.withColumn(name, F.lit(None).cast(kind))
+    known = {"source_lines": "int", "multiline_extra": "int", "skipped_rows": "int", "visual_rows": "int", "actionable": "int"}
+    rows = rows.withColumns({c: F.lit(None).cast(t) for c, t in known.items() if c not in rows.columns} | {"ps": tolerant(F.col("period_start")), "pe": tolerant(F.col("period_end"))})
     span = tx.join(headers.select(KEY, tolerant(F.col("period_start")).alias("__ps"), tolerant(F.col("period_end")).alias("__pe")), KEY)
     outside = span.groupBy(KEY).agg(F.count_if(~F.coalesce(F.col("date").try_cast("date").between(F.col("__ps"), F.col("__pe")), F.lit(False))).alias("outside"))
-    rows = rows.drop("outside").join(outside, KEY, "left").withColumns({"ps": tolerant(F.col("period_start")), "pe": tolerant(F.col("period_end"))})
+    rows = rows.join(outside, KEY, "left")
     n = F.col("n")
     # balance: only the missing end is taken from the balance column
     closing = F.coalesce("closing_balance", F.when(F.col("opening_balance").isNotNull(), F.col("last_balance")))
