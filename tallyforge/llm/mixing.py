@@ -17,7 +17,8 @@ from .common import materialise, word_count
 #: The weights, dealt to the sources in code point order.
 WEIGHTS = [5, 2, 1]
 RING, GOLDEN = 1 << 31, 1327217885
-CHUNK, PARTS, STRETCHES = 65536, 4096, 1024
+#: Slots in a chunk, hexadecimal digits that deal a stream into parts, stretches of the points' range.
+CHUNK, PART_DIGITS, STRETCHES = 65536, 3, 1024
 
 
 def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -78,8 +79,8 @@ def placed(docs: DataFrame, block_words: int = 128, seed: int = 5) -> tuple[Data
     sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(source.isNull(), "n").otherwise(F.concat(F.lit("s"), source)).alias("key"), source.alias("source"), word_count(F.col("text")).alias("size"))
     sizes, _ = materialise(sizes, "mix-sizes")
     sources, _ = materialise(targets(sizes), "mix-targets")
-    rows = sizes.join(sources.select("key", "no", "source_size", "target"), "key").select("doc_id", "size", "no", "source_size", "target", F.xxhash64(F.lit(seed), "doc_id").alias("__order"))
-    rows = rows.withColumn("part", F.expr(f"pmod(shiftright(__order, 32), {PARTS})").cast("int"))
+    rows = sizes.join(sources.select("key", "no", "source_size", "target"), "key").select("doc_id", "size", "no", "source_size", "target", F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("doc_id").cast("string")).cast("binary")).alias("__order"))
+    rows = rows.withColumn("part", F.substring("__order", 1, PART_DIGITS))
     ahead = _prefix(rows, "no", "part", F.col("size"))
     running = Window.partitionBy("no", "part").orderBy("__order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("__in", F.coalesce(F.sum("size").over(running), F.lit(0))).join(ahead, ["no", "part"])
