@@ -1,6 +1,6 @@
 """Embedding near-duplicates by a flat graph with robust pruning.
 
-A bounded sample gives cluster centres; each vector goes to the clusters of its three nearest centres, so that clusters
+A bounded sample gives cluster centres; each vector goes to the clusters of its two nearest centres, so that clusters
 overlap. Every cluster builds a graph of its own: near neighbours thinned by the robust rule (a neighbour is dropped
 if one kept already is nearer to it by a factor alpha). The adjacency lists of a vector are united over its clusters.
 A search starts at a cluster's medoids and at the vector's own list, goes greedily on with a beam, and then expands
@@ -45,13 +45,18 @@ def centres(x: np.ndarray, k: int, steps: int = 6, apart: float = 0.9) -> np.nda
     return own[kept]
 
 
-def robust_lists(x: np.ndarray, degree: int, pool: int, alpha: float) -> np.ndarray:
-    """Out-neighbours of each row, -1 where there are fewer."""
+def robust_lists(x: np.ndarray, degree: int, pool: int, alpha: float, spare: int = 6) -> np.ndarray:
+    """Out-neighbours of each row, -1 where there are fewer.
+
+    `spare` more are drawn from the whole pool: in a dense group the thinned list holds the nearest rows alone, and parts
+    of the group that lie apart would not be joined.
+    """
     n = len(x)
     pool = min(pool, n - 1)
-    out = np.full((n, degree), -1, dtype=np.int32)
+    out = np.full((n, degree + spare), -1, dtype=np.int32)
     if pool <= 0:
         return out
+    draw = np.random.default_rng(2)
     y = x.astype(np.float32)
     for a in range(0, n, 512):
         rows = np.arange(a, min(n, a + 512))
@@ -73,6 +78,7 @@ def robust_lists(x: np.ndarray, degree: int, pool: int, alpha: float) -> np.ndar
             alive[line, at] = False
             between = 1 - np.einsum("rpd,rd->rp", y[near], y[pick])
             alive &= alpha * between > far
+        out[rows[:, None], np.arange(degree, degree + spare)] = np.take_along_axis(near, draw.integers(0, pool, (len(rows), spare)), axis=1)
     return out
 
 
@@ -292,7 +298,7 @@ def near_duplicates(table: DataFrame, least: float = 0.95, cell_rows: int = 1500
     rows = rows.withColumn("ok", F.coalesce(~bad & F.col("vec_id").isNotNull(), F.lit(False)))
     reps = rows.where("ok").groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).withColumn("dim", F.size("vector"))
     reps, _ = materialise(reps, "vec-reps")
-    for cells, beam in ((3, 16), (6, 48), (12, 128)):
+    for cells, beam in ((2, 16), (4, 48), (8, 128)):
         parts, _ = materialise(_links_once(reps, least, cells, cell_rows, block_rows, sample_rows, degree, beam, alpha), "vec-links")
         links = parts.groupBy("rep").agg(F.sum("links").alias("links"))
         share = recall(reps, links, least)
