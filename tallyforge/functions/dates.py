@@ -74,6 +74,11 @@ def _parts(fmt: str) -> list[str]:
     return out
 
 
+def _once(x: Column, f) -> Column:
+    """f of a value that is worked out once, however often f uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def _read(s: Column, fmt: str) -> Column:
     fmt = _spread(fmt)
     if "%y" in fmt:
@@ -84,12 +89,7 @@ def _read(s: Column, fmt: str) -> Column:
 
 def strict(x: Column, fmt: str) -> Column:
     """The date that the whole text gives in one format, within the years 1990 to 2100; else null."""
-    return _read(canonical(x), fmt)
-
-
-def _once(x: Column, f) -> Column:
-    """f of a value that is worked out once, however often f uses it."""
-    return F.get(F.transform(F.array(x), f), F.lit(0))
+    return _once(canonical(x), lambda s: _read(s, fmt))
 
 
 def parse(x: Column, fmt: str) -> Column:
