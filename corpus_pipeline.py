@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyforge.llm import mixing, pieces, quality, secrets, simhash
+from tallyforge.llm import copies, mixing, pieces, quality, secrets, simhash
 from tallyforge.llm.common import materialise
 
 
@@ -19,8 +19,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies."""
-    return simhash.keep_one(docs)
+    """The document with the smallest doc_id of each group of near copies: five-word shingles, Jaccard 0.8 or more."""
+    return simhash.without(docs, copies.near_copies(docs))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

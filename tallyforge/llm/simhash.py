@@ -28,22 +28,27 @@ SEED = 42
 CHUNK = 1 << 16
 
 
-def fingerprint(text: bytes, words: int) -> int:
-    """SimHash of a text in UTF-8: majority bits of the XXH64 of its word shingles; 0 if it has no word."""
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """XXH64 of each word shingle of a text in UTF-8, in order; none if it has no word."""
     tokens = text.lower().split()  # bytes: A-Z only, and white space is the space and 9 to 13
     if not tokens:
-        return 0
+        return np.zeros(0, dtype="<u8")
     joined = b" ".join(tokens)
     ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(words, len(tokens))
     first, last = starts[: len(tokens) - k + 1].tolist(), ends[k - 1 :].tolist()
-    ones = np.zeros(64, dtype=np.int64)
     digest = xxhash.xxh64_intdigest
-    for at in range(0, len(first), CHUNK):
-        h = np.array([digest(joined[i:j], SEED) for i, j in zip(first[at : at + CHUNK], last[at : at + CHUNK])], dtype="<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(first), bitorder="little").view("<u8")[0])
+    return np.fromiter((digest(joined[i:j], SEED) for i, j in zip(first, last)), dtype="<u8", count=len(first))
+
+
+def fingerprint(text: bytes, words: int) -> int:
+    """SimHash of a text in UTF-8: majority bits of the XXH64 of its word shingles; 0 if it has no word."""
+    hashes = shingle_hashes(text, words)
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        ones += np.unpackbits(hashes[at : at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def with_fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -188,7 +193,12 @@ def keep_one(docs: DataFrame, words: int = 3, bits: int = 3) -> DataFrame:
 
     A row without doc_id stays. Repeated rows of one doc_id all stay if that doc_id does.
     """
-    gone = near_duplicates(docs, words, bits).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return without(docs, near_duplicates(docs, words, bits))
+
+
+def without(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of `docs` whose doc_id names its component in `found` (doc_id, component_id)."""
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
 
 
