@@ -144,10 +144,6 @@ class Codec:
         self.tokenizer = build(self.model)
         self.own = SentencePieceProcessor(model_proto=data)
         self.threads = threads
-        spelled = [bytes([int(p[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else p.replace(SPACE, " ").encode() for p, _, kind in self.model.pieces]
-        self.lengths = np.array([len(b) for b in spelled], dtype=np.int64)
-        self.starts = np.cumsum(self.lengths) - self.lengths
-        self.letters = np.frombuffer(b"".join(spelled), dtype=np.uint8)
         # where no piece goes on past the start of a word, a text may be cut there
         self.cuts = self.model.dummy_prefix and not self.model.squeeze and not self.model.charsmap and not any(SPACE in p.lstrip(SPACE) for p, _, kind in self.model.pieces if kind in (NORMAL, USER))
 
@@ -171,20 +167,20 @@ class Codec:
         ends = np.cumsum([len(parts) for parts in cut])
         return [ids[e - len(parts)] if len(parts) == 1 else np.concatenate(ids[e - len(parts) : e]) for e, parts in zip(ends, cut)]
 
-    def spell(self, ids: np.ndarray) -> bytes:
-        """The bytes that the pieces stand for, markers as spaces, without the one before the first word."""
-        sizes = self.lengths[ids]
-        ends = np.cumsum(sizes)
-        at = np.repeat(self.starts[ids] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
-        out = self.letters[at].tobytes()
-        return out[1:] if self.model.dummy_prefix and out.startswith(b" ") else out
-
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
     def reference(self, texts: list[str]) -> list[list[int]]:
         return self.own.encode(texts, num_threads=self.threads)
 
+    def checked(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool], list[bool]]:
+        """Ids, whether the model's own library gives the same, and whether decoding them gives each text back."""
+        ids = self.encode(texts)
+        lists = [a.tolist() for a in ids]
+        parity = [a == b for a, b in zip(lists, self.reference(texts))]
+        same = [a == (t.replace(SPACE, " ") if SPACE in t else t) for a, t in zip(self.decode(lists), texts)]
+        return ids, parity, same
+
 
 _CODECS: dict[bytes, Codec] = {}
 
@@ -207,8 +203,8 @@ def _slices(sizes: list[int], most: int) -> Iterator[slice]:
 
 
 def encode(docs: DataFrame, model: str = MODEL, threads: int = 2, batch_chars: int = 1 << 20) -> DataFrame:
-    """doc_id, n_tokens, ids, parity (the model's own library gives the same ids) and round_trip (the pieces spell the
-    text, markers as spaces) for every row of `docs`.
+    """doc_id, n_tokens, ids, parity (the model's own library gives the same ids) and round_trip (decoding gives the text
+    back, markers as spaces) for every row of `docs`.
 
     The whole text is encoded, in calls of about `batch_chars` characters. Null and empty texts have no ids; both checks
     hold for them. A null doc_id is carried along, repeated rows are encoded each, an empty table gives no rows, other
@@ -226,9 +222,7 @@ def encode(docs: DataFrame, model: str = MODEL, threads: int = 2, batch_chars: i
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for at in _slices([len(t) for t in texts], batch_chars):
                 part = texts[at]
-                ids = own.encode(part)
-                parity = [a.tolist() == b for a, b in zip(ids, own.reference(part))]
-                same = [own.spell(a) == (t.replace(SPACE, " ") if SPACE in t else t).encode() for a, t in zip(ids, part)]
+                ids, parity, same = own.checked(part)
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate(ids) if ids else [], pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at.start, len(part)), pa.array([len(a) for a in ids], pa.int32()), lists, pa.array(parity), pa.array(same)], ["doc_id", "n_tokens", "ids", "parity", "round_trip"])
 

@@ -86,6 +86,17 @@ def test_parts_of_long_texts():
         assert ids == codec.reference([text])[0]
 
 
+@MODEL
+def test_round_trip_sees_the_decoder():
+    from tokenizers import decoders
+
+    with open(pieces.MODEL, "rb") as file:
+        codec = pieces.Codec(file.read(), 1)
+    assert codec.checked(["two words here", "", "né ▁ 漢"])[1:] == ([True] * 3, [True] * 3)
+    codec.tokenizer.decoder = decoders.Sequence([decoders.Fuse()])
+    assert codec.checked(["two words here"])[2] == [False]
+
+
 def test_unigram_models_are_rebuilt():
     import struct
 
