@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, remove
 from .graph import connected_components
 from .simhash import shingle_hashes
 
@@ -98,13 +98,17 @@ def _bounds(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.append(starts, len(key)))
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose key another row has, with the first row of their key."""
+def _shared(batches: Iterator[pa.RecordBatch], least: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """Rows whose key another row has, with the first row of their key, or themselves where the two can't reach the bar."""
     for batch in _groups(batches):
-        sig = batch.column(1).to_numpy(zero_copy_only=False)
-        starts, sizes = _bounds(batch.column(0).to_numpy(zero_copy_only=False))
+        key, sig, n, pos = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "sig", "n", "pos"))
+        starts, sizes = _bounds(key)
         own = np.repeat(sizes > 1, sizes)
-        yield pa.RecordBatch.from_arrays([*(c.filter(pa.array(own)) for c in batch.columns), pa.array(np.repeat(sig[starts], sizes)[own])], ["key", "sig", "n", "pos", "root"])
+        first = np.repeat(starts, sizes)
+        n, rest = n.astype(np.int64), (n - pos).astype(np.int64)
+        fits = (least[0] + least[1]) * np.minimum(rest, rest[first]) >= least[0] * (n + n[first])
+        root = np.where(fits, sig[first], sig)
+        yield pa.RecordBatch.from_arrays([*(c.filter(pa.array(own)) for c in batch.columns), pa.array(root[own])], ["key", "sig", "n", "pos", "root"])
 
 
 def _apart(least: tuple[int, int]):
@@ -130,6 +134,33 @@ def _apart(least: tuple[int, int]):
     return run
 
 
+def reachable(a: np.ndarray, b: np.ndarray, n: int, m: int, least: tuple[int, int] = LEAST) -> bool:
+    """Whether sets of n and m shingles can reach the bar, given their prefixes.
+
+    Up to the end of the prefix that ends first, what the sets share is what the prefixes share; beyond it lies at most
+    the rest of that set.
+    """
+    shared = len(np.intersect1d(a, b, assume_unique=True)) + max(n - len(a), m - len(b))
+    return (least[0] + least[1]) * shared >= least[0] * (n + m)
+
+
+def _hopeful(pairs: DataFrame, single: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """The pairs src, dst that their prefixes don't rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = []
+            for name in ("a", "b"):
+                column = batch.column(name)
+                values, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *(len(x) for x in column)])
+                flat.append([values[i:j] for i, j in zip(ends[:-1], ends[1:])])
+            own = [reachable(a, b, n, m, least) for a, b, n, m in zip(*flat, batch.column("na").to_pylist(), batch.column("nb").to_pylist())]
+            yield batch.select(["src", "dst"]).filter(pa.array(own, pa.bool_()))
+
+    a, b = (single.select(F.col("sig").alias(end), F.col("keys").alias(name), F.col("n").alias(f"n{name}")) for end, name in (("src", "a"), ("dst", "b")))
+    return pairs.join(a, "src").join(b, "dst").select("src", "dst", "a", "b", "na", "nb").mapInArrow(run, "src long, dst long")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
     """The pairs src, dst whose sets reach the bar."""
 
@@ -167,17 +198,25 @@ def near_copies(docs: DataFrame, words: int = 5, least: tuple[int, int] = LEAST)
     prints, _ = materialise(rows.mapInArrow(first, "doc_id long, sig long, n int, keys array<long>"), "copies")
     reps, _ = materialise(prints.groupBy("sig").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "copies-reps")
     # one row of each set stands for its copies
-    single = prints.join(reps, (prints["sig"] == reps["sig"]) & (prints["doc_id"] == reps["rep"]), "left_semi").dropDuplicates(["sig", "doc_id"])
+    single, _ = materialise(prints.join(reps, (prints["sig"] == reps["sig"]) & (prints["doc_id"] == reps["rep"]), "left_semi").dropDuplicates(["sig", "doc_id"]), "copies-single")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        likely, _ = materialise(_hopeful(pairs, single, least), "copies-likely")
+        wanted = likely.select(F.col("src").alias("sig")).union(likely.select("dst")).distinct().join(reps, "sig").select(F.col("rep").alias("doc_id")).distinct()
+        sets = rows.join(wanted, "doc_id", "left_semi").mapInArrow(whole, "sig long, shingles binary").dropDuplicates(["sig"])
+        sets, path = materialise(sets, "copies-sets")
+        links, _ = materialise(_verified(likely, sets, least), "copies-links")
+        remove(docs.sparkSession, path)
+        return links
+
     dealt = single.select("sig", "n", F.posexplode("keys").alias("pos", "key")).select("key", "sig", "n", "pos").repartition("key").sortWithinPartitions("key", "sig")
-    shared, _ = materialise(dealt.mapInArrow(_shared, "key long, sig long, n int, pos int, root long"), "copies-shared")
-    wanted = shared.select("sig").distinct().join(reps, "sig").select(F.col("rep").alias("doc_id")).distinct()
-    sets, _ = materialise(rows.join(wanted, "doc_id", "left_semi").mapInArrow(whole, "sig long, shingles binary").dropDuplicates(["sig"]), "copies-sets")
+    shared, _ = materialise(dealt.mapInArrow(lambda batches: _shared(batches, least), "key long, sig long, n int, pos int, root long"), "copies-shared")
     tried, _ = materialise(shared.where("sig <> root").select(F.least("sig", "root").alias("src"), F.greatest("sig", "root").alias("dst")).distinct(), "copies-tried")
-    links, _ = materialise(_verified(tried, sets, least), "copies-links")
+    links = linked(tried)
     parts, _ = materialise(connected_components(links), "copies-parts")
     placed = shared.join(parts, shared["sig"] == parts["node"], "left").select("key", "sig", "n", "pos", F.coalesce("component", "sig").alias("part"))
     apart = placed.repartition("key").sortWithinPartitions("key", "sig").mapInArrow(_apart(least), "src long, dst long").distinct().join(tried, ["src", "dst"], "left_anti")
-    links = links.union(_verified(apart, sets, least))
+    links = links.union(linked(apart))
     parts, _ = materialise(connected_components(links), "copies-parts")
     named = reps.join(parts, reps["sig"] == parts["node"], "left").select("sig", "rep", F.coalesce("component", "sig").alias("part"))
     names = named.groupBy("part").agg(F.min("rep").alias("component_id"))
