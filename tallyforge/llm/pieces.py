@@ -130,7 +130,8 @@ def build(model: Model) -> Tokenizer:
     if users:
         out.add_tokens(users)
     strip = [decoders.Strip(" ", 1, 0)] if model.dummy_prefix else []
-    out.decoder = decoders.Sequence([decoders.Replace(SPACE, " "), decoders.ByteFallback(), decoders.Fuse(), *strip])
+    # fused first: markers are then replaced once a text, not once a piece
+    out.decoder = decoders.Sequence([decoders.ByteFallback(), decoders.Fuse(), decoders.Replace(SPACE, " "), *strip])
     out.encode_special_tokens = True
     return out
 
@@ -147,7 +148,7 @@ class Codec:
         # where no piece goes on past the start of a word, a text may be cut there
         self.cuts = self.model.dummy_prefix and not self.model.squeeze and not self.model.charsmap and not any(SPACE in p.lstrip(SPACE) for p, _, kind in self.model.pieces if kind in (NORMAL, USER))
 
-    def parts(self, text: str, most: int = 1 << 16) -> list[str]:
+    def parts(self, text: str, most: int = 1 << 13) -> list[str]:
         """A long text in parts that encode as the whole does: each later part loses the one space that the marker stands for."""
         if not self.cuts or len(text) <= most:
             return [text]
