@@ -1,13 +1,16 @@
 """Near copies by their sets of word shingles: every pair whose Jaccard similarity reaches a bar, and no other.
 
-Two texts at 0.8 have SimHash fingerprints that differ in 10 of 64 bits on average and in 20 at times; at that radius a
-vantage-point tree parts nothing. So candidates come from prefixes: with all shingles in one order, two sets at
-similarity t share one of the first n - ceil(t n) + 1 of each. The order puts rare shingles first, so that a line or a
-passage that many texts have makes no candidates; which shingles are frequent is estimated on a sample, and what the
-sample misses costs time, not pairs. Each candidate is verified on the whole sets.
-
-Of a group that shares a prefix shingle, all are compared with one first. What those links leave in different
-components is then compared pair by pair, so that a group of copies costs its size and not the square.
+First come the pairs that the vantage-point trees of `simhash` find, on fingerprints of the same shingles. Two texts at
+0.8 have fingerprints that differ in 10 of 64 bits on average and in 20 at times; at that radius a tree parts nothing. So
+the other candidates come from prefixes: with all shingles in one order, two sets at similarity t share one of the first
+n - ceil(t n) + 1 of each. The order puts rare shingles first, so that a line or a passage that many texts have makes no
+candidates; which shingles are frequent is estimated on a sample, and what the sample misses costs time, not pairs. Each
+candidate, from either source, is verified on the whole sets.
+
+Of a group that shares a prefix shingle, all are compared with one first, and what those links join is one component. Rows
+of different components are then held against each other by parity maps: bit h mod b of a set is the parity of its
+shingles there, so the bits in which two maps differ are at most the shingles that one set alone has. That bound loses
+no pair, and only pairs that pass it leave the task. A group is dealt out in blocks, so no task holds all of a large one.
 """
 
 from __future__ import annotations
@@ -22,26 +25,38 @@ from pyspark.sql import functions as F
 
 from .common import materialise, remove
 from .graph import connected_components
-from .simhash import shingle_hashes
+from .simhash import majority, near_links, shingle_hashes
 
 #: Similarity as a fraction, so that the bar is exact.
 LEAST = (4, 5)
-BLOCK = 1024
+BLOCK = 256
+MOST_BITS = 4096
 
 
 def prefix_length(n: int, least: tuple[int, int] = LEAST) -> int:
     return n - -(-n * least[0] // least[1]) + 1 if n else 0
 
 
-def shingle_set(text: bytes, words: int) -> np.ndarray:
-    """The distinct shingles of a text, sorted."""
-    return np.unique(shingle_hashes(text, words))
-
-
 def signature(own: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(own.tobytes())).view(np.int64))
 
 
+def map_bits(n: int) -> int:
+    """Bits of the parity map of a set of n: two to four for each shingle."""
+    return min(MOST_BITS, max(64, 1 << max(0, 2 * n - 1).bit_length()))
+
+
+def parity_map(own: np.ndarray) -> bytes:
+    bits = map_bits(len(own))
+    odd = np.bincount((own % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def folded(maps: np.ndarray, words: int) -> np.ndarray:
+    """Maps (rows of 64-bit words) as they would be with fewer bits."""
+    return np.bitwise_xor.reduce(maps.reshape(len(maps), -1, words), axis=1)
+
+
 def similar(a: bytes, b: bytes, least: tuple[int, int] = LEAST) -> bool:
     """Whether two sorted sets, as bytes, reach the bar."""
     x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
@@ -54,7 +69,7 @@ def frequent(rows: DataFrame, n: int, words: int, sample_rows: int = 8192, most:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [shingle_set(t or b"", words) for t in batch.column(1).to_pylist()]
+            own = [np.unique(shingle_hashes(t or b"", words)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64))], ["h"])
 
     parts = 1 << 20
@@ -99,37 +114,75 @@ def _bounds(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _shared(batches: Iterator[pa.RecordBatch], least: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-    """Rows whose key another row has, with the first row of their key, or themselves where the two can't reach the bar."""
-    for batch in _groups(batches):
-        key, sig, n, pos = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "sig", "n", "pos"))
+    """Rows whose key another row has, with the first row of their key, or themselves where the two can't reach the bar.
+
+    Rows come in order of their keys. Only the first row of a key is held, until a second one shows that it has company.
+    """
+    held, lone = None, False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([*([held] if held is not None and batch.column("key")[0] == held.column("key")[0] else []), batch]).combine_chunks().to_batches()[0]
+        again = table.num_rows > batch.num_rows
+        key, sig, n, pos = (table.column(c).to_numpy(zero_copy_only=False) for c in ("key", "sig", "n", "pos"))
         starts, sizes = _bounds(key)
         own = np.repeat(sizes > 1, sizes)
+        if again and not lone:
+            own[0] = False  # sent on before
         first = np.repeat(starts, sizes)
         n, rest = n.astype(np.int64), (n - pos).astype(np.int64)
         fits = (least[0] + least[1]) * np.minimum(rest, rest[first]) >= least[0] * (n + n[first])
         root = np.where(fits, sig[first], sig)
-        yield pa.RecordBatch.from_arrays([*(c.filter(pa.array(own)) for c in batch.columns), pa.array(root[own])], ["key", "sig", "n", "pos", "root"])
+        held = table.slice(int(starts[-1]), 1)
+        lone = bool(sizes[-1] == 1)
+        yield pa.RecordBatch.from_arrays([*(c.filter(pa.array(own)) for c in table.columns), pa.array(root[own])], ["key", "sig", "n", "pos", "root"])
+
+
+def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(a), len(b)), dtype=np.int64)
+    for w in range(a.shape[1]):
+        out += np.bitwise_count(a[:, w, None] ^ b[None, :, w])
+    return out
 
 
 def _apart(least: tuple[int, int]):
-    """Pairs that share a key, are in different components, and can still reach the bar after the places before it."""
+    """Pairs of one group, in different components, that can still reach the bar by the places before their shared
+    shingle and by their parity maps. Where `cross` is set, only rows of different blocks are compared."""
     over, of = least[0], least[0] + least[1]
 
+    def pairs(a: tuple, b: tuple, cross: bool) -> tuple[np.ndarray, np.ndarray]:
+        (sig_a, n_a, rest_a, part_a, block_a, map_a), (sig_b, n_b, rest_b, part_b, block_b, map_b) = a, b
+        both = over * (n_a[:, None] + n_b[None, :])
+        fits = (part_a[:, None] != part_b[None, :]) & (of * np.minimum(rest_a[:, None], rest_b[None, :]) >= both)
+        if cross:
+            fits &= block_a[:, None] != block_b[None, :]
+        if fits.any():
+            fits &= of * ((n_a[:, None] + n_b[None, :] - _differing(map_a, map_b)) // 2) >= both
+        x, y = np.nonzero(fits)
+        return sig_a[x], sig_b[y]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _groups(batches):
-            key, sig, n, pos, part = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "sig", "n", "pos", "part"))
-            n, rest = n.astype(np.int64), (n - pos).astype(np.int64)
+            key, sig, n, pos, part, block, cross = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "sig", "n", "pos", "part", "block", "cross"))
+            n, rest, maps = n.astype(np.int64), (n - pos).astype(np.int64), batch.column("map")
             for start, size in zip(*_bounds(key)):
-                if (part[start : start + size] == part[start]).all():
-                    continue
-                for i in range(start, start + size, BLOCK):
-                    for j in range(i, start + size, BLOCK):
-                        a, b = slice(i, min(i + BLOCK, start + size)), slice(j, min(j + BLOCK, start + size))
-                        fits = (part[a, None] != part[None, b]) & (of * np.minimum(rest[a, None], rest[None, b]) >= over * (n[a, None] + n[None, b]))
-                        x, y = np.nonzero(fits)
-                        x, y = sig[a][x], sig[b][y]
-                        if len(x):
-                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["src", "dst"])
+                own = np.arange(start, start + size)
+                raw = maps.slice(start, size).to_pylist()
+                width = np.array([len(m) // 8 for m in raw])
+                # two sets that reach the bar have maps of equal width or twice that
+                for small in np.unique(width):
+                    sides = []
+                    for w in (small, 2 * small):
+                        at = np.nonzero(width == w)[0]
+                        table = np.frombuffer(b"".join(raw[i] for i in at), dtype=np.uint64).reshape(len(at), w)
+                        rows = own[at]
+                        sides.append((sig[rows], n[rows], rest[rows], part[rows], block[rows], folded(table, small) if len(at) else table.reshape(0, small)))
+                    for k, side in enumerate(sides):
+                        for i in range(0, len(sides[0][0]), BLOCK):
+                            for j in range(0 if k else i, len(side[0]), BLOCK):
+                                x, y = pairs(tuple(c[i : i + BLOCK] for c in sides[0]), tuple(c[j : j + BLOCK] for c in side), bool(cross[start]))
+                                if len(x):
+                                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["src", "dst"])
 
     return run
 
@@ -173,7 +226,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) -> Data
     return pairs.join(a, "src").join(b, "dst").select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long")
 
 
-def near_copies(docs: DataFrame, words: int = 5, least: tuple[int, int] = LEAST) -> DataFrame:
+def near_copies(docs: DataFrame, words: int = 5, least: tuple[int, int] = LEAST, block_rows: int = 4096) -> DataFrame:
     """doc_id and component_id: the smallest doc_id reachable by links of similarity `least` or more.
 
     Texts of fewer than `words` words are one shingle; a null text counts as empty, and empty texts are copies of each
@@ -185,17 +238,19 @@ def near_copies(docs: DataFrame, words: int = 5, least: tuple[int, int] = LEAST)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [shingle_set(t or b"", words) for t in batch.column(1).to_pylist()]
+            every = [shingle_hashes(t or b"", words) for t in batch.column(1).to_pylist()]
+            own = [np.unique(s) for s in every]
+            fp = np.fromiter(map(majority, every), dtype=np.uint64, count=len(every)).view(np.int64)
             keys = [prefix(s, *sent.value, least).view(np.int64) for s in own]
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([signature(s) for s in own], pa.int64()), pa.array([len(s) for s in own], pa.int32()), lists], ["doc_id", "sig", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([signature(s) for s in own], pa.int64()), pa.array([len(s) for s in own], pa.int32()), lists, pa.array([parity_map(s) for s in own], pa.binary()), pa.array(fp)], ["doc_id", "sig", "n", "keys", "map", "fp"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [shingle_set(t or b"", words) for t in batch.column(1).to_pylist()]
+            own = [np.unique(shingle_hashes(t or b"", words)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], ["sig", "shingles"])
 
-    prints, _ = materialise(rows.mapInArrow(first, "doc_id long, sig long, n int, keys array<long>"), "copies")
+    prints, _ = materialise(rows.mapInArrow(first, "doc_id long, sig long, n int, keys array<long>, map binary, fp long"), "copies")
     reps, _ = materialise(prints.groupBy("sig").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "copies-reps")
     # one row of each set stands for its copies
     single, _ = materialise(prints.join(reps, (prints["sig"] == reps["sig"]) & (prints["doc_id"] == reps["rep"]), "left_semi").dropDuplicates(["sig", "doc_id"]), "copies-single")
@@ -211,11 +266,20 @@ def near_copies(docs: DataFrame, words: int = 5, least: tuple[int, int] = LEAST)
 
     dealt = single.select("sig", "n", F.posexplode("keys").alias("pos", "key")).select("key", "sig", "n", "pos").repartition("key").sortWithinPartitions("key", "sig")
     shared, _ = materialise(dealt.mapInArrow(lambda batches: _shared(batches, least), "key long, sig long, n int, pos int, root long"), "copies-shared")
-    tried, _ = materialise(shared.where("sig <> root").select(F.least("sig", "root").alias("src"), F.greatest("sig", "root").alias("dst")).distinct(), "copies-tried")
+    # sets of equal fingerprints have one of them in common, those of near ones come from the trees
+    alike, _ = materialise(single.groupBy("fp").agg(F.min("sig").alias("rep")), "copies-prints")
+    near = near_links(alike).union(single.join(alike, "fp").select("sig", "rep")).toDF("a", "b")
+    near = near.union(shared.select("sig", "root")).where("a <> b")
+    tried, _ = materialise(near.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct(), "copies-tried")
     links = linked(tried)
     parts, _ = materialise(connected_components(links), "copies-parts")
-    placed = shared.join(parts, shared["sig"] == parts["node"], "left").select("key", "sig", "n", "pos", F.coalesce("component", "sig").alias("part"))
-    apart = placed.repartition("key").sortWithinPartitions("key", "sig").mapInArrow(_apart(least), "src long, dst long").distinct().join(tried, ["src", "dst"], "left_anti")
+    placed, _ = materialise(shared.join(parts, shared["sig"] == parts["node"], "left").select("key", "sig", "n", "pos", F.coalesce("component", "sig").alias("part")), "copies-placed")
+    many = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.ceil(F.count("*") / block_rows).cast("int").alias("blocks")).where("low <> high").select("key", "blocks")
+    mixed = placed.join(many, "key").join(single.select("sig", "map"), "sig").withColumn("block", F.expr("cast(pmod(sig, blocks) as int)"))
+    mixed = mixed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    mixed = mixed.select(F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))).alias("key"), "sig", "n", "pos", "part", "block", (F.col("block") != F.col("other")).alias("cross"), "map")
+    dealt = mixed.repartition("key").sortWithinPartitions("key", "sig")
+    apart = dealt.mapInArrow(_apart(least), "src long, dst long").distinct().join(tried, ["src", "dst"], "left_anti")
     links = links.union(linked(apart))
     parts, _ = materialise(connected_components(links), "copies-parts")
     named = reps.join(parts, reps["sig"] == parts["node"], "left").select("sig", "rep", F.coalesce("component", "sig").alias("part"))

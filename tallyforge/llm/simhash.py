@@ -42,15 +42,19 @@ def shingle_hashes(text: bytes, words: int) -> np.ndarray:
     return np.fromiter((digest(joined[i:j], SEED) for i, j in zip(first, last)), dtype="<u8", count=len(first))
 
 
-def fingerprint(text: bytes, words: int) -> int:
-    """SimHash of a text in UTF-8: majority bits of the XXH64 of its word shingles; 0 if it has no word."""
-    hashes = shingle_hashes(text, words)
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have; 0 for none."""
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), CHUNK):
         ones += np.unpackbits(hashes[at : at + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes, words: int) -> int:
+    """SimHash of a text in UTF-8: majority bits of the XXH64 of its word shingles; 0 if it has no word."""
+    return majority(shingle_hashes(text, words))
+
+
 def with_fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """doc_id and its fingerprint as a signed long. A null text counts as empty."""
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pyarrow as pa
 
 import corpus_pipeline
@@ -61,6 +62,40 @@ def test_near_copies_against_all_pairs(spark):
     assert copies.near_copies(docs.where("false")).count() == 0
 
 
+def test_blocks_of_large_groups(spark):
+    """Variants that share rare shingles but are mostly too far apart, in blocks of eight rows."""
+    r = random.Random(9)
+    base = [r.choice(WORDS) for _ in range(60)]
+    rows = list(enumerate(" ".join(edited(base, r.choice([1, 1, 2, 3, 4]), r)) for _ in range(150)))
+    docs = spark.createDataFrame([(*x, 1) for x in rows], "doc_id long, text string, key int")
+    got = {x["doc_id"]: x["component_id"] for x in copies.near_copies(docs, block_rows=8).collect()}
+    assert got == expected(rows) and len(set(got.values())) > 5
+
+
+def test_parity_maps_bound_the_overlap():
+    r = np.random.default_rng(1)
+    for n, m, both in ((30, 30, 20), (200, 180, 150), (1000, 700, 600), (5000, 4000, 3900), (1, 1, 1), (0, 3, 0)):
+        pool = np.unique(r.integers(0, 1 << 63, n + m, dtype=np.uint64))
+        a, b = np.sort(pool[:n]), np.sort(np.concatenate((pool[:both], pool[n : n + m - both])))
+        maps = [np.frombuffer(copies.parity_map(x), dtype=np.uint64)[None] for x in (a, b)]
+        small = min(x.shape[1] for x in maps)
+        apart = int(copies._differing(*(copies.folded(x, small) for x in maps))[0, 0])
+        assert (len(a) + len(b) - apart) // 2 >= len(np.intersect1d(a, b)) and apart % 2 == (len(a) + len(b)) % 2
+
+
+def test_rows_that_share_a_key():
+    r = random.Random(6)
+    for _ in range(300):
+        keys = sorted(r.randrange(5) for _ in range(r.randint(1, 20)))
+        rows = [(k, i, 10, 0) for i, k in enumerate(keys)]
+        cuts = sorted(r.sample(range(len(rows) + 1), min(len(rows), 5)))
+        parts = [rows[a:b] for a, b in zip([0, *cuts], [*cuts, len(rows)])]
+        names = ["key", "sig", "n", "pos"]
+        batches = [pa.RecordBatch.from_arrays([pa.array([x[c] for x in p], pa.int64()) for c in range(4)], names) for p in parts]
+        out = [tuple(x.values()) for b in copies._shared(iter(batches), copies.LEAST) for x in b.to_pylist()]
+        assert out == [(*x, keys.index(x[0])) for x in rows if keys.count(x[0]) > 1]
+
+
 def test_pipeline_drops_near_copies(spark):
     rows = list(enumerate(corpus(5)))
     docs = spark.createDataFrame([*rows, (None, "no id"), (None, None)], "doc_id long, text string")
