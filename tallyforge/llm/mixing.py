@@ -2,7 +2,9 @@
 
 Slot t of the mix is the point frac(t / golden ratio), in whole numbers modulo 2^31; the point falls into one source's
 stretch of the cumulative target shares. The k-th slot of a source takes the k-th block of its shuffled words, going
-round again after the last. Blocks have equally many words, so each source comes within a few blocks of its target.
+round again after the last. Blocks have equally many words; a source's last slot takes what its target still needs, a
+source that the points gave too few slots (one smaller than a block may have none) gets the rest at the end of the
+schedule, and slots beyond the target are dropped. So each source meets its target to the word, however small it is.
 
 Ranks and running sums are made in two levels (within chunks, and over chunks), so no source is sorted in one task.
 """
@@ -57,20 +59,32 @@ def _prefix(rows: DataFrame, group: str, chunk: str, amount: Column) -> DataFram
 
 
 def schedule(sources: DataFrame, block_words: int) -> DataFrame:
-    """The slots: slot, no (the source), block (in its stream), round (how often it has gone through)."""
+    """The slots: slot, no (the source), block (in its stream), round (how often it has gone through), words (how many
+    of the block's words the slot takes, all but for the last slot of a source)."""
     first = sources.agg(F.max("mix").alias("mix")).first()
     slots = int(round((first["mix"] or 0.0) / block_words))
     points = sources.sparkSession.range(slots).select(F.col("id").alias("slot"), ((F.col("id") % RING) * GOLDEN % RING).alias("at"))
     points = points.withColumn("u", (F.col("at") + 0.5) / RING).withColumn("stretch", F.floor(F.col("u") * STRETCHES).cast("int"))
     over = F.sequence(F.floor(F.col("lo") * STRETCHES).cast("int"), F.floor(F.col("hi") * STRETCHES).cast("int"))
-    pieces = sources.where("hi > lo").select("no", "source_size", "lo", "hi", F.explode(over).alias("stretch"))
-    dealt = points.join(pieces, "stretch").where("u >= lo and u < hi").select("slot", "no", "source_size", F.floor(F.col("slot") / CHUNK).alias("chunk"))
+    pieces = sources.where("hi > lo").select("no", "lo", "hi", F.explode(over).alias("stretch"))
+    dealt = points.join(pieces, "stretch").where("u >= lo and u < hi").select("slot", "no", F.floor(F.col("slot") / CHUNK).alias("chunk"))
     dealt, _ = materialise(dealt, "mix-slots")
     ahead = _prefix(dealt, "no", "chunk", F.lit(1))
     within = F.row_number().over(Window.partitionBy("no", "chunk").orderBy("slot")) - 1
-    ranked = dealt.withColumn("__at", within).join(ahead, ["no", "chunk"]).withColumn("rank", F.col("__before") + F.col("__at"))
+    ranked = dealt.withColumn("__at", within).join(ahead, ["no", "chunk"]).select("slot", "no", (F.col("__before") + F.col("__at")).alias("rank"))
     blocks = F.ceil(F.col("source_size") / block_words)
-    return ranked.where("source_size > 0").select("slot", "no", (F.col("rank") % blocks).alias("block"), F.floor(F.col("rank") / blocks).alias("round"))
+    goal = F.floor(F.col("target") + 0.5).cast("long")
+    rounds = F.floor(F.col("goal") / F.col("source_size"))
+    need = rounds * F.col("blocks") + F.ceil((F.col("goal") - rounds * F.col("source_size")) / block_words)
+    wanted = sources.where("source_size > 0").select("no", "source_size", blocks.alias("blocks"), goal.alias("goal")).withColumn("need", need)
+    given = dealt.groupBy("no").agg(F.count("*").alias("given"))
+    short = wanted.join(given, "no", "left").withColumn("given", F.coalesce("given", F.lit(0))).where("given < need")
+    late = short.select(F.lit(slots).cast("long").alias("slot"), "no", F.explode(F.sequence(F.col("given"), F.col("need") - 1)).alias("rank"))
+    taking = ranked.unionByName(late).join(wanted, "no").where("rank < need")
+    block = (F.col("rank") % F.col("blocks")).cast("long")
+    round_ = F.floor(F.col("rank") / F.col("blocks"))
+    left = F.col("goal") - round_ * F.col("source_size") - block * block_words
+    return taking.select("slot", "no", block.alias("block"), round_.alias("round"), F.least(F.lit(block_words), F.col("source_size") - block * block_words, left).cast("long").alias("words"))
 
 
 def placed(docs: DataFrame, block_words: int = 128, seed: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -97,23 +111,28 @@ def mixed(docs: DataFrame, block_words: int = 128, most: int = 2, seed: int = 5)
     """
     sources, rows = placed(docs, block_words, seed)
     rows, _ = materialise(rows, "mix-places")
-    times = schedule(sources, block_words).where(F.col("round") < most).groupBy("no", "block").agg(F.count("*").alias("times"))
+    times = schedule(sources, block_words).where(F.col("round") < most).groupBy("no", "block", "words").agg(F.count("*").alias("times"))
     own = F.sequence(F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words))
     cut = rows.where("size > 0").select("*", F.explode(own).alias("block")).join(times, ["no", "block"], "left")
-    inside = F.least((F.col("block") + 1) * block_words, F.col("start") + F.col("size")) - F.greatest(F.col("block") * block_words, F.col("start"))
+    begin = F.col("block") * block_words
+    inside = F.least(begin + F.col("words"), F.col("start") + F.col("size")) - F.greatest(begin, F.col("start"))
     often = F.coalesce("times", F.lit(0))
-    head = F.col("block") == F.floor(F.col("start") / block_words)
-    sums = cut.groupBy("no", "start", "doc_id", "size", "source_size", "target").agg(F.sum(inside * often).cast("long").alias("taken"), F.max(F.when(head, often).otherwise(0)).cast("int").alias("first"))
+    head = (F.col("start") >= begin) & (F.col("start") < begin + F.col("words"))
+    sums = cut.groupBy("no", "start", "doc_id", "size", "source_size", "target").agg(F.coalesce(F.sum(F.greatest(inside, F.lit(0)) * often), F.lit(0)).cast("long").alias("taken"), F.sum(F.when(head, often).otherwise(0)).cast("int").alias("first"))
     none = rows.where("size = 0").select("no", "start", "doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.lit(0).alias("first"))
     return sums.unionByName(none).select("doc_id", "size", "source_size", "target", "taken", "first")
 
 
 def mix_documents(docs: DataFrame, block_words: int = 128) -> DataFrame:
-    """Whole documents in the mix: each row of `docs` as often as the schedule takes the block of its first word. Rows
-    of one doc_id are taken alike; columns stay as they are."""
-    often = mixed(docs, block_words).groupBy("doc_id").agg(F.max("first").alias("__times")).where("__times > 0").withColumnRenamed("doc_id", "__taken")
-    out = docs.join(often, docs["doc_id"].eqNullSafe(often["__taken"])).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-    return out.select(*(docs[c] for c in docs.columns))
+    """Whole documents in the mix: each row of `docs` as often as the schedule takes the word it begins with.
+
+    Rows of one doc_id are taken alike, null doc_ids too; documents without a word, among them null texts, are not in
+    the mix; columns stay as they are, whatever their names. Ties, empty tables and long texts as in `mixed`.
+    """
+    often = mixed(docs, block_words).groupBy("doc_id").agg(F.max("first").alias("times")).where("times > 0")
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["doc_id"].cast("long").alias("own"))
+    out = rows.join(often, rows["own"].eqNullSafe(often["doc_id"])).select("row", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return out.select("row.*")
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:

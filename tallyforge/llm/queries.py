@@ -24,21 +24,16 @@ def queries() -> dict[str, Callable]:
 
 WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
 
-#: The same mix by one sort per source; blocks of 128 words, the seed 5, the ring of 2 ** 31 points.
+#: The same mix without a schedule: each source's shuffled stream of words is gone through until its target is met.
 MIXING = f"""WITH d AS (SELECT doc_id, source, CAST(len({WORDS}) AS BIGINT) AS size, md5('5-' || CAST(doc_id AS VARCHAR)) AS o FROM documents),
 n AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS no FROM d GROUP BY 1),
 w AS (SELECT *, CAST([5, 2, 1][no % 3 + 1] AS DOUBLE) AS w, 2.0 * source_size AS cap, 1.5 * sum(source_size) OVER () AS mix FROM n),
 l AS (SELECT *, (CAST(mix AS DOUBLE) - coalesce(sum(CAST(cap AS DOUBLE)) OVER (ORDER BY cap / w, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY cap / w, no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
-t AS (SELECT *, least(CAST(cap AS DOUBLE), w * (SELECT level FROM l WHERE level <= cap / w ORDER BY cap / w, no LIMIT 1)) AS target FROM l),
-c AS (SELECT *, sum(target) OVER (ORDER BY no ROWS UNBOUNDED PRECEDING) / sum(target) OVER () AS hi FROM t),
-i AS (SELECT *, coalesce(lag(hi) OVER (ORDER BY no), 0) AS lo FROM c),
-p AS (SELECT slot, ((slot % 2147483648 * 1327217885) % 2147483648 + 0.5::DOUBLE) / 2147483648 AS u FROM (SELECT unnest(range((SELECT CAST(round_even(CAST(max(mix) AS DOUBLE) / 128, 0) AS BIGINT) FROM w))) AS slot)),
-k AS (SELECT no, source_size, row_number() OVER (PARTITION BY no ORDER BY slot) - 1 AS place FROM p JOIN i ON u >= lo AND u < hi),
-b AS (SELECT no, place % ((source_size + 127) // 128) AS block, count(*) AS times FROM k WHERE place // ((source_size + 127) // 128) < 2 GROUP BY 1, 2),
-s AS (SELECT d.doc_id, d.size, i.no, i.source_size, i.target, CAST(coalesce(sum(size) OVER (PARTITION BY no ORDER BY o, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM d JOIN i ON d.source IS NOT DISTINCT FROM i.source),
-x AS (SELECT doc_id, no, size, start, unnest(range(start // 128, (start + size - 1) // 128 + 1)) AS block FROM s WHERE size > 0),
-a AS (SELECT doc_id, CAST(sum((least((block + 1) * 128, start + size) - greatest(block * 128, start)) * coalesce(times, 0)) AS BIGINT) AS taken FROM x LEFT JOIN b USING (no, block) GROUP BY 1)
-SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM s LEFT JOIN a USING (doc_id)"""
+t AS (SELECT no, source, source_size, least(CAST(cap AS DOUBLE), w * (SELECT level FROM l WHERE level <= cap / w ORDER BY cap / w, no LIMIT 1)) AS target FROM l),
+g AS (SELECT *, CAST(floor(target + 0.5::DOUBLE) AS BIGINT) AS goal FROM t),
+s AS (SELECT d.doc_id, d.size, g.source_size, g.target, goal // greatest(source_size, 1) AS full_rounds, goal % greatest(source_size, 1) AS rest,
+ CAST(coalesce(sum(size) OVER (PARTITION BY no ORDER BY o, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target, CAST(size * full_rounds + greatest(least(start + size, rest) - start, 0) AS BIGINT) AS taken FROM s"""
 
 #: Every string of 400 bytes, in hexadecimal, counted.
 REPEATS = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), n AS (SELECT doc_id, h, length(h) // 2 AS n FROM d),
