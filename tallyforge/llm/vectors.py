@@ -1,11 +1,14 @@
 """Embedding near-duplicates by a flat graph with robust pruning.
 
-A bounded sample gives cluster centres; each vector goes to the clusters of its two nearest centres, so that clusters
-overlap. Every cluster builds a graph of its own: near neighbours thinned by the robust rule (a neighbour is dropped
+A bounded sample gives cluster centres; each vector goes to the cluster of its nearest centre and to those whose border
+lies so near that a vector within range may stand beyond it, as far as `cells` allows. Every cluster builds a graph of its own: near neighbours thinned by the robust rule (a neighbour is dropped
 if one kept already is nearer to it by a factor alpha). The adjacency lists of a vector are united over its clusters.
 A search starts at a cluster's medoids and at the vector's own list, goes greedily on with a beam, and then expands
-through everything within range. What it finds is verified in double precision, and the recall of a set of vectors is
-measured against all rows; with too low a recall the search runs again with more clusters and a wider beam.
+through everything within range. What it finds is verified in double precision.
+
+The recall of a set of vectors is measured against all rows, as the mean over vectors that have links, those with few
+links apart, so that a dense group does not hide what sparse pairs lose. With too low a recall the search runs again
+with more clusters for each vector and a wider beam, and failing that every block is compared with every other.
 """
 
 from __future__ import annotations
@@ -173,10 +176,11 @@ def _padded(lists: list[np.ndarray]) -> np.ndarray:
 
 
 
-
-
 def _links_once(reps: DataFrame, least: float, cells: int, cell_rows: int, block_rows: int, sample_rows: int, degree: int, beam: int, alpha: float) -> DataFrame:
-    """rep, links (weighted by copies) and root (smallest rep met) for each cluster that a vector belongs to."""
+    """rep, links (weighted by copies) and root (smallest rep met) for each cluster that a vector belongs to.
+
+    With `cells` = 0 all vectors are one cluster and its blocks are compared without a graph: exact, at quadratic cost.
+    """
     spark = reps.sparkSession
     sizes = {r["dim"]: r["n"] for r in reps.groupBy("dim").agg(F.count("*").alias("n")).collect()}
     sample = reps.orderBy(F.xxhash64("rep"), "rep").limit(sample_rows).select("dim", "vector").toArrow()
@@ -185,8 +189,9 @@ def _links_once(reps: DataFrame, least: float, cells: int, cell_rows: int, block
     own = {}
     for dim, n in sizes.items():
         mine = [lists[i] for i in np.nonzero(by_dim == dim)[0]]
-        own[dim] = centres(units(mine), max(1, min(-(-n // cell_rows), len(mine) // 4))) if mine else np.zeros((1, dim))
+        own[dim] = centres(units(mine), max(1, min(-(-n // cell_rows), len(mine) // 4))) if mine and cells else np.zeros((1, dim))
     sent = spark.sparkContext.broadcast(own)  # at most sample_rows / 4 centres
+    reach = float(np.sqrt(2 - 2 * least)) + 1e-9
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,11 +201,16 @@ def _links_once(reps: DataFrame, least: float, cells: int, cell_rows: int, block
                 part = batch.take(pa.array(at))
                 x = units(part.column("vector").to_pylist())
                 middle = sent.value[int(dim)]
-                k = min(cells, len(middle))
-                near = np.sort(np.argsort(-(x @ middle.T), axis=1, kind="stable")[:, :k], axis=1).astype(np.int32)
-                flat = pa.array(near.ravel(), pa.int32())
-                rows = pa.array(np.repeat(np.arange(len(at)), k))
-                everywhere = pa.ListArray.from_arrays(pa.array(np.arange(0, len(at) * k + 1, k), pa.int32()), flat)
+                k = max(1, min(cells, len(middle)))
+                sims = x @ middle.T
+                near = np.argsort(-sims, axis=1, kind="stable")[:, :k].astype(np.int32)
+                # beyond the border with a centre: no vector within range of x can be nearer to it
+                ahead = np.take_along_axis(sims, near[:, :1], axis=1) - np.take_along_axis(sims, near, axis=1)
+                apart = np.linalg.norm(middle[near[:, :1]] - middle[near], axis=2)
+                near = np.sort(np.where(ahead <= reach * apart, near, -1), axis=1)
+                flat, line = near.ravel(), np.repeat(np.arange(len(at)), k)
+                everywhere = pa.ListArray.from_arrays(pa.array(np.arange(0, len(at) * k + 1, k), pa.int32()), pa.array(flat, pa.int32()))
+                rows, flat = pa.array(line[flat >= 0]), pa.array(flat[flat >= 0], pa.int32())
                 yield pa.RecordBatch.from_arrays([part.column("dim").take(rows), flat, part.column("rep").take(rows), part.column("n").take(rows), part.column("vector").take(rows), everywhere.take(rows)], ["dim", "cell", "rep", "n", "vector", "cells"])
 
     dealt, _ = materialise(reps.select("dim", "rep", "n", "vector").mapInArrow(deal, "dim int, cell int, rep long, n long, vector array<double>, cells array<int>"), "vec-cells")
@@ -217,31 +227,38 @@ def _links_once(reps: DataFrame, least: float, cells: int, cell_rows: int, block
         return pd.DataFrame({"rep": reps, "list": [reps[own] for own in lists]})
 
     key = ["dim", "cell", "low", "high"]
-    built = member.select(*key, "rep", "vector").groupBy(*key).applyInPandas(build, "rep long, list array<long>")
-    united = built.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("list"))).alias("list"))
-    ready = member.join(united, "rep")
+    if cells:
+        built = member.select(*key, "rep", "vector").groupBy(*key).applyInPandas(build, "rep long, list array<long>")
+        united = built.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("list"))).alias("list"))
+        ready = member.join(united, "rep")
+    else:
+        ready = member.withColumn("list", F.array().cast("array<bigint>"))
 
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rep").reset_index(drop=True)
         x, reps, often, block = units(pdf["vector"].tolist()), pdf["rep"].to_numpy(), pdf["n"].to_numpy(), pdf["block"].to_numpy()
-        lists = []
-        for own in pdf["list"]:
-            at = np.searchsorted(reps, own)
-            at[at == len(reps)] = 0
-            lists.append(at[reps[at] == own])
-        hits = search(x, _padded(lists), medoids(x), least, beam)
-        hits |= hits.T
+        if cells:
+            lists = []
+            for own in pdf["list"]:
+                at = np.searchsorted(reps, own)
+                at[at == len(reps)] = 0
+                lists.append(at[reps[at] == own])
+            hits = search(x, _padded(lists), medoids(x), least, beam)
+            hits |= hits.T
+        else:
+            y = x.astype(np.float32)
+            hits = np.concatenate([y[i : i + 512] @ y.T >= least - 1e-5 for i in range(0, len(y), 512)])
         a, b = np.nonzero(np.triu(hits, 1))
         true = np.concatenate([(x[a[c : c + 100000]] * x[b[c : c + 100000]]).sum(axis=1) >= least for c in range(0, len(a), 100000)]) if len(a) else np.zeros(0, dtype=bool)
         a, b = a[true], b[true]
         # a pair counts in the first cluster that both belong to, and there in the shard of their two blocks
         cell, low, high = (int(pdf[c].iloc[0]) for c in ("cell", "low", "high"))
-        cells = np.array(pdf["cells"].tolist())
+        own_cells = np.array(pdf["cells"].tolist())
         shared = np.full(len(a), np.iinfo(np.int32).max)
-        for i in range(cells.shape[1]):
-            for j in range(cells.shape[1]):
-                same = cells[a, i] == cells[b, j]
-                shared[same] = np.minimum(shared[same], cells[a, i][same])
+        for i in range(own_cells.shape[1]):
+            for j in range(own_cells.shape[1]):
+                same = (own_cells[a, i] == own_cells[b, j]) & (own_cells[a, i] >= 0)
+                shared[same] = np.minimum(shared[same], own_cells[a, i][same])
         counts = (shared == cell) & (np.minimum(block[a], block[b]) == low) & (np.maximum(block[a], block[b]) == high)
         links = np.bincount(a[counts], often[b[counts]], len(reps)) + np.bincount(b[counts], often[a[counts]], len(reps))
         root = np.arange(len(reps))
@@ -258,29 +275,41 @@ def _links_once(reps: DataFrame, least: float, cells: int, cell_rows: int, block
     return ready.select(*key, "block", "rep", "n", "vector", "cells", "list").groupBy(*key).applyInPandas(find, "rep long, links long, root long")
 
 
-def recall(reps: DataFrame, found: DataFrame, least: float, queries: int = 512) -> float:
-    """Links found of `queries` vectors (first by hash), as a share of those that all rows have."""
-    asked = reps.orderBy(F.xxhash64("rep", F.lit(9)), "rep").limit(queries)
-    rows = asked.join(found, "rep", "left").select("dim", "rep", "n", "vector", F.coalesce("links", F.lit(0)).alias("links")).collect()
+def recall(reps: DataFrame, found: DataFrame, least: float, queries: int = 2048, few: int = 8) -> float | None:
+    """Share of its links that a vector has on average, over `queries` vectors (first by hash) and a quarter as many of
+    those with links; the lesser of the means over all and over vectors with up to `few` links. None without any link.
+    """
+    known = reps.join(found, "rep", "left").select("dim", "rep", "vector", F.coalesce("links", F.lit(0)).alias("links"))
+    order = [F.xxhash64("rep", F.lit(9)), "rep"]
+    asked = known.orderBy(*order).limit(queries).union(known.where("links > 0").orderBy(*order).limit(queries // 4)).dropDuplicates(["rep"])
+    rows = asked.collect()
     sent = reps.sparkSession.sparkContext.broadcast([(r["dim"], r["rep"], r["vector"]) for r in rows])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, int] = {}
+        sides: dict[int, tuple[list[int], np.ndarray]] = {}
         for batch in batches:
             dims = batch.column("dim").to_numpy()
             for dim in np.unique(dims):
-                part = batch.take(pa.array(np.nonzero(dims == dim)[0]))
-                mine = [q for q in sent.value if q[0] == dim]
-                if not mine:
-                    continue
-                sims = units([q[2] for q in mine]) @ units(part.column("vector").to_pylist()).T
-                often, other = part.column("n").to_numpy(), part.column("rep").to_numpy()
-                for q, line in zip(mine, sims):
-                    total[q[1]] = total.get(q[1], 0) + int(often[(line >= least) & (other != q[1])].sum())
+                if dim not in sides:
+                    mine = [q for q in sent.value if q[0] == dim]
+                    sides[dim] = [q[1] for q in mine], units([q[2] for q in mine]) if mine else np.zeros((0, dim))
+                names, x = sides[dim]
+                whole = batch.take(pa.array(np.nonzero(dims == dim)[0]))
+                for start in range(0, whole.num_rows, 2048):
+                    part = whole.slice(start, 2048)
+                    close = x @ units(part.column("vector").to_pylist()).T >= least
+                    often, other = part.column("n").to_numpy(), part.column("rep").to_numpy()
+                    for i in np.nonzero(close.any(axis=1))[0]:
+                        total[names[i]] = total.get(names[i], 0) + int(often[close[i] & (other != names[i])].sum())
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["rep", "true"])
 
-    true = reps.select("dim", "rep", "n", "vector").mapInArrow(count, "rep long, true long").agg(F.sum("true").alias("t")).first()["t"] or 0
-    return sum(r["links"] for r in rows) / true if true else 1.0
+    true = {r["rep"]: r["t"] for r in reps.select("dim", "rep", "n", "vector").mapInArrow(count, "rep long, true long").groupBy("rep").agg(F.sum("true").alias("t")).collect()}
+    shares = [(min(1.0, r["links"] / true[r["rep"]]), true[r["rep"]]) for r in rows if true.get(r["rep"], 0)]
+    if not shares:
+        return None
+    sparse = [s for s, n in shares if n <= few]
+    return float(min(np.mean([s for s, _ in shares]), np.mean(sparse) if sparse else 1.0))
 
 
 def near_duplicates(table: DataFrame, least: float = 0.95, cell_rows: int = 1500, block_rows: int = 6000, sample_rows: int = 16384, degree: int = 20, alpha: float = 1.2) -> DataFrame:
@@ -290,7 +319,8 @@ def near_duplicates(table: DataFrame, least: float = 0.95, cell_rows: int = 1500
     hold null or non-finite components, link with nothing, nor do vectors of different lengths. Equal vectors count as
     links of each other and are searched for once, whatever their number; a repeated row is another copy. A row with
     null vec_id links with nothing. An empty table gives no rows; other columns are ignored. `sample_rows` bounds the
-    vectors that shape the clusters; all vectors are indexed and searched for.
+    vectors that shape the clusters; all vectors are indexed and searched for. audit_recall is null if none of the
+    vectors asked has a link. Below 0.99 the search goes wider, at last to all blocks: what is returned then is exact.
     """
     vector = F.col("embedding").cast("array<double>")
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("vector"))
@@ -298,11 +328,11 @@ def near_duplicates(table: DataFrame, least: float = 0.95, cell_rows: int = 1500
     rows = rows.withColumn("ok", F.coalesce(~bad & F.col("vec_id").isNotNull(), F.lit(False)))
     reps = rows.where("ok").groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).withColumn("dim", F.size("vector"))
     reps, _ = materialise(reps, "vec-reps")
-    for cells, beam in ((2, 16), (4, 48), (8, 128)):
+    for cells, beam in ((4, 16), (8, 64), (0, 0)):
         parts, _ = materialise(_links_once(reps, least, cells, cell_rows, block_rows, sample_rows, degree, beam, alpha), "vec-links")
         links = parts.groupBy("rep").agg(F.sum("links").alias("links"))
         share = recall(reps, links, least)
-        if share >= 0.99:
+        if share is None or share >= 0.99:
             break
     components = connected_components(parts.select(F.col("rep").alias("src"), F.col("root").alias("dst"))).withColumnRenamed("node", "rep")
     known = reps.join(links, "rep", "left").join(components, "rep", "left")
@@ -310,7 +340,7 @@ def near_duplicates(table: DataFrame, least: float = 0.95, cell_rows: int = 1500
     good = rows.where("ok").join(known, "vector").select("vec_id", F.col("links").cast("long").alias("n_links"), F.col("component").alias("component_id"))
     lone = rows.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     kept = F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))
-    return good.union(lone).select("vec_id", "n_links", "component_id", kept.alias("kept"), F.lit(float(share)).alias("audit_recall"))
+    return good.union(lone).select("vec_id", "n_links", "component_id", kept.alias("kept"), F.lit(share).cast("double").alias("audit_recall"))
 
 
 def op1_vectors(spark, sf_dir: str) -> DataFrame:
