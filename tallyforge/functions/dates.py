@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -34,44 +35,27 @@ def canonical(x: Column) -> Column:
     return F.trim(F.regexp_replace(s, r"\s+", " "))
 
 
-def java_format(fmt: str) -> str:
-    """A declared format in Spark's letters."""
-    fmt = fmt.replace("%B", "%b")
-    for old, new in (("%d", "d"), ("%m", "M"), ("%Y", "yyyy"), ("%y", "yyyy"), ("%b", "MMM")):
-        fmt = fmt.replace(old, new)
-    return fmt
+#: What each part of a declared format stands for, as a pattern and in Spark's letters.
+PARTS = {"%d": ("[0-9]{1,2}", "d"), "%m": ("[0-9]{1,2}", "M"), "%Y": ("[0-9]{4}", "yyyy"), "%y": ("[0-9]{2}", "yy"), "%b": ("[A-Za-z]{3}", "MMM"), "%B": ("[A-Za-z]{3}", "MMM")}
 
 
-def _spread(fmt: str) -> str:
-    """The format with months set apart, as `canonical` sets them."""
-    out = fmt.replace("%B", "%b")
-    for digit in ("%d", "%Y", "%y", "%m"):
-        out = out.replace(f"{digit}%b", f"{digit} %b").replace(f"%b{digit}", f"%b {digit}")
+def _split(fmt: str) -> list[str]:
+    """The parts of a declared format, months set apart as `canonical` sets them."""
+    out: list[str] = []
+    for part in re.findall("%.|.", fmt, re.S):
+        if out and {out[-1], part} & {"%b", "%B"} and out[-1] in PARTS and part in PARTS:
+            out.append(" ")
+        out.append(part)
     return out
 
 
-def _full_year(s: Column, fmt: str) -> Column:
-    """Two-digit years as four: 69 to 99 are in the 1900s."""
-    shape = "".join({"%d": r"[0-9]{1,2}", "%m": r"[0-9]{1,2}", "%b": "[A-Za-z]{3}", "%y": "([0-9]{2})"}.get(p, None) or "".join("\\" + c if not c.isalnum() and c != " " else c for c in p) for p in _parts(fmt))
-    year = F.regexp_extract(s, f"^{shape}$", 1)
-    century = F.when(year >= "69", "19").otherwise("20")
-    before = len(_parts(fmt[: fmt.index("%y")]))
-    head = "".join({"%d": r"[0-9]{1,2}", "%m": r"[0-9]{1,2}", "%b": "[A-Za-z]{3}"}.get(p, None) or "".join("\\" + c if not c.isalnum() and c != " " else c for c in p) for p in _parts(fmt)[:before])
-    first = F.regexp_extract(s, f"^({head})[0-9]{{2}}", 1)
-    rest = F.regexp_extract(s, f"^{head}[0-9]{{2}}(.*)$", 1)
-    return F.when(year != "", F.concat(first, century, year, rest))
-
-
-def _parts(fmt: str) -> list[str]:
-    out, at = [], 0
-    while at < len(fmt):
-        if fmt[at] == "%":
-            out.append(fmt[at : at + 2])
-            at += 2
-        else:
-            out.append(fmt[at])
-            at += 1
-    return out
+def shape(fmt: str) -> str:
+    return "^" + "".join(PARTS[p][0] if p in PARTS else re.escape(p) for p in _split(fmt)) + "$"
+
+
+def java_format(fmt: str) -> str:
+    """A declared format in Spark's letters."""
+    return "".join(PARTS[p][1] if p in PARTS else f"'{p}'" if p.isalpha() else p for p in _split(fmt))
 
 
 def _once(x: Column, f) -> Column:
@@ -80,11 +64,11 @@ def _once(x: Column, f) -> Column:
 
 
 def _read(s: Column, fmt: str) -> Column:
-    fmt = _spread(fmt)
+    """The date of a canonical text: only a text of the format's shape is parsed. Two-digit years from 69 on are in the 1900s."""
+    day = F.when(s.rlike(shape(fmt)), F.try_to_timestamp(s, F.lit(java_format(fmt)))).cast("date")
     if "%y" in fmt:
-        s = _full_year(s, fmt)
-    day = F.try_to_timestamp(s, F.lit(java_format(fmt))).cast("date")
-    return F.when(F.year(day).between(YEAR_MIN, YEAR_MAX), day)
+        day = _once(day, lambda d: F.when(F.year(d) >= 2069, F.add_months(d, -1200)).otherwise(d))
+    return _once(day, lambda d: F.when(F.year(d).between(YEAR_MIN, YEAR_MAX), d))
 
 
 def strict(x: Column, fmt: str) -> Column:
@@ -117,9 +101,14 @@ def column_format(x: Column, formats: Sequence[str]) -> Column:
     return fitting(x, formats)
 
 
+def readable(x: Column, formats: Sequence[str]) -> Column:
+    """For one value: which of the formats read it."""
+    return _once(canonical(x), lambda s: F.array(*(_read(s, f).isNotNull() for f in formats)))
+
+
 def fitting(x: Column, formats: Sequence[str], unless_empty: bool = False) -> Column:
     """Aggregate: the first format that fits all filled cells. Without a filled cell: the first, or null with `unless_empty`."""
-    fits = F.when(F.coalesce(trim_ws(x) != "", F.lit(False)), _once(canonical(x), lambda s: F.array(*(_read(s, f).isNotNull() for f in formats))))
+    fits = F.when(F.coalesce(trim_ws(x) != "", F.lit(False)), readable(x, formats))
     all_fit = [F.bool_and(F.get(fits, F.lit(i))) for i in range(len(formats))]
     return F.coalesce(*(F.when(ok if unless_empty else F.coalesce(ok, F.lit(True)), F.lit(f)) for ok, f in zip(all_fit, formats)))
 

@@ -40,12 +40,18 @@ def has_phrase(text: Column, phrase: Column | str) -> Column:
     return F.instr(text, phrase) > 0 if isinstance(phrase, str) else F.position(phrase, text) > 0
 
 
+def block_run(glyphs: Sequence[str] = DEFAULTS["redaction_block_glyphs"]) -> str:
+    """The pattern of a run of glyphs that blot a text out."""
+    return "[" + "".join(glyphs) + "]+"
+
+
 def is_redacted(x: Column) -> Column:
-    return F.coalesce(F.upper(x).contains("REDACTED"), F.lit(False))
+    """Whether a cell says that it was hidden, in words or by block glyphs."""
+    return F.coalesce(F.upper(x).contains("REDACTED") | x.rlike(block_run()), F.lit(False))
 
 
-def matches_marker(x: Column, markers: Sequence[str] = DEFAULTS["redaction_markers"]) -> Column:
-    return F.coalesce(x.rlike("|".join(markers)), F.lit(False))
+def matches_marker(x: Column, markers: Sequence[str] = DEFAULTS["redaction_markers"], glyphs: Sequence[str] = DEFAULTS["redaction_block_glyphs"]) -> Column:
+    return F.coalesce(x.rlike("|".join([*markers, block_run(glyphs)])), F.lit(False))
 
 
 def flags(*named: tuple[str, Column]) -> Column:

@@ -23,15 +23,27 @@ def detect_date_format(value: Column) -> Column:
 
 
 def column_profiles(df: DataFrame, *columns: str) -> DataFrame:
-    """column, rows, filled, fill_rate, distinct, kind and modal shape of each column, over all its rows."""
-    cells = long_cells(df, *columns).withColumn("v", F.when(~is_blank(F.col("value")), trim_ws(F.col("value"))))
-    v = F.col("v")
-    digits = F.bool_and(v.rlike("^[0-9]+$"))
-    out = cells.groupBy("column").agg(
-        F.count("*").alias("rows"), F.count("v").alias("filled"), F.count_distinct("v").alias("distinct"), detect_date_format(v).alias("date_format"), F.avg(money.looks_money(v).cast("int")).alias("money"), digits.alias("digits"),
-        F.max(F.length(v)).alias("longest"), F.mode(mask_value(v), deterministic=True).alias("shape"),
+    """column, rows, filled, fill_rate, distinct, kind and modal shape of each column, over all its rows.
+
+    Cells are counted first, so each different value is parsed once; then by shape, then by column. Every step combines
+    before it shuffles.
+    """
+    cells = long_cells(df, *columns).select("column", F.when(~is_blank(F.col("value")), trim_ws(F.col("value"))).alias("v"))
+    v, n = F.col("v"), F.col("n")
+    values = cells.groupBy("column", "v").agg(F.count("*").alias("n"))
+    reads = dates.readable(v, FORMATS)
+    values = values.select("column", "v", "n", mask_value(v).alias("shape"), F.when(v.isNotNull(), reads).alias("reads"), F.when(v.isNotNull(), money.looks_money(v)).alias("money"), v.rlike("^[0-9]+$").alias("digits"))
+    shapes = values.groupBy("column", "shape").agg(
+        F.sum("n").alias("n"), F.count("v").alias("distinct"), F.sum(F.when(F.col("money"), n).otherwise(0)).alias("money"), F.bool_and("digits").alias("digits"), F.max(F.length("v")).alias("longest"),
+        *(F.bool_and(F.get("reads", F.lit(i))).alias(f"r{i}") for i in range(len(FORMATS))),
     )
-    kind = F.when(F.col("filled") == 0, "empty").when(F.col("date_format").isNotNull(), "date").when(F.col("digits"), "integer").when(F.col("money") >= 0.8, "money").when((F.col("distinct") <= 8) & (F.col("longest") <= 12), "indicator").otherwise("text")
+    shown = F.when(F.col("shape").isNotNull(), F.struct(-F.col("n"), F.col("shape")))
+    out = shapes.groupBy("column").agg(
+        F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(F.col("shape").isNotNull(), n)), F.lit(0)).alias("filled"), F.sum("distinct").alias("distinct"), F.sum("money").alias("money"), F.bool_and("digits").alias("digits"),
+        F.max("longest").alias("longest"), F.min_by("shape", shown).alias("shape"), *(F.bool_and(f"r{i}").alias(f"r{i}") for i in range(len(FORMATS))),
+    )
+    out = out.withColumn("date_format", F.coalesce(*(F.when(F.col(f"r{i}"), fmt) for i, fmt in enumerate(FORMATS))))
+    kind = F.when(F.col("filled") == 0, "empty").when(F.col("date_format").isNotNull(), "date").when(F.col("digits"), "integer").when(F.col("money") >= 0.8 * F.col("filled"), "money").when((F.col("distinct") <= 8) & (F.col("longest") <= 12), "indicator").otherwise("text")
     short = F.when(F.length("shape") > 48, F.concat(F.substring("shape", 1, 45), F.lit("..."))).otherwise(F.col("shape"))
     return out.select("column", "rows", "filled", F.bround(F.col("filled") / F.col("rows"), 3).alias("fill_rate"), "distinct", kind.alias("kind"), short.alias("example_shape"), "date_format")
 

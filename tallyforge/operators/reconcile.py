@@ -39,13 +39,20 @@ def continuity(tx: DataFrame, key: str = KEY) -> DataFrame:
     return bridged(tx, key).withColumn("continuity", verdict).drop("__sum", "__hidden", "__last")
 
 
-def facts(tx: DataFrame, key: str = KEY) -> DataFrame:
-    """One row per statement with everything that the checks ask of its rows."""
+def facts(tx: DataFrame, bounds: DataFrame | None = None, key: str = KEY) -> DataFrame:
+    """One row per statement with everything that the checks ask of its rows, from one window and one aggregate.
+
+    `bounds` has each statement's ps and pe; a row whose date is unreadable or not between them is outside. Rows, bounds
+    and windows are dealt out by statement alike, so the transactions are shuffled once.
+    """
     has = lambda flag: F.count_if(F.array_contains(F.split("flags", ","), flag))
     day = F.col("date").try_cast("date")
-    return continuity(tx, key).groupBy(key).agg(
+    rows = tx.join(bounds.select(key, F.struct("ps", "pe").alias("__period")), key, "left") if bounds is not None else tx.withColumn("__period", F.lit(None).cast("struct<ps:date,pe:date>"))
+    hidden = F.sum(F.col("amount").isNull().cast("int")).over(Window.partitionBy(key).orderBy("row_id").rowsBetween(Window.unboundedPreceding, 0))
+    return continuity(rows, key).withColumn("__nth", hidden).groupBy(key).agg(
+        F.count_if(~F.coalesce(day.between(F.col("__period.ps"), F.col("__period.pe")), F.lit(False))).alias("outside"),
         F.count("*").alias("n"), F.sum(F.col("amount").cast("decimal(38,6)")).cast("double").alias("total"), F.count_if(F.col("amount").isNull()).alias("hidden"),
-        F.slice(F.array_sort(F.collect_list(F.when(F.col("amount").isNull(), F.col("row_id")))), 1, 10).alias("hidden_rows"),
+        F.array_sort(F.collect_list(F.when(F.col("amount").isNull() & (F.col("__nth") <= 10), F.col("row_id")))).alias("hidden_rows"),
         F.max_by("balance", F.when(F.col("balance").isNotNull(), F.col("row_id"))).alias("last_balance"), F.min_by("balance", "row_id").alias("first_balance"), F.min_by("amount", "row_id").alias("first_amount"),
         F.count("balance").alias("balances"), F.count_if(F.col("continuity") == "broken").alias("broken"), F.count_if(F.col("continuity") == "unverifiable").alias("unverifiable"),
         F.count_if(F.col("amount") > 0).alias("ins"), F.count_if(F.col("amount") < 0).alias("outs"), F.count(day).alias("dated"), F.min(day).alias("first_day"), F.max(day).alias("last_day"),
@@ -71,14 +78,12 @@ def kpis(tx: DataFrame, headers: DataFrame, counters: DataFrame | None = None) -
 
     `counters` may bring source_lines, multiline_extra, skipped_rows, visual_rows and actionable per statement.
     """
-    rows = headers.join(facts(tx), KEY, "left").fillna(0, ["n", "hidden", "balances", "broken", "unverifiable", "ins", "outs", "dated", "malformed", "redacted", "unresolved", "inferred", "ocr_low"])
+    headers = headers.withColumns({"ps": tolerant(F.col("period_start")), "pe": tolerant(F.col("period_end"))})
+    rows = headers.join(facts(tx, headers.select(KEY, "ps", "pe")), KEY, "left").fillna(0, ["n", "hidden", "balances", "broken", "unverifiable", "ins", "outs", "dated", "malformed", "redacted", "unresolved", "inferred", "ocr_low"])
     if counters is not None:
         rows = rows.join(counters, KEY, "left")
     known = {"source_lines": "int", "multiline_extra": "int", "skipped_rows": "int", "visual_rows": "int", "actionable": "int"}
-    rows = rows.withColumns({c: F.lit(None).cast(t) for c, t in known.items() if c not in rows.columns} | {"ps": tolerant(F.col("period_start")), "pe": tolerant(F.col("period_end"))})
-    span = tx.join(headers.select(KEY, tolerant(F.col("period_start")).alias("__ps"), tolerant(F.col("period_end")).alias("__pe")), KEY)
-    outside = span.groupBy(KEY).agg(F.count_if(~F.coalesce(F.col("date").try_cast("date").between(F.col("__ps"), F.col("__pe")), F.lit(False))).alias("outside"))
-    rows = rows.join(outside, KEY, "left")
+    rows = rows.withColumns({c: F.lit(None).cast(t) for c, t in known.items() if c not in rows.columns})
     n = F.col("n")
     # balance: only the missing end is taken from the balance column
     closing = F.coalesce("closing_balance", F.when(F.col("opening_balance").isNotNull(), F.col("last_balance")))

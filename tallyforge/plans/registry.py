@@ -511,12 +511,14 @@ def field_coverage(spark, sf_dir):
     return profile.field_coverage(rows, {"c_name": True, "memo": True, "blank": True, "extra": False})
 
 
-@query("""SELECT * FROM (SELECT 'o_orderstatus' AS "column", count(*) AS rows, count(*) AS filled, 1.0::DOUBLE AS fill_rate, count(DISTINCT o_orderstatus) AS "distinct", 'indicator' AS kind FROM orders UNION ALL
-  SELECT 'printed', count(*), count(*), 1.0, count(DISTINCT format('{:,.2f}', o_totalprice)), 'money' FROM orders UNION ALL SELECT 'day', count(*), count(*) FILTER (o_orderkey % 4 <> 0), round_even(count(*) FILTER (o_orderkey % 4 <> 0) / count(*), 3), count(DISTINCT CAST(o_orderdate AS DATE)) FILTER (o_orderkey % 4 <> 0), 'date' FROM orders UNION ALL
-  SELECT 'o_orderkey', count(*), count(*), 1.0, count(DISTINCT o_orderkey), 'integer' FROM orders)""")
+@query("""WITH c AS (SELECT 'o_orderstatus' AS "column", o_orderstatus AS v, 'indicator' AS kind, NULL AS date_format FROM orders UNION ALL SELECT 'printed', format('{:,.2f}', o_totalprice), 'money', NULL FROM orders UNION ALL
+  SELECT 'day', CASE WHEN o_orderkey % 4 <> 0 THEN strftime(o_orderdate, '%d/%m/%Y') END, 'date', '%d/%m/%Y' FROM orders UNION ALL SELECT 'o_orderkey', CAST(o_orderkey AS VARCHAR), 'integer', NULL FROM orders),
+s AS (SELECT "column", regexp_replace(regexp_replace(v, '[0-9]', '9', 'g'), '[A-Za-z]', 'A', 'g') AS shape, count(*) AS k FROM c WHERE v IS NOT NULL GROUP BY 1, 2)
+SELECT "column", count(*) AS rows, count(v) AS filled, round_even(count(v) / count(*), 3) AS fill_rate, count(DISTINCT v) AS "distinct", any_value(kind) AS kind, (SELECT shape FROM s WHERE s."column" = c."column" ORDER BY k DESC, shape LIMIT 1) AS example_shape,
+  any_value(date_format) AS date_format FROM c GROUP BY 1""")
 def column_profiles(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select("o_orderstatus", F.format_number("o_totalprice", 2).alias("printed"), F.when(F.col("o_orderkey") % 4 != 0, F.date_format("o_orderdate", "dd/MM/yyyy")).alias("day"), F.col("o_orderkey").cast("string").alias("o_orderkey"))
-    return profile.column_profiles(rows, "o_orderstatus", "printed", "day", "o_orderkey").drop("example_shape", "date_format")
+    return profile.column_profiles(rows, "o_orderstatus", "printed", "day", "o_orderkey")
 
 
 @query("""SELECT event_type, min(length(props)) AS shortest, CAST(floor(median(length(props))) AS INTEGER) AS middle, max(length(props)) AS longest, round_even(avg(length(props)), 1) AS mean FROM events WHERE props IS NOT NULL GROUP BY 1""")

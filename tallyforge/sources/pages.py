@@ -50,8 +50,7 @@ def mean_confidence(words: DataFrame) -> DataFrame:
 
 def guarded(words: DataFrame, boxes: DataFrame | None = None, markers: Sequence[str] = DEFAULTS["redaction_markers"], token: str = "[REDACTED]") -> DataFrame:
     """Words under a drawn box, or that are a marker or block glyphs, become the token; their text is not kept."""
-    glyphs = "^[" + "".join(DEFAULTS["redaction_block_glyphs"]) + "]+$"
-    hidden = matches_marker(F.col("text"), markers) | F.coalesce(F.col("text").rlike(glyphs), F.lit(False)) | F.coalesce(F.col("redacted"), F.lit(False))
+    hidden = matches_marker(F.col("text"), markers) | F.coalesce(F.col("redacted"), F.lit(False))
     rows = words
     if boxes is not None:
         own = boxes.groupBy("statement_id", "page").agg(F.collect_list(F.struct("x0", "y0", "x1", "y1")).alias("__boxes"))

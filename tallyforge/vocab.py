@@ -15,7 +15,7 @@ DEFAULTS: dict[str, object] = {
     "overdrawn_markers": ["OD"],
     "period_connectives": ["to", "through", "thru", "until"],
     "redaction_markers": [r"\[REDACTED\]", r"\bREDACTED\b", "X{6,}", "#{6,}"],
-    "redaction_block_glyphs": ["█", "▇", "▆", "▅", "■"],
+    "redaction_block_glyphs": ["█", "▓", "▒", "░", "■", "▬", "▮", "▀", "▄", "▇", "▆", "▅"],
     "header_keywords": [
         "date", "balance", "amount", "withdrawal", "withdrawals", "deposit", "deposits", "debit", "credit", "description", "details",
         "transaction", "transactions", "particulars", "reference", "code", "type", "payment", "payments", "memo", "narrative",
@@ -36,10 +36,14 @@ DEFAULTS: dict[str, object] = {
         "totals? (at|for|of|on|to)( the)?( end of)?( the)? (page|period|statement|month|year|day|section|account)",
         "totals? (this|the) (page|period|statement|month|year|day|section|account)",
     ],
-    "money_regex": r"\(?[-+]?[$€£]?\s?[0-9][0-9,.]*[0-9]\)?(?:\s?(?:CR|DR|OD))?",
-    "date_regex": r"[0-9]{1,2}\s+[A-Za-z]{3,9}\s+[0-9]{2,4}|[0-9]{1,2}[/-][0-9]{1,2}[/-][0-9]{2,4}|[0-9]{4}-[0-9]{2}-[0-9]{2}",
-    "account_regex": r"\b[0-9]{2}-[0-9]{4}-[0-9]{7}-[0-9]{2,3}\b",
-    "card_regex": r"\b[0-9]{4}[ -](?:[0-9X*]{4}[ -]){2}[0-9]{4}\b",
+    # an amount has decimals or a currency sign: a year, a page or a count alone is none
+    "money_regex": (
+        r"(?i)\(?[-−–]?[$]?[-−–]?[0-9][0-9,.]*(?:\.[0-9]{2}|,[0-9]{2})(?![0-9])\)?[-−–]?(?:\s?(?:DR|CR|OD)\b)?"
+        r"|\(?[-−–]?[$][-−–]?[0-9][0-9,]*(?![0-9.,])\)?[-−–]?(?:\s?(?:DR|CR|OD)\b)?"
+    ),
+    "date_regex": r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b|[0-9]{1,2}[/ .-][A-Za-z0-9]{2,9}[/ .-][0-9]{2,4}",
+    "account_regex": r"\b[0-9]{2}-[0-9]{4}-[0-9]{6,7}-[0-9]{2,3}\b",
+    "card_regex": r"\b[0-9]{4}[- ]?[0-9X*]{4}[- ]?[0-9X*]{4}[- ]?[0-9]{4}\b",
     "field_name_patterns": {
         "date": r"\bdate\b|posted|processed", "amount": r"\bamount\b|\bvalue\b", "debit": r"debit|withdraw|money out|paid out",
         "credit": r"credit|deposit|money in|paid in", "balance": r"balance", "description": r"desc|detail|memo|narrat|payee",
