@@ -10,7 +10,8 @@ candidate, from either source, is verified on the whole sets.
 Of a group that shares a prefix shingle, all are compared with one first, and what those links join is one component. Rows
 of different components are then held against each other by parity maps: bit h mod b of a set is the parity of its
 shingles there, so the bits in which two maps differ are at most the shingles that one set alone has. That bound loses
-no pair, and only pairs that pass it leave the task. A group is dealt out in blocks, so no task holds all of a large one.
+no pair, and only pairs that pass it leave the task: once as many as join what all would join, then, of the components
+that these leave apart, all. A group is dealt out in blocks, so no task holds all of a large one.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from .simhash import majority, near_links, shingle_hashes
 #: Similarity as a fraction, so that the bar is exact.
 LEAST = (4, 5)
 BLOCK = 256
-MOST_BITS = 4096
+MOST_BITS = 8192
 
 
 def prefix_length(n: int, least: tuple[int, int] = LEAST) -> int:
@@ -42,8 +43,8 @@ def signature(own: np.ndarray) -> int:
 
 
 def map_bits(n: int) -> int:
-    """Bits of the parity map of a set of n: two to four for each shingle."""
-    return min(MOST_BITS, max(64, 1 << max(0, 2 * n - 1).bit_length()))
+    """Bits of the parity map of a set of n: eight to sixteen for each shingle, so that few of them share a bit."""
+    return min(MOST_BITS, max(64, 1 << max(0, 8 * n - 1).bit_length()))
 
 
 def parity_map(own: np.ndarray) -> bytes:
@@ -138,37 +139,56 @@ def _shared(batches: Iterator[pa.RecordBatch], least: tuple[int, int]) -> Iterat
         yield pa.RecordBatch.from_arrays([*(c.filter(pa.array(own)) for c in table.columns), pa.array(root[own])], ["key", "sig", "n", "pos", "root"])
 
 
-def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(a), len(b)), dtype=np.int64)
-    for w in range(a.shape[1]):
-        out += np.bitwise_count(a[:, w, None] ^ b[None, :, w])
-    return out
+def _spanning(x: np.ndarray, y: np.ndarray, parent: list[int]) -> list[int]:
+    """Which of the pairs of components join two that earlier ones have not joined yet."""
 
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
 
-def _apart(least: tuple[int, int]):
+    kept = []
+    for k, (i, j) in enumerate(zip(x.tolist(), y.tolist())):
+        i, j = root(i), root(j)
+        if i != j:
+            parent[max(i, j)] = min(i, j)
+            kept.append(k)
+    return kept
+
+
+def _apart(least: tuple[int, int], spanning: bool):
     """Pairs of one group, in different components, that can still reach the bar by the places before their shared
-    shingle and by their parity maps. Where `cross` is set, only rows of different blocks are compared."""
+    shingle and by their parity maps. Where `cross` is set, only rows of different blocks are compared. With `spanning`
+    only as many as join what all of them would join, the likeliest first in each block."""
     over, of = least[0], least[0] + least[1]
 
-    def pairs(a: tuple, b: tuple, cross: bool) -> tuple[np.ndarray, np.ndarray]:
-        (sig_a, n_a, rest_a, part_a, block_a, map_a), (sig_b, n_b, rest_b, part_b, block_b, map_b) = a, b
-        both = over * (n_a[:, None] + n_b[None, :])
-        fits = (part_a[:, None] != part_b[None, :]) & (of * np.minimum(rest_a[:, None], rest_b[None, :]) >= both)
+    def pairs(a: tuple, b: tuple, cross: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places in the two sides, and by how many shingles the bound exceeds the bar."""
+        (n_a, rest_a, part_a, block_a, map_a), (n_b, rest_b, part_b, block_b, map_b) = a, b
+        fits = (part_a[:, None] != part_b[None, :]) & (of * np.minimum(rest_a[:, None], rest_b[None, :]) >= over * (n_a[:, None] + n_b[None, :]))
         if cross:
             fits &= block_a[:, None] != block_b[None, :]
-        if fits.any():
-            fits &= of * ((n_a[:, None] + n_b[None, :] - _differing(map_a, map_b)) // 2) >= both
         x, y = np.nonzero(fits)
-        return sig_a[x], sig_b[y]
+        spare = np.empty(len(x), dtype=np.int64)
+        for i in range(0, len(x), 8192):
+            c, d = x[i : i + 8192], y[i : i + 8192]
+            differing = np.bitwise_count(map_a[c] ^ map_b[d]).sum(axis=1, dtype=np.int64)
+            spare[i : i + 8192] = of * ((n_a[c] + n_b[d] - differing) // 2) - over * (n_a[c] + n_b[d])
+        own = spare >= 0
+        return x[own], y[own], spare[own]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _groups(batches):
             key, sig, n, pos, part, block, cross = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "sig", "n", "pos", "part", "block", "cross"))
             n, rest, maps = n.astype(np.int64), (n - pos).astype(np.int64), batch.column("map")
             for start, size in zip(*_bounds(key)):
+                if (part[start : start + size] == part[start]).all():
+                    continue
                 own = np.arange(start, start + size)
                 raw = maps.slice(start, size).to_pylist()
                 width = np.array([len(m) // 8 for m in raw])
+                labels, label = np.unique(part[own], return_inverse=True)
+                parent = list(range(len(labels)))
                 # two sets that reach the bar have maps of equal width or twice that
                 for small in np.unique(width):
                     sides = []
@@ -176,12 +196,19 @@ def _apart(least: tuple[int, int]):
                         at = np.nonzero(width == w)[0]
                         table = np.frombuffer(b"".join(raw[i] for i in at), dtype=np.uint64).reshape(len(at), w)
                         rows = own[at]
-                        sides.append((sig[rows], n[rows], rest[rows], part[rows], block[rows], folded(table, small) if len(at) else table.reshape(0, small)))
-                    for k, side in enumerate(sides):
-                        for i in range(0, len(sides[0][0]), BLOCK):
-                            for j in range(0 if k else i, len(side[0]), BLOCK):
-                                x, y = pairs(tuple(c[i : i + BLOCK] for c in sides[0]), tuple(c[j : j + BLOCK] for c in side), bool(cross[start]))
+                        sides.append((rows, label[at], (n[rows], rest[rows], part[rows], block[rows], folded(table, small) if len(at) else table.reshape(0, small))))
+                    (rows, left, columns), _ = sides
+                    for k, (others, right, more) in enumerate(sides):
+                        for i in range(0, len(rows), BLOCK):
+                            for j in range(0 if k else i, len(others), BLOCK):
+                                x, y, spare = pairs(tuple(c[i : i + BLOCK] for c in columns), tuple(c[j : j + BLOCK] for c in more), bool(cross[start]))
+                                if spanning and len(x):
+                                    order = np.argsort(-spare, kind="stable")
+                                    x, y = x[order], y[order]
+                                    kept = _spanning(left[i + x], right[j + y], parent)
+                                    x, y = x[kept], y[kept]
                                 if len(x):
+                                    x, y = sig[rows[i + x]], sig[others[j + y]]
                                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["src", "dst"])
 
     return run
@@ -257,7 +284,8 @@ def near_copies(docs: DataFrame, words: int = 5, least: tuple[int, int] = LEAST,
 
     def linked(pairs: DataFrame) -> DataFrame:
         likely, _ = materialise(_hopeful(pairs, single, least), "copies-likely")
-        wanted = likely.select(F.col("src").alias("sig")).union(likely.select("dst")).distinct().join(reps, "sig").select(F.col("rep").alias("doc_id")).distinct()
+        # a table, so that its size is known: a short list of documents goes to the texts, not the texts to it
+        wanted, _ = materialise(likely.select(F.col("src").alias("sig")).union(likely.select("dst")).distinct().join(reps, "sig").select(F.col("rep").alias("doc_id")).distinct(), "copies-wanted")
         sets = rows.join(wanted, "doc_id", "left_semi").mapInArrow(whole, "sig long, shingles binary").dropDuplicates(["sig"])
         sets, path = materialise(sets, "copies-sets")
         links, _ = materialise(_verified(likely, sets, least), "copies-links")
@@ -273,15 +301,20 @@ def near_copies(docs: DataFrame, words: int = 5, least: tuple[int, int] = LEAST,
     tried, _ = materialise(near.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct(), "copies-tried")
     links = linked(tried)
     parts, _ = materialise(connected_components(links), "copies-parts")
-    placed, _ = materialise(shared.join(parts, shared["sig"] == parts["node"], "left").select("key", "sig", "n", "pos", F.coalesce("component", "sig").alias("part")), "copies-placed")
-    many = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.ceil(F.count("*") / block_rows).cast("int").alias("blocks")).where("low <> high").select("key", "blocks")
-    mixed = placed.join(many, "key").join(single.select("sig", "map"), "sig").withColumn("block", F.expr("cast(pmod(sig, blocks) as int)"))
-    mixed = mixed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    mixed = mixed.select(F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))).alias("key"), "sig", "n", "pos", "part", "block", (F.col("block") != F.col("other")).alias("cross"), "map")
-    dealt = mixed.repartition("key").sortWithinPartitions("key", "sig")
-    apart = dealt.mapInArrow(_apart(least), "src long, dst long").distinct().join(tried, ["src", "dst"], "left_anti")
-    links = links.union(linked(apart))
-    parts, _ = materialise(connected_components(links), "copies-parts")
+
+    def apart(parts: DataFrame, spanning: bool) -> DataFrame:
+        placed = shared.join(parts, shared["sig"] == parts["node"], "left").select("key", "sig", "n", "pos", F.coalesce("component", "sig").alias("part"))
+        many = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.ceil(F.count("*") / block_rows).cast("int").alias("blocks")).where("low <> high").select("key", "blocks")
+        mixed = placed.join(many, "key").join(single.select("sig", "map"), "sig").withColumn("block", F.expr("cast(pmod(sig, blocks) as int)"))
+        mixed = mixed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        mixed = mixed.select(F.when(F.col("blocks") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))).alias("key"), "sig", "n", "pos", "part", "block", (F.col("block") != F.col("other")).alias("cross"), "map")
+        dealt = mixed.repartition("key").sortWithinPartitions("key", "sig")
+        return materialise(dealt.mapInArrow(_apart(least, spanning), "src long, dst long").distinct().join(tried, ["src", "dst"], "left_anti"), "copies-apart")[0]
+
+    # a spanning set first: what it joins leaves few pairs for the second pass, which leaves none out
+    for spanning in (True, False):
+        links = links.union(linked(apart(parts, spanning)))
+        parts, _ = materialise(connected_components(links), "copies-parts")
     named = reps.join(parts, reps["sig"] == parts["node"], "left").select("sig", "rep", F.coalesce("component", "sig").alias("part"))
     names = named.groupBy("part").agg(F.min("rep").alias("component_id"))
     return prints.select("doc_id", "sig").join(named.join(names, "part").select("sig", "component_id"), "sig", "left").select("doc_id", "component_id")
