@@ -118,3 +118,8 @@ def magnitude(x: Column) -> Column:
 def total(x: Column) -> Column:
     """A sum that doesn't depend on the order of rows."""
     return F.sum(x.cast("decimal(38,6)")).cast("double")
+
+
+def shown(x: Column, symbol: str = "$") -> Column:
+    """An amount for reading: thousands, two decimals, the sign before the symbol."""
+    return F.concat(F.when(x < 0, "-").otherwise(""), F.lit(symbol), F.format_number(F.abs(x), 2))

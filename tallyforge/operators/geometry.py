@@ -49,7 +49,8 @@ def rows(words: DataFrame, tolerance: float = ROW_TOLERANCE, *keys: str) -> Data
     The bound is the row's own start, so the rows are a fold over the page's words in reading order; a page is bounded.
     """
     by = ["statement_id", "page", *keys]
-    word = F.struct("y", "x", "width", "height", "text", "word_idx")
+    conf = F.col("ocr_conf") if "ocr_conf" in words.columns else F.lit(None).cast("double").alias("ocr_conf")
+    word = F.struct("y", "x", "width", "height", "text", "word_idx", conf)
     page = words.groupBy(*by).agg(F.array_sort(F.collect_list(word)).alias("w"))
     start = F.struct(F.lit(0).alias("n"), F.lit(None).cast("double").alias("ref"), F.array().cast("array<int>").alias("g"))
 
@@ -71,13 +72,19 @@ def lines(words: DataFrame, tolerance: float = ROW_TOLERANCE) -> DataFrame:
     return numbered.groupBy("statement_id", "page", "line").agg(F.array_join(F.transform(parts, lambda p: p["text"]), " ").alias("text"))
 
 
-def cells(placed: DataFrame, bands: dict[str, dict]) -> DataFrame:
-    """The text of each band of each row, words from left to right; a word may stand in several bands."""
+def cells(placed: DataFrame, bands: dict[str, dict], sure: tuple[str, ...] = ("date", "amount", "balance", "debit", "credit")) -> DataFrame:
+    """The text of each band of each row, words from left to right; a word may stand in several bands. `conf` is the least
+    OCR confidence among the words of the bands in `sure`."""
     cx = F.col("x") + F.col("width") / 2
     own = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda p: p["text"]), " ")
     word = F.struct("x", "word_idx", "text")
     out = [F.nullif(own(F.when(cx.between(b["x_min"], b["x_max"]), word)), F.lit("")).alias(name) for name, b in bands.items()]
-    return placed.groupBy("statement_id", "page", "row").agg(*out, own(word).alias("raw"), F.min("y").alias("y0"), F.max(F.col("y") + F.col("height")).alias("y1"), F.median("height").alias("h"))
+    weighed = F.lit(False)
+    for name, b in bands.items():
+        if name in sure:
+            weighed |= cx.between(b["x_min"], b["x_max"])
+    conf = F.min(F.when(weighed, F.col("ocr_conf"))) if "ocr_conf" in placed.columns else F.lit(None).cast("double")
+    return placed.groupBy("statement_id", "page", "row").agg(*out, conf.alias("conf"), own(word).alias("raw"), F.min("y").alias("y0"), F.max(F.col("y") + F.col("height")).alias("y1"), F.median("height").alias("h"))
 
 
 def overlaps(words: DataFrame, boxes: list[tuple[float, float, float, float]]) -> DataFrame:

@@ -58,7 +58,7 @@ def stacked(headers: DataFrame) -> DataFrame:
 
 def checks_table(reconciled: DataFrame) -> DataFrame:
     """Checks in report order, then the trust."""
-    checks = reconciled.select("statement_id", F.posexplode("kpis").alias("at", "k")).select("statement_id", "at", "k.name", "k.status", "k.expected", "k.actual", "k.discrepancy", "k.detail")
+    checks = reconciled.select("statement_id", F.posexplode_outer("kpis").alias("at", "k")).select("statement_id", "at", "k.name", "k.status", "k.expected", "k.actual", "k.discrepancy", "k.detail")
     none = F.lit(None).cast("string")
     level = reconciled.select("statement_id", F.lit(100).alias("at"), F.lit("trust").alias("name"), F.col("trust_level").alias("status"), none.alias("expected"), F.col("score").cast("string").alias("actual"), none.alias("discrepancy"), F.array_join("reasons", "; ").alias("detail"))
     return checks.unionByName(level)

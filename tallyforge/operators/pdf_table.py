@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, money, text
+from ..params import OCR_CELL_MIN_CONF
 from ..schema import coerce_core
+from ..vocab import DEFAULTS
 from . import geometry
 from .rows import ACTIONABLE, has_amount, keep_row, row_code
 
@@ -58,25 +60,48 @@ def stitched(page: list[dict]) -> list[dict]:
                 elif _blank(row[c]):
                     row[c] = nxt[c]
             row["raw"], row["y1"], row["stitched"] = _joined(row["raw"], nxt["raw"]), max(row["y1"], nxt["y1"]), True
+            row["conf"] = min((c for c in (row["conf"], nxt["conf"]) if not _blank(c)), default=None)
             at += 1
         out.append(row)
         at += 1
     return out
 
 
+MARKERS = frozenset(w.upper() for w in [*DEFAULTS["dr_cr_suffix_credit"], *DEFAULTS["dr_cr_suffix_debit"]])
+MARKED = re.compile(r"(^|[^A-Za-z])(" + "|".join(sorted(MARKERS)) + r")\s*$")
+
+
+def signed_below(row: dict, last: dict) -> bool:
+    """A line of nothing but sign markers gives them to the figures above in the same bands, if those have none yet."""
+    words = str(row["raw"] or "").upper().split()
+    if not words or not MARKERS.issuperset(words):
+        return False
+    moved = False
+    for c in (*AMOUNTS, "balance"):
+        if not _blank(row[c]) and not _blank(last[c]) and re.search("[0-9]", str(last[c])) and not MARKED.search(str(last[c]).strip().upper()):
+            last[c], moved = _joined(last[c], row[c]), True
+    return moved
+
+
 def continued(page: list[dict]) -> list[dict]:
-    """Lines without date and amount that follow a transaction closely add their text to it."""
+    """Lines without date and figures that follow a transaction closely: a sign goes to its amount, other text to its
+    own column, and what has none to the description."""
     last, last_y = None, 0.0
+    own = ("particulars", "code", "reference", "other_party", "type")
     for row in page:
-        plain = _blank(row["date"]) and all(_blank(row[c]) for c in AMOUNTS) and _blank(row["balance"])
         if row["txn"]:
             last, last_y = row, row["y1"]
-        elif plain and last is not None and not row["noise"] and row["y0"] - last_y <= 0.9 * max(last["h"] or 0, 1):
-            own = ("particulars", "code", "reference", "other_party", "type")
+            continue
+        close = last is not None and -max(last["h"] or 0, 1) <= row["y0"] - last_y <= 0.9 * max(last["h"] or 0, 1)
+        plain = _blank(row["date"]) and not any(re.search("[0-9]", str(row[c])) for c in (*AMOUNTS, "balance") if not _blank(row[c]))
+        if close and signed_below(row, last):
+            row["attached"], last_y = True, row["y1"]
+        elif close and plain and not row["noise"]:
             for c in own:
                 if not _blank(row[c]):
                     last[c] = _joined(last[c], row[c])
-            last["description"] = _joined(last["description"], row["description"])
+            rest = row["raw"] if all(_blank(row[c]) for c in own) else _joined(row["description"], " ".join(str(row[c]) for c in (*AMOUNTS, "balance") if not _blank(row[c])))
+            last["description"] = _joined(last["description"], rest)
             last["merged"], row["attached"], last_y = True, True, row["y1"]
         else:
             last = None
@@ -85,7 +110,7 @@ def continued(page: list[dict]) -> list[dict]:
 
 def assembled(rows: DataFrame, merge: bool = True) -> DataFrame:
     """Visual rows with split rows joined and wrapped lines merged, page by page."""
-    schema = "statement_id string, page int, row int, " + ", ".join(f"{c} string" for c in CELLS) + ", raw string, y0 double, y1 double, h double, stitched boolean, merged boolean, attached boolean"
+    schema = "statement_id string, page int, row int, " + ", ".join(f"{c} string" for c in CELLS) + ", raw string, y0 double, y1 double, h double, conf double, stitched boolean, merged boolean, attached boolean"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         page = [dict(r, stitched=False, merged=False, attached=False) for r in pdf.sort_values("row").astype(object).to_dict("records")]
@@ -99,7 +124,7 @@ def assembled(rows: DataFrame, merge: bool = True) -> DataFrame:
         return out[names].astype(object).where(out[names].notna(), None)
 
     noise = text.is_summary_line(F.col("raw")) | text.is_summary_line(F.col("description")) | text.is_footer(F.col("raw"))
-    names = ["statement_id", "page", "row", *CELLS, "raw", "y0", "y1", "h"]
+    names = ["statement_id", "page", "row", *CELLS, "raw", "y0", "y1", "h", "conf"]
     return rows.select(*names, F.coalesce(noise, F.lit(False)).alias("noise")).groupBy("statement_id", "page").applyInPandas(run, schema)
 
 
@@ -139,10 +164,16 @@ def transactions(words: DataFrame, template: dict, headers: DataFrame, pages: Da
     else:
         day = dates.with_year(first, F.col("years"), F.col("ps"), F.col("pe"), fmt)
         inferred, unresolved = F.coalesce("inferred", F.lit(False)) & day.isNotNull(), (F.size("years") < 1) & dates.strict(F.concat_ws(" ", first, F.lit("2000")), f"{fmt} %Y").isNotNull()
+    # only where the declared format reads no date of the whole document: day and month by name, the year from the period
+    two = leading(F.col("date"), 2)
+    named = F.coalesce(*(dates.with_year(two, F.col("years"), F.col("ps"), F.col("pe"), f) for f in ("%d %b", "%b %d")))
+    rows = rows.withColumn("__main", day).withColumn("__none", ~F.max(F.col("__main").isNotNull()).over(Window.partitionBy("statement_id")))
+    other = F.when(F.col("__none") & (F.size("years") > 0), named)
+    day = F.coalesce("__main", other)
     cell = F.concat_ws(" ", "debit", "credit") if style == "debit_credit_cols" else F.col("amount")
     summary = text.is_summary_line(F.col("description")) | text.is_summary_line(F.col("raw"))
     hidden_date = text.is_redacted(F.col("date"))
-    rows = rows.withColumns({"__day": day, "__cell": cell, "__summary": summary, "__inferred": inferred, "__unresolved": F.coalesce(unresolved, F.lit(False))})
+    rows = rows.withColumns({"__other": F.col("__main").isNull() & other.isNotNull(), "__day": day, "__cell": cell, "__summary": summary, "__inferred": inferred, "__unresolved": F.coalesce(unresolved, F.lit(False))})
     band = F.lit(False)
     for f in forced or []:
         band |= (F.col("page") == int(f["page"])) & (F.col("y1") >= float(f.get("y_min", "-inf"))) & (F.col("y0") <= float(f.get("y_max", "inf")))
@@ -160,6 +191,7 @@ def transactions(words: DataFrame, template: dict, headers: DataFrame, pages: Da
     flags = text.flags(
         ("redacted", any_hidden), ("malformed", F.col("__value").isNull() & ~any_hidden), ("date_unresolved", F.col("__unresolved") & F.col("__day").isNull()), ("date_year_inferred", F.col("__inferred")),
         ("no_date", F.col("__day").isNull() & ~F.col("__unresolved")), ("forced", F.col("forced")), ("row_stitched", F.col("stitched")), ("row_text_merged", F.col("merged")),
+        ("ocr_low_conf", F.col("conf") < OCR_CELL_MIN_CONF), ("date_alt_format", F.col("__other")),
     )
     out = kept.select(
         "statement_id", F.row_number().over(order).alias("row_id"), F.date_format("__day", "yyyy-MM-dd").alias("date"), F.col("date").alias("date_raw"), text.clean_description(F.col("description")).alias("description"),

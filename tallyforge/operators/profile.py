@@ -71,7 +71,7 @@ def field_coverage(df: DataFrame, fields: dict[str, bool]) -> DataFrame:
 
 def row_coverage(rows: DataFrame, buckets: tuple[str, ...] = ("kept", "summary_line", "heading_or_note", "date_unparsed", "amount_missing")) -> DataFrame:
     """Rows of each page by what became of them."""
-    return rows.groupBy("statement_id", "page").pivot("code", list(buckets)).agg(F.count("*")).fillna(0, list(buckets))
+    return rows.groupBy("statement_id", "page").pivot("code", list(buckets)).agg(F.count(F.lit(1))).fillna(0, list(buckets))
 
 
 def top_token(df: DataFrame, tokens: Column, *keys: str) -> DataFrame:
