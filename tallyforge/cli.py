@@ -1,4 +1,4 @@
-"""Command line: convert a folder of delimited files and write its results."""
+"""Command line: convert a folder of files and write its results."""
 
 from __future__ import annotations
 
@@ -24,7 +24,7 @@ def main(args: list[str] | None = None) -> int:
         return 2
     spark = session()
     known = templates.merge(templates.load(own.templates), templates.load(own.user_templates, "user", strict=False) if own.user_templates else {})
-    found = engine.convert_delimited(spark, own.input, {k: t for k, t in known.items() if t.get("format", "delimited") == "delimited"}, own.template)
+    found = engine.convert(spark, own.input, known, own.template)
     found.results.write.mode("overwrite").parquet(f"{own.out}/results")
     found.diagnostics.write.mode("overwrite").parquet(f"{own.out}/diagnostics")
     outputs.checks_table(found.reconciled).write.mode("overwrite").parquet(f"{own.out}/checks")

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import money
 from .functions.text import layout_signature
-from .operators import detect, diagnostics, labels, parse, reconcile
+from .operators import detect, diagnostics, geometry, labels, parse, pdf_table, reconcile
 from .operators.templates import delimiters, frame
-from .sources import delimited
+from .sources import delimited, excel, pages
 
 
 @dataclass
@@ -29,45 +33,132 @@ def status(matched: Column, n: Column, level: Column, failed: Column, margin: Co
     return F.when(~matched | (n == 0), "unsupported").when((failed > 0) | (level == "low") | multiple | F.coalesce(margin <= 1, F.lit(False)), "needs_review").otherwise("ok")
 
 
-def convert_delimited(spark: SparkSession, path: str, templates: dict[str, dict], force: str | None = None) -> Result:
-    """Convert every delimited file under a path. Each template has its own expressions; files are dealt to them by detection."""
-    files = delimited.scan(spark, path).where("kind = 'delimited'")
+def _merged(parts: list[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def _result(detection: DataFrame, tx: DataFrame, counters: DataFrame | None, headers: DataFrame, several: DataFrame, layout: DataFrame, documents: DataFrame | None = None) -> Result:
+    """Checks, trust, status and diagnostics of what was read."""
+    # read several times below: kept, so that neither work nor plan is repeated
+    tx = tx.persist()
+    reconciled = reconcile.reconcile(tx, headers, counters).persist()
+    failed = F.size(F.filter("kpis", lambda k: k["status"] == "fail"))
+    results = detection.join(reconciled, "statement_id", "left").join(several, "statement_id", "left").join(layout, "statement_id", "left")
+    results = results.select(
+        "statement_id", "template_id", status(F.col("matched"), F.coalesce("n", F.lit(0)), F.coalesce("trust_level", F.lit("low")), F.coalesce(failed, F.lit(0)), F.col("margin"), F.coalesce("multiple", F.lit(False))).alias("status"),
+        F.coalesce("trust_level", F.lit("low")).alias("trust_level"), "score", F.coalesce("n", F.lit(0)).alias("row_count"), "detail", "layout.signature", "layout.hint",
+    )
+    return Result(results, tx, reconciled, detection, diagnostics.build(reconciled, detection, tx, documents))
+
+
+def _forced(detection: DataFrame, force: str | None) -> DataFrame:
+    if force:
+        detection = detection.withColumns({"template_id": F.lit(force), "matched": F.lit(True), "margin": F.lit(None).cast("double"), "tied": F.array().cast("array<string>")})
+    return detection.select("statement_id", "template_id", "matched", F.col("margin").cast("double").alias("margin"), "tied", "detail").persist()
+
+
+def _of_delimited(spark: SparkSession, files: DataFrame, templates: dict[str, dict], force: str | None) -> Result:
+    """Delimited files. Each template has its own expressions; files are dealt to them by detection."""
     lines = delimited.lines(files).persist()
-    heads = None
+    heads = []
     for template in templates.values():  # a template says where the header is and how it is cut
         rule = (template.get("preamble") or {}).get("header_regex")
         marks = [str(m) for m in (template.get("fingerprint") or {}).get("header_contains_all") or []]
         own = delimited.header_line(lines, rule).where("header_no is not null")
         cut = delimited.resolve_delimiter(F.col("header"), marks, delimiters(template))
-        own = own.select("statement_id", F.lit(template["id"]).alias("template_id"), F.transform(F.split("header", F.concat(F.lit("\\Q"), cut, F.lit("\\E")), -1), lambda c: F.trim(F.regexp_replace(c, '"', ""))).alias("header_cells"))
-        heads = own if heads is None else heads.unionByName(own)
+        heads.append(own.select("statement_id", F.lit(template["id"]).alias("template_id"), F.transform(F.split("header", F.concat(F.lit("\\Q"), cut, F.lit("\\E")), -1), lambda c: F.trim(F.regexp_replace(c, '"', ""))).alias("header_cells")))
     known = frame(spark, templates)
-    cells = files.select("statement_id", "path", "kind").join(F.broadcast(known), F.col("kind") == F.col("format")).join(heads, ["statement_id", "template_id"], "left")
+    cells = files.select("statement_id", "path", "kind").join(known, F.col("kind") == F.col("format")).join(_merged(heads), ["statement_id", "template_id"], "left")
     score = detect.header_score(F.coalesce("header_cells", F.array().cast("array<string>")), F.col("header_marks"))
-    best = cells.groupBy("statement_id").agg(F.array_sort(F.collect_list(F.struct((-(score >= F.col("min_score")).cast("int")).alias("e"), (-score).alias("s"), (-F.col("origin_rank")).alias("o"), F.col("template_id").alias("id")))).alias("r"))
-    one, two = F.get("r", F.lit(0)), F.get("r", F.lit(1))
-    rival = F.coalesce(two["e"] == -1, F.lit(False))
-    ahead = ~rival | (F.struct(one["s"], one["o"]) < F.struct(two["s"], two["o"]))
-    detection = best.select("statement_id", one["id"].alias("template_id"), ((one["e"] == -1) & ahead).alias("matched"), F.when(rival, two["s"] - one["s"]).alias("margin"), F.when((one["e"] == -1) & ~ahead, F.array(one["id"], two["id"])).otherwise(F.array().cast("array<string>")).alias("tied"), F.concat(F.lit("best "), one["id"], F.lit(" score "), (-one["s"]).cast("string")).alias("detail"))
-    if force:
-        detection = detection.withColumns({"template_id": F.lit(force), "matched": F.lit(True), "margin": F.lit(None).cast("int")})
-    detection = detection.persist()
-    tx = counters = headers = None
+    name = F.regexp_extract("path", r"([^/\\]+)$", 1)
+    hit = F.coalesce((F.col("filename_regex") != "") & F.regexp_like(name, F.col("filename_regex")), F.lit(False)).cast("int")
+    detection = _forced(detect.judged(cells.select("statement_id", "template_id", "origin_rank", "min_score", score.cast("double").alias("score"), hit.alias("filename_hit")), files), force)
+    tx, counters, headers = [], [], []
     for name, template in templates.items():
         mine = detection.where((F.col("template_id") == name) & F.col("matched")).select("statement_id")
-        own = lines.join(mine, "statement_id", "left_semi")
-        part, count = parse.parse_delimited(own, template)
-        head = parse.header(mine, template)
-        tx = part if tx is None else tx.unionByName(part)
-        counters = count if counters is None else counters.unionByName(count)
-        headers = head if headers is None else headers.unionByName(head)
-    reconciled = reconcile.reconcile(tx, headers, counters)
-    several = labels.multiple_statements(lines)
-    first = delimited.header_line(lines).select("statement_id", layout_signature(F.array_sort(F.array_distinct(F.filter(F.transform(F.split(F.lower("header"), "[,\t;|]"), lambda c: F.trim(c)), lambda c: c != "")))).alias("layout"))
-    failed = F.size(F.filter("kpis", lambda k: k["status"] == "fail"))
-    results = detection.join(reconciled, "statement_id", "left").join(several, "statement_id", "left").join(first, "statement_id", "left")
-    results = results.select(
-        "statement_id", "template_id", status(F.col("matched"), F.coalesce("n", F.lit(0)), F.coalesce("trust_level", F.lit("low")), F.coalesce(failed, F.lit(0)), F.col("margin"), F.coalesce("multiple", F.lit(False))).alias("status"),
-        F.coalesce("trust_level", F.lit("low")).alias("trust_level"), "score", F.coalesce("n", F.lit(0)).alias("row_count"), "detail", "layout.signature", "layout.hint",
-    )
-    return Result(results, tx, reconciled, detection, diagnostics.build(reconciled, detection))
+        part, count = parse.parse_delimited(lines.join(mine, "statement_id", "left_semi"), template)
+        tx.append(part), counters.append(count), headers.append(parse.header(mine, template))
+    tokens = F.array_sort(F.array_distinct(F.filter(F.transform(F.split(F.lower("header"), "[,\t;|]"), lambda c: F.trim(c)), lambda c: c != "")))
+    layout = delimited.header_line(lines).select("statement_id", layout_signature(tokens).alias("layout"))
+    return _result(detection, _merged(tx), _merged(counters), _merged(headers), labels.multiple_statements(lines), layout)
+
+
+def _of_workbooks(spark: SparkSession, files: DataFrame, templates: dict[str, dict], force: str | None) -> tuple[Result, DataFrame]:
+    """Workbooks, and those that give no rows with the reason."""
+    scanned = excel.scanned(files).persist()
+    none = F.lit(None).cast("int")
+    records = excel.repaired_dates(scanned.where("error is null").drop("error").withColumns({"field_count": none, "expected": none, "span": F.array("row_id")}))
+    heads = scanned.where("error is null").groupBy("statement_id").agg(F.map_keys(F.min_by("cells", "row_id")).alias("header_cells"))
+    own = files.join(heads, "statement_id").withColumns({"kind": F.lit("excel"), "page_text": F.lit("")})
+    detection = _forced(detect.detect(own.select("statement_id", "kind", "header_cells", "page_text", "path"), frame(spark, templates)), force)
+    tx, headers = [], []
+    for name, template in templates.items():
+        mine = detection.where((F.col("template_id") == name) & F.col("matched")).select("statement_id")
+        tx.append(parse.transactions(records.join(mine, "statement_id", "left_semi"), template))
+        headers.append(parse.header(mine, template))
+    tokens = F.array_sort(F.array_distinct(F.transform("header_cells", lambda c: F.lower(F.trim(c)))))
+    several = heads.select("statement_id", F.lit(False).alias("multiple"))
+    return _result(detection, _merged(tx), None, _merged(headers), several, heads.select("statement_id", layout_signature(tokens).alias("layout"))), scanned.where("error is not null").select("statement_id", "error")
+
+
+def _of_pages(spark: SparkSession, files: DataFrame, templates: dict[str, dict], force: str | None, reader: Callable[[bytes], pd.DataFrame]) -> Result:
+    """Files of positioned words, which the plug-in `reader` gives."""
+    words = pages.guarded(pages.read_with(files, reader)).persist()
+    text = pages_text(words)
+    whole = text.groupBy("statement_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "line_no", "text"))), lambda s: s["text"]), "\n").alias("page_text"))
+    own = files.join(whole, "statement_id", "left").withColumns({"header_cells": F.array().cast("array<string>"), "page_text": F.coalesce("page_text", F.lit(""))})
+    detection = _forced(detect.detect(own.select("statement_id", "kind", "header_cells", "page_text", "path"), frame(spark, templates)), force)
+    printed = labels.header_facts(text)
+    span = F.split("period", "\\.\\.")
+    facts = printed.select("statement_id", F.get(span, F.lit(0)).alias("period_start"), F.get(span, F.lit(1)).alias("period_end"), "statement_date", *(money.number(F.col(c)).alias(c) for c in ("opening_balance", "closing_balance")), F.col("stated_count").try_cast("int").alias("stated_count"), "account_number")
+    ocr = words.groupBy("statement_id").agg(F.count_distinct(F.when(F.col("ocr_conf").isNotNull(), F.col("page"))).cast("int").alias("ocr_pages"), F.min("ocr_conf").alias("ocr_min_confidence"), F.max("page").alias("pages"))
+    tx, counters, headers = [], [], []
+    for name, template in templates.items():
+        mine = detection.where((F.col("template_id") == name) & F.col("matched")).select("statement_id")
+        head = parse.header(mine, template).drop("period_start", "period_end", "opening_balance", "closing_balance", "stated_count", "account_number", "ocr_pages", "ocr_min_confidence").join(facts, "statement_id", "left").join(ocr.drop("pages"), "statement_id", "left")
+        part, count = pdf_table.transactions(words.join(mine, "statement_id", "left_semi"), template, head)
+        tx.append(part), counters.append(count), headers.append(head)
+    layout = whole.select("statement_id", layout_signature(F.array_sort(F.array_distinct(F.filter(F.split(F.lower(F.substring_index("page_text", "\n", 12)), r"\s+"), lambda t: t.rlike("^[a-z]{3,}$"))))).alias("layout"))
+    several = labels.multiple_statements(text)
+    documents = ocr.join(several.select("statement_id", "multiple"), "statement_id", "left")
+    return _result(detection, _merged(tx), _merged(counters), _merged(headers), several, layout, documents)
+
+
+def pages_text(words: DataFrame) -> DataFrame:
+    """statement_id, page, line_no and text of the lines of pages of words."""
+    return geometry.lines(words).select("statement_id", "page", F.col("line").cast("int").alias("line_no"), "text")
+
+
+def convert(spark: SparkSession, path: str, templates: dict[str, dict], force: str | None = None, reader: Callable[[bytes], pd.DataFrame] | None = None) -> Result:
+    """Convert every file under a path, of every kind; each has a row in `results`, with the reason where nothing was read.
+
+    `reader` turns the bytes of a page file into words (see `sources.pages.read_with`); without one such files are
+    reported as unsupported. Copies of a file count once.
+    """
+    files = delimited.scan(spark, path).persist()
+    of = lambda kind: {k: t for k, t in templates.items() if t.get("format", "delimited") == kind}
+    have = {r["kind"] for r in files.select("kind").distinct().collect()}
+    parts, lost = [], [files.where("kind is null").select("statement_id", F.lit("no reader for this kind of file").alias("error"))]
+    if "delimited" in have and of("delimited"):
+        parts.append(_of_delimited(spark, files.where("kind = 'delimited'"), of("delimited"), force if force in of("delimited") else None))
+    if "excel" in have and of("excel"):
+        part, errors = _of_workbooks(spark, files.where("kind = 'excel'"), of("excel"), force if force in of("excel") else None)
+        parts.append(part), lost.append(errors)
+    if "pdf" in have and of("pdf") and reader:
+        parts.append(_of_pages(spark, files.where("kind = 'pdf'"), of("pdf"), force if force in of("pdf") else None, reader))
+    none = lambda t: F.lit(None).cast(t)
+    failed = _merged(lost)
+    done = _merged([failed.select("statement_id"), *(p.results.select("statement_id") for p in parts)])
+    left = files.join(done, "statement_id", "left_anti").select("statement_id", F.when(F.col("kind") == "pdf", "no reader for pages, or no template of pages").otherwise("no template for this kind of file").alias("error"))
+    odd = _merged([failed.withColumn("status", F.lit("failed")), left.withColumn("status", F.lit("unsupported"))])
+    rows = odd.select("statement_id", none("string").alias("template_id"), "status", F.lit("low").alias("trust_level"), none("int").alias("score"), F.lit(0).cast("long").alias("row_count"), F.col("error").alias("detail"), none("string").alias("signature"), none("string").alias("hint"))
+    notes = diagnostics.described(diagnostics.of_documents(odd.select("statement_id", "error")))
+    if not parts:
+        raise ValueError("no file under the path has a reader and a template")
+    results = _merged([*(p.results for p in parts), rows]).join(files.select("statement_id", "path"), "statement_id", "left")
+    return Result(results, _merged([p.transactions for p in parts]), _merged([p.reconciled for p in parts]), _merged([p.detection for p in parts]), _merged([*(p.diagnostics for p in parts), notes]))
+
+
+def convert_delimited(spark: SparkSession, path: str, templates: dict[str, dict], force: str | None = None) -> Result:
+    """Convert every delimited file under a path."""
+    return _of_delimited(spark, delimited.scan(spark, path).where("kind = 'delimited'"), templates, force)

@@ -22,7 +22,7 @@ def scored(files: DataFrame, templates: DataFrame) -> DataFrame:
 
     Templates are a driver-side set of some dozens, so the pairs grow with the files alone.
     """
-    pairs = files.join(F.broadcast(templates), files["kind"] == templates["format"])
+    pairs = files.join(templates, files["kind"] == templates["format"])
     score = F.when(F.col("format") == "pdf", page_score(F.col("page_text"), F.col("page_marks"))).otherwise(header_score(F.col("header_cells"), F.col("header_marks")))
     name = F.regexp_extract("path", r"([^/\\]+)$", 1)
     hit = F.coalesce((F.col("format") == "delimited") & (F.col("filename_regex") != "") & F.regexp_like(name, F.col("filename_regex")), F.lit(False)).cast("int")
@@ -35,13 +35,19 @@ def detect(files: DataFrame, templates: DataFrame) -> DataFrame:
     A template contends from its own min_score on. The winner matches if it beats the runner-up on score, else on
     origin, else on the file name; otherwise the file is ambiguous and keeps the tied ids.
     """
-    pairs = scored(files, templates).withColumn("eligible", F.col("score") >= F.col("min_score"))
+    return judged(scored(files, templates), files)
+
+
+def judged(pairs: DataFrame, files: DataFrame) -> DataFrame:
+    """The verdict on each of `files` from its scored pairs."""
+    pairs = pairs.withColumn("eligible", F.col("score") >= F.col("min_score"))
     rank = F.struct((-F.col("eligible").cast("int")).alias("e"), (-F.col("score")).alias("s"), (-F.col("origin_rank")).alias("o"), (-F.col("filename_hit")).alias("f"), F.col("template_id").alias("id"), F.col("min_score").alias("m"))
     best = pairs.groupBy("statement_id").agg(F.array_sort(F.collect_list(rank)).alias("r"))
     first, second = F.get("r", F.lit(0)), F.get("r", F.lit(1))
     eligible = F.filter("r", lambda x: x["e"] == -1)
     one, two = F.get(eligible, F.lit(0)), F.get(eligible, F.lit(1))
-    ahead = F.coalesce(F.struct(one["s"], one["o"], one["f"]) < F.struct(two["s"], two["o"], two["f"]), F.lit(True))
+    # a struct of nulls sorts first, so the lone contender is asked for by itself
+    ahead = two.isNull() | (F.struct(one["s"], one["o"], one["f"]) < F.struct(two["s"], two["o"], two["f"]))
     matched = (F.size(eligible) > 0) & ahead
     tied = F.transform(F.filter(eligible, lambda x: x["s"] == one["s"]), lambda x: x["id"])
     detail = (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..params import MAX_PAGE_POINTS, MAX_PAGES, OCR_PAGE_MIN_CONF
@@ -115,6 +115,7 @@ def build(reconciled: DataFrame, detection: DataFrame | None = None, tx: DataFra
         more.append(of_documents(documents))
     for k, part in enumerate(more):
         rows = rows.unionByName(part.withColumn("source", F.lit(k + 1)))
+    rows = rows.unionByName(reconciled.select("statement_id", F.lit("none").alias("category"), F.lit("-").alias("where"), F.lit("no issue found").alias("detail"), F.lit(len(more) + 1).alias("source")))
     said = rows.groupBy("statement_id", "category").agg(F.min_by(F.struct("where", "detail"), F.struct("source", "where")).alias("f")).select("statement_id", "category", "f.*")
-    clean = reconciled.select("statement_id").join(said.select("statement_id").distinct(), "statement_id", "left_anti")
-    return described(said.unionByName(clean.select("statement_id", F.lit("none").alias("category"), F.lit("-").alias("where"), F.lit("no issue found").alias("detail"))))
+    alone = F.count("*").over(Window.partitionBy("statement_id")) == 1
+    return described(said.withColumn("alone", alone).where("alone or category <> 'none'").drop("alone"))

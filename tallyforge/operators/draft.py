@@ -85,12 +85,15 @@ def draft_delimited(lines: DataFrame, name: str) -> dict:
     return out
 
 
-def suggest_bands(words: DataFrame, page: int = 1) -> dict[str, dict]:
+def suggest_bands(words: DataFrame, page: int = 1, statement_id: str | None = None) -> dict[str, dict]:
     """Bands of a page: the right edges of amounts, clustered, named by the headings above them; text fills what is left.
 
-    A page is one sample: its words come to the driver.
+    The sample is one page of one statement (the first by id unless named): all of its words come to the driver.
     """
-    rows = words.where(F.col("page") == page).select("x", "y", "width", "text").limit(5000).collect()
+    own = words.where(F.col("page") == page)
+    if statement_id is None:
+        statement_id = own.agg(F.min("statement_id").alias("s")).first()["s"]
+    rows = own.where(F.col("statement_id") == statement_id).select("x", "y", "width", "text").collect()
     amounts = sorted(r["x"] + r["width"] for r in rows if re.fullmatch(r"[-(]?[$]?[0-9][0-9,]*\.[0-9]{2}\)?-?(?:CR|DR)?", r["text"]))
     groups: list[list[float]] = []
     for edge in amounts:

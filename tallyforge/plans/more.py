@@ -246,16 +246,17 @@ KNOWN = {
     "memo": {"id": "memo", "bank": "A", "statement_type": "x", "format": "delimited", "fingerprint": {"header_contains_all": ["date", "amount", "memo"]}, "min_score": 3},
     "split": {"id": "split", "bank": "B", "statement_type": "x", "format": "delimited", "fingerprint": {"header_contains_all": ["Date", "Debit", "Credit"]}, "min_score": 3},
     "twin": {"id": "twin", "bank": "B", "statement_type": "x", "format": "delimited", "fingerprint": {"header_contains_all": ["Credit", "Date", "Debit"]}, "min_score": 3},
+    "card": {"id": "card", "bank": "C", "statement_type": "x", "format": "delimited", "fingerprint": {"header_contains_all": ["Card", "When"]}, "min_score": 2},
     "own": {"id": "own", "bank": "B", "statement_type": "x", "format": "delimited", "fingerprint": {"header_contains_all": ["Date", "Amount"]}, "min_score": 2, "origin": "user"},
 }
 
 
-@query("""SELECT CAST(c_custkey AS VARCHAR) AS statement_id, CASE c_custkey % 4 WHEN 0 THEN 'plain' WHEN 1 THEN 'memo' WHEN 2 THEN 'split' ELSE 'memo' END AS template_id, c_custkey % 4 < 2 AS matched, CASE c_custkey % 4 WHEN 0 THEN 0.0 WHEN 1 THEN 1.0 END AS margin,
-  CASE c_custkey % 4 WHEN 0 THEN 'own' WHEN 1 THEN 'plain' WHEN 2 THEN 'twin' ELSE 'plain' END AS runner_up, CASE WHEN c_custkey % 4 = 2 THEN ['split', 'twin'] ELSE []::VARCHAR[] END AS tied FROM customer""")
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS statement_id, CASE c_custkey % 5 WHEN 0 THEN 'plain' WHEN 1 THEN 'memo' WHEN 2 THEN 'split' WHEN 3 THEN 'memo' ELSE 'card' END AS template_id, c_custkey % 5 IN (0, 1, 4) AS matched, CASE c_custkey % 5 WHEN 0 THEN 0.0 WHEN 1 THEN 1.0 END AS margin,
+  CASE c_custkey % 5 WHEN 0 THEN 'own' WHEN 1 THEN 'plain' WHEN 2 THEN 'twin' WHEN 3 THEN 'card' END AS runner_up, CASE WHEN c_custkey % 5 = 2 THEN ['split', 'twin'] ELSE []::VARCHAR[] END AS tied FROM customer""")
 def template_detection(spark, sf_dir):
     """Every file against every template: score, then origin, then file name; equals are ambiguous."""
     c = table(spark, sf_dir, "customer")
-    cells = _case(F.col("c_custkey"), *(F.array(*map(F.lit, h)) for h in (["DATE ", "amount", "note"], ["Date", "Amount", "Memo"], ["date", "debit", "credit"], ["memo", "x", "y"])))
+    cells = _case(F.col("c_custkey"), *(F.array(*map(F.lit, h)) for h in (["DATE ", "amount", "note"], ["Date", "Amount", "Memo"], ["date", "debit", "credit"], ["memo", "x", "y"], ["Card", "When"])))
     files = c.select(F.col("c_custkey").cast("string").alias("statement_id"), F.lit("delimited").alias("kind"), cells.alias("header_cells"), F.lit("").alias("page_text"), F.lit("/in/a.csv").alias("path"))
     found = detect.detect(files, frame(spark, KNOWN))
     return found.select("statement_id", "template_id", "matched", "margin", "runner_up", "tied")

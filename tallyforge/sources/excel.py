@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import excel_serial
 
-NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
+NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships"}
 LOOK = 30
 
 
@@ -26,9 +26,13 @@ def sheets(content: bytes) -> list[tuple[str, list[list[str]]]]:
         if "xl/sharedStrings.xml" in book.namelist():
             root = ElementTree.fromstring(book.read("xl/sharedStrings.xml"))
             shared = ["".join(t.text or "" for t in item.iter(f"{{{NS['m']}}}t")) for item in root.findall("m:si", NS)]
-        names = [s.get("name", "") for s in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{{{NS['m']}}}sheet")]
-        parts = sorted((n for n in book.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.sub(r"\D", "", n)))
-        for k, part in enumerate(parts):
+        # a sheet's part is what the workbook's relations say, not what its number suggests
+        links = {r.get("Id"): r.get("Target", "") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
+        for sheet in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{{{NS['m']}}}sheet"):
+            target = links.get(sheet.get(f"{{{NS['r']}}}id"), "")
+            part = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+            if "worksheets/" not in part or part not in book.namelist():
+                continue
             rows: list[list[str]] = []
             for row in ElementTree.fromstring(book.read(part)).iter(f"{{{NS['m']}}}row"):
                 cells: dict[int, str] = {}
@@ -41,7 +45,7 @@ def sheets(content: bytes) -> list[tuple[str, list[list[str]]]]:
                 number = int(row.get("r") or len(rows) + 1)
                 rows += [[] for _ in range(number - 1 - len(rows))]
                 rows.append([cells.get(i, "") for i in range(max(cells, default=-1) + 1)])
-            out.append((names[k] if k < len(names) else part, rows))
+            out.append((sheet.get("name", part), rows))
     return out
 
 
@@ -72,28 +76,41 @@ def unique_names(names: list[str]) -> list[str]:
     return out
 
 
-def read(files: DataFrame) -> DataFrame:
-    """Records (statement_id, row_id, cells, field_count, expected, text, span) and preamble of workbooks."""
+def scanned(files: DataFrame) -> DataFrame:
+    """Rows (statement_id, row_id, cells, text, preamble) of workbooks; one that gives none has a single row with its error."""
+    kind = "statement_id string, row_id int, cells map<string,string>, text string, preamble string, error string"
+
+    def failed(key: str, why: str) -> pd.DataFrame:
+        return pd.DataFrame({"statement_id": [key], "row_id": [None], "cells": [None], "text": [None], "preamble": [None], "error": [why]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for key, content in zip(batch["statement_id"], batch["content"]):
                 try:
                     sheet = chosen(sheets(content))
-                except (zipfile.BadZipFile, ElementTree.ParseError, KeyError):
+                except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, ValueError) as fault:
+                    yield failed(key, f"the workbook can't be read: {type(fault).__name__}")
                     continue
                 if sheet is None:
+                    yield failed(key, "no sheet has a header with a date and an amount")
                     continue
                 _, at, rows = sheet
                 names = unique_names(rows[at])
                 body = [r for r in rows[at + 1 :] if any(c.strip() for c in r)]
+                if not body:
+                    yield failed(key, "no row stands below the header")
+                    continue
                 preamble = "\n".join(" ".join(r) for r in rows[:at])
                 wide = [(r + [""] * len(names))[: len(names)] for r in body]
-                yield pd.DataFrame({"statement_id": key, "row_id": range(1, len(body) + 1), "cells": [dict(zip(names, r)) for r in wide], "text": ["\t".join(r) for r in body], "preamble": preamble})
+                yield pd.DataFrame({"statement_id": key, "row_id": range(1, len(body) + 1), "cells": [dict(zip(names, r)) for r in wide], "text": ["\t".join(r) for r in body], "preamble": preamble, "error": None})
 
-    rows = files.where("kind = 'excel'").select("statement_id", "content").mapInPandas(run, "statement_id string, row_id int, cells map<string,string>, text string, preamble string")
+    return files.where("kind = 'excel'").select("statement_id", "content").mapInPandas(run, kind)
+
+
+def read(files: DataFrame) -> DataFrame:
+    """Records (statement_id, row_id, cells, field_count, expected, text, span) and preamble of workbooks."""
     none = F.lit(None).cast("int")
-    return rows.withColumns({"field_count": none, "expected": none, "span": F.array("row_id")})
+    return scanned(files).where("error is null").drop("error").withColumns({"field_count": none, "expected": none, "span": F.array("row_id")})
 
 
 def repaired_dates(records: DataFrame, share: float = 0.6) -> DataFrame:

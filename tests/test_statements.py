@@ -98,7 +98,7 @@ def test_detection_and_status_of_a_folder(spark, tmp_path):
     found = engine.convert_delimited(spark, str(tmp_path), {"everyday": EVERYDAY, "card": CARD})
     results = {r["template_id"] if r["status"] != "unsupported" else "-": (r["status"], r["row_count"]) for r in found.results.collect()}
     assert results["everyday"] == ("ok", 2) and results["card"] == ("ok", 2) and results["-"] == ("unsupported", 0) and found.results.count() == 3
-    assert {d["category"] for d in found.diagnostics.collect()} >= {"unsupported_layout"}
+    assert {d["category"] for d in found.diagnostics.collect()} >= {"unknown_format"}
 
 
 def test_template_problems():
