@@ -62,10 +62,12 @@ def with_counts(docs: DataFrame, *keep: str) -> DataFrame:
         *keep, "__words", F.size("__words").cast("long").alias("n_words"), F.length(F.array_join("__words", "")).cast("long").alias("word_chars"),
         F.regexp_count("__text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"), (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
     )
-    # sorting brings equal windows together
-    window = lambda i: F.struct(F.xxhash64(F.get("__words", i), F.get("__words", i + 1), F.get("__words", i + 2)).alias("h"), i.alias("p"))
-    keys = F.transform(F.sequence(F.lit(0), F.size("__words") - 3), window)
-    step = step.withColumn("__keys", F.sort_array(F.when(F.size("__words") >= 3, keys).otherwise(F.array().cast("array<struct<h:bigint,p:int>>")))).drop("__words")
+    window = lambda i: F.xxhash64(F.get("__words", i), F.get("__words", i + 1), F.get("__words", i + 2))
+    hashes = F.transform(F.sequence(F.lit(0), F.size("__words") - 3), window)
+    step = step.withColumn("__hashes", F.when(F.size("__words") >= 3, hashes).otherwise(F.array().cast("array<bigint>"))).drop("__words")
+    # only a text with a repeat is sorted: that brings equal windows together
+    keys = F.sort_array(F.transform("__hashes", lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
+    step = step.withColumn("__keys", F.when(F.size(F.array_distinct("__hashes")) < F.size("__hashes"), keys).otherwise(F.array().cast("array<struct<h:bigint,p:int>>"))).drop("__hashes")
     same = lambda x, y: F.coalesce(x["h"] == y["h"], F.lit(False))
     twice = F.filter("__keys", lambda x, j: same(x, F.get("__keys", j - 1)) | same(x, F.get("__keys", j + 1)))
     step = step.withColumn("__places", F.sort_array(F.transform(twice, lambda x: x["p"].cast("long")))).drop("__keys")
@@ -146,14 +148,21 @@ def estimates(rows: DataFrame, most_steps: int = 12) -> DataFrame:
     medians = middle.join(spread, "grp").select(name(0), *(f"m{i}" for i in range(P)), *cells)
     now = _estimate(medians.unionByName(_moments(rows, 1.0).select(name(1), *MOMENTS)))
     both = rows.select(F.explode(F.array(*(name(k) for k in (0, 1)))).alias("grp"), *(f"x{i}" for i in range(P)))
-    last = None
-    for _ in range(most_steps):
-        found, _ = materialise(_moments(_nearest(_with_distance(both, now)), CONSISTENCY), "mcd-moments")
-        mark = _rooted(found).agg(F.sum(F.round(F.col("logdet") * 1e6).cast("decimal(30,0)"))).first()[0]
-        if mark == last:
+    last, done = now.select("grp", F.lit(None).cast("long").alias("last")), []
+    for step in range(most_steps):
+        found = _rooted(_moments(_nearest(_with_distance(both, now)), CONSISTENCY)).select("grp", "n", *MOMENTS, "logdet", F.round(F.col("logdet") * 1e6).cast("long").alias("mark"))
+        found, _ = materialise(found.join(last, "grp").withColumn("still", F.coalesce(F.col("mark") == F.col("last"), F.lit(False))), "mcd-moments")
+        done.append(found.where("still") if step < most_steps - 1 else found)
+        left = found.where("not still")
+        if not left.head(1):
             break
-        last, now = mark, _estimate(found)
-    best = _rooted(found).groupBy(F.substring("grp", 3, 1 << 30).alias("own")).agg(F.min_by(F.struct("n", *MOMENTS), F.struct("logdet", "grp")).alias("b"))
+        # groups that stay as they are need no further step
+        now, last = _estimate(left), left.select("grp", F.col("mark").alias("last"))
+        both = both.join(last.select("grp"), "grp", "left_semi")
+    ended = done[0]
+    for part in done[1:]:
+        ended = ended.unionByName(part)
+    best = ended.groupBy(F.substring("grp", 3, 1 << 30).alias("own")).agg(F.min_by(F.struct("n", *MOMENTS), F.struct("logdet", "grp")).alias("b"))
     return materialise(best.select(F.col("own").alias("grp"), "b.*"), "mcd-best")[0]
 
 
