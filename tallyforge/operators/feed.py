@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -59,33 +57,77 @@ def upserted(old: DataFrame, new: DataFrame, key: str = "feed_key") -> DataFrame
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def write(spark: SparkSession, rows: DataFrame, folder: str, name: str) -> DataFrame:
-    """Replace the table `folder/name`: the new version is written first, then named in the log of versions."""
-    version = f"{folder.rstrip('/')}/{name}/v-{uuid.uuid4().hex}"
-    rows.write.parquet(version)
-    spark.createDataFrame([(version,)], "version string").withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").json(f"{folder.rstrip('/')}/{name}-versions")
-    return spark.read.parquet(version)
+SIDES = ("transactions", "review")
 
 
-def read(spark: SparkSession, folder: str, name: str) -> DataFrame | None:
-    """The newest version of a table; None before the first."""
+def _folder(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name}-versions")
-    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def read(spark: SparkSession, folder: str, name: str) -> DataFrame | None:
+    """A side of the feed; None before its first row."""
+    files, path = _folder(spark, f"{folder.rstrip('/')}/{name}")
+    if not files.exists(path) or not files.globStatus(_folder(spark, f"{folder.rstrip('/')}/{name}/part=*")[1]):
         return None
-    newest = spark.read.schema("version string, at timestamp").json(f"{folder.rstrip('/')}/{name}-versions").orderBy(F.desc("at")).first()
-    return spark.read.parquet(newest["version"])
+    return spark.read.parquet(f"{folder.rstrip('/')}/{name}").drop("part")
+
+
+def _of_keys(spark: SparkSession, folder: str, name: str, keys: list[str]) -> DataFrame | None:
+    """The rows of some keys: only their folders are read."""
+    side = f"{folder.rstrip('/')}/{name}"
+    paths = [p for p in (f"{side}/part=k{key}" for key in keys) if _folder(spark, p)[0].exists(_folder(spark, p)[1])]
+    return spark.read.parquet(*paths) if paths else None
 
 
 def publish(spark: SparkSession, rows: DataFrame, folder: str) -> None:
-    """Upsert a batch of rows (with feed_key and gate_result): accepted ones to `transactions`, others to `review`; a key
-    that changes sides leaves the other table."""
-    sides = {"transactions": rows.where("gate_result = 'accepted'"), "review": rows.where("gate_result <> 'accepted'")}
-    keys = rows.select("feed_key").distinct()
-    for name, new in sides.items():
-        old = read(spark, folder, name)
-        whole = new if old is None else old.join(keys, "feed_key", "left_anti").unionByName(new, allowMissingColumns=True)
-        write(spark, whole, folder, name)
+    """Upsert a batch of rows (with feed_key and gate_result): accepted ones to `transactions`, others to `review`.
+
+    A content key is a folder of its own, as a file per key is in a folder of files: a batch rewrites the keys that it
+    brings and touches no other. A key that changes sides, or loses its rows on one, leaves the other side; keys are few
+    beside rows, and only theirs are listed. Publishing the same batch again gives the same feed.
+    """
+    rows = rows.persist()
+    try:
+        verdict = F.when(F.col("gate_result") == "accepted", SIDES[0]).otherwise(SIDES[1])
+        here = {(r["feed_key"], r["side"]) for r in rows.select("feed_key", verdict.alias("side")).distinct().toLocalIterator()}
+        for name in SIDES:
+            own = rows.where(verdict == name)
+            if any(side == name for _, side in here):
+                own.withColumn("part", F.concat(F.lit("k"), "feed_key")).repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(f"{folder.rstrip('/')}/{name}")
+        for key in {k for k, _ in here}:
+            for name in SIDES:
+                if (key, name) not in here:
+                    files, path = _folder(spark, f"{folder.rstrip('/')}/{name}/part=k{key}")
+                    files.delete(path, True)
+    finally:
+        rows.unpersist()
+
+
+def retract_stored(spark: SparkSession, folder: str, run_id: str, reason: str = "user_reported_wrong") -> int:
+    """Move a run's accepted rows of the stored feed to review, and prove it: how many rows were moved.
+
+    Only the keys that the run has rows under are rewritten. Raises if the feed still shows an accepted row of the run.
+    """
+    accepted = read(spark, folder, SIDES[0])
+    if accepted is None:
+        return 0
+    keys = [r["feed_key"] for r in accepted.where(F.col("run_id") == run_id).select("feed_key").distinct().collect()]
+    if not keys:
+        return 0
+    touched = _of_keys(spark, folder, SIDES[0], keys).persist()
+    n = touched.where(F.col("run_id") == run_id).count()
+    review = _of_keys(spark, folder, SIDES[1], keys)
+    review = touched.limit(0) if review is None else review
+    stay, moved = retract(touched, review, run_id, reason)
+    batch = stay.unionByName(moved, allowMissingColumns=True)
+    publish(spark, batch, folder)
+    touched.unpersist()
+    after = _of_keys(spark, folder, SIDES[0], keys)
+    if after is not None and after.where(F.col("run_id") == run_id).head(1):
+        raise RuntimeError(f"run {run_id} is still in the feed")
+    return n
 
 
 def retract(accepted: DataFrame, review: DataFrame, run_id: str, reason: str = "user_reported_wrong") -> tuple[DataFrame, DataFrame]:

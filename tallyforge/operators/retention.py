@@ -12,11 +12,29 @@ def due(records: DataFrame, ts: str, now: Column, keep_days: int) -> DataFrame:
 
 
 def roll_up(records: DataFrame, ts: str, folder: str, now: Column | None = None, keep_days: int = 90) -> DataFrame:
-    """Append the old records to the archive, by year, and give back those that stay."""
-    now = F.current_timestamp() if now is None else now
+    """Put the old records into the archive, by year, and give back those that stay.
+
+    The time is taken once. A record is known by its run_id and time, so a newer record of the same run stays, and one
+    that the archive has already is not put there twice: a rerun after a lost job changes nothing.
+    """
+    spark = records.sparkSession
+    if now is None:
+        now = F.lit(spark.sql("select current_timestamp() as t").first()["t"])
     old = due(records, ts, now, keep_days)
-    old.withColumn("year", F.year(ts)).write.mode("append").partitionBy("year").json(folder)
-    return records.join(old.select("run_id").distinct(), "run_id", "left_anti")
+    new = old.withColumn("year", F.year(ts))
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        kept = spark.read.schema(f"run_id string, {ts} {dict(records.dtypes)[ts]}").json(folder)
+        new = new.join(kept.select("run_id", ts).distinct(), ["run_id", ts], "left_anti")
+    new.write.mode("append").partitionBy("year").json(folder)
+    return records.where(~F.coalesce(F.col(ts) < now - F.make_dt_interval(F.lit(keep_days)), F.lit(False)))
+
+
+def purged(uploads: DataFrame, now: Column, keep_days: int = 30) -> DataFrame:
+    """Upload records after a purge: old ones lose their file, keep their record, and say so in their history."""
+    gone = (F.col("ts") < now - F.make_dt_interval(F.lit(keep_days))) & F.col("path").isNotNull()
+    note = F.concat(F.date_format(now, "yyyy-MM-dd"), F.lit(" purged"))
+    return uploads.withColumns({"history": F.when(gone, F.concat_ws("; ", "history", note)).otherwise(F.col("history")), "path": F.when(~gone, F.col("path"))})
 
 
 def with_archive(live: DataFrame, archive: DataFrame) -> DataFrame:

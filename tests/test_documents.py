@@ -111,3 +111,32 @@ def test_streams(spark, tmp_path):
     stream = intake.publish(spark.readStream.schema(schema).json(str(tmp_path / "rows")), str(tmp_path / "feed"), str(tmp_path / "c2"))
     stream.awaitTermination(120)
     assert [r["run_id"] for r in feed.read(spark, str(tmp_path / "feed"), "transactions").collect()] == ["2"]
+
+
+def test_stored_feed_and_retraction(spark, tmp_path):
+    folder, schema = str(tmp_path / "feed"), "feed_key string, run_id string, gate_result string, amount double"
+    batch = spark.createDataFrame([("0012", "1", "accepted", 1.0), ("0012", "1", "accepted", 2.0), ("0900", "1", "withheld:failed", 3.0), ("77e1", "2", "accepted", 4.0)], schema)
+    seen = lambda: {n: sorted((r["feed_key"], r["run_id"], r["amount"]) for r in side.collect()) if (side := feed.read(spark, folder, n)) is not None else [] for n in feed.SIDES}
+    feed.publish(spark, batch, folder)
+    first = seen()
+    feed.publish(spark, batch, folder)  # again: nothing changes
+    assert seen() == first and [k for k, *_ in first["transactions"]] == ["0012", "0012", "77e1"]
+    assert feed.retract_stored(spark, folder, "1") == 2 and feed.retract_stored(spark, folder, "nobody") == 0
+    assert seen() == {"transactions": [("77e1", "2", 4.0)], "review": [("0012", "1", 1.0), ("0012", "1", 2.0), ("0900", "1", 3.0)]}
+    assert {r["gate_result"] for r in feed.read(spark, folder, "review").where("run_id = '1' and feed_key = '0012'").collect()} == {"retracted:user_reported_wrong"}
+
+
+def test_roll_up_twice(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tallyforge.operators import retention
+
+    rows = spark.createDataFrame([("a", "2024-01-01"), ("a", "2024-06-01"), ("b", "2023-12-01"), ("c", "2024-05-30")], "run_id string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    now, folder = F.lit("2024-06-02").cast("timestamp"), str(tmp_path / "archive")
+    for _ in range(2):
+        left = retention.roll_up(rows, "ts", folder, now, 90)
+        assert sorted((r["run_id"], r["ts"].month) for r in left.collect()) == [("a", 6), ("c", 5)]
+        assert spark.read.json(folder).count() == 2
+    uploads = spark.createDataFrame([("u", "2024-01-01", "/x", "2024-01-01 kept"), ("v", "2024-06-01", "/y", None)], "upload_id string, ts string, path string, history string").withColumn("ts", F.col("ts").cast("timestamp"))
+    got = {r["upload_id"]: (r["path"], r["history"]) for r in retention.purged(uploads, now).collect()}
+    assert got == {"u": (None, "2024-01-01 kept; 2024-06-02 purged"), "v": ("/y", None)}
