@@ -128,3 +128,9 @@ def flag_histogram(tx: DataFrame, *keys: str) -> DataFrame:
 def length_stats(df: DataFrame, name: str, *keys: str) -> DataFrame:
     n = F.length(name)
     return df.where(F.col(name).isNotNull()).groupBy(*keys).agg(F.min(n).alias("shortest"), F.floor(F.median(n)).cast("int").alias("middle"), F.max(n).alias("longest"), F.bround(F.avg(n), 1).alias("mean"))
+
+
+def top(df: DataFrame, n: int, order: list[Column], *keys: str) -> DataFrame:
+    """The first n rows of each group in an order that has no ties."""
+    ranked = df.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return ranked.where(F.col("__rank") <= n).drop("__rank")

@@ -31,6 +31,11 @@ def gate(status: Column, level: Column, proven: Column, template: Column, sha: C
     return out.otherwise("accepted")
 
 
+def proven_only(rows: DataFrame, proven: DataFrame, key: str = "template_id") -> DataFrame:
+    """Rows of templates in the proven set."""
+    return rows.join(proven.select(key), key, "left_semi")
+
+
 def core_frame(tx: DataFrame) -> DataFrame:
     """The feed's columns: debit and credit split from amount, what is missing null."""
     if "debit" not in tx.columns and "amount" in tx.columns:

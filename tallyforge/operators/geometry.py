@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.money import looks_money
 from ..params import A4_HEIGHT, A4_WIDTH, ROW_TOLERANCE, SCALE_SNAP
 
 
@@ -100,3 +101,9 @@ def clusters(values: DataFrame, name: str, gap: float, *keys: str) -> DataFrame:
     order = Window.partitionBy(*keys).orderBy(name)
     new = F.coalesce(F.col(name) - F.lag(name).over(order) > gap, F.lit(False)).cast("int")
     return values.withColumn("__new", new).withColumn("cluster", F.sum("__new").over(order.rangeBetween(Window.unboundedPreceding, 0)) + 1).drop("__new")
+
+
+def best_page(words: DataFrame) -> DataFrame:
+    """statement_id and best_page: the page with the most words that look like money, the first on a tie."""
+    pages = words.groupBy("statement_id", "page").agg(F.count_if(looks_money(F.col("text"))).alias("n"))
+    return pages.groupBy("statement_id").agg(F.max_by("page", F.struct("n", -F.col("page"))).alias("best_page"))

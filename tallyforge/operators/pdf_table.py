@@ -1,14 +1,16 @@
 """Positioned words to the transactions table: rows, bands, stitching, wrapped lines, dates without a year.
 
 Rows and cells are native expressions. Stitching of split rows and merging of wrapped lines carry state down a page; they
-run in one grouped pass per page, which bounds a group.
+run in one pass over sorted pages; a page bounds what is held.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,20 +114,32 @@ def assembled(rows: DataFrame, merge: bool = True) -> DataFrame:
     """Visual rows with split rows joined and wrapped lines merged, page by page."""
     schema = "statement_id string, page int, row int, " + ", ".join(f"{c} string" for c in CELLS) + ", raw string, y0 double, y1 double, h double, conf double, stitched boolean, merged boolean, attached boolean"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        page = [dict(r, stitched=False, merged=False, attached=False) for r in pdf.sort_values("row").astype(object).to_dict("records")]
-        page = stitched(page)
+    kinds = {"page": pa.int32(), "row": pa.int32(), **{c: pa.float64() for c in ("y0", "y1", "h", "conf")}, **{c: pa.bool_() for c in ("stitched", "merged", "attached")}}
+    columns = [part.split()[0] for part in schema.split(", ")]
+
+    def finished(page: list[dict]) -> list[dict]:
+        page = stitched([dict(r, stitched=False, merged=False, attached=False) for r in page])
         for r in page:
             r["txn"] = not _blank(r["date"]) and any(not _blank(r[c]) for c in AMOUNTS) and not r["noise"]
-        if merge:
-            page = continued(page)
-        out = pd.DataFrame(page)
-        names = [part.split()[0] for part in schema.split(", ")]
-        return out[names].astype(object).where(out[names].notna(), None)
+        return continued(page) if merge else page
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come page by page; a page may go on in the next batch."""
+        page: list[dict] = []
+        for batch in itertools.chain(batches, [None]):
+            done: list[dict] = []
+            for r in batch.to_pylist() if batch is not None else [None]:
+                if page and (r is None or (r["statement_id"], r["page"]) != (page[-1]["statement_id"], page[-1]["page"])):
+                    done += finished(page)
+                    page = []
+                if r is not None:
+                    page.append(r)
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in done], kinds.get(c, pa.string())) for c in columns], columns)
 
     noise = text.is_summary_line(F.col("raw")) | text.is_summary_line(F.col("description")) | text.is_footer(F.col("raw"))
     names = ["statement_id", "page", "row", *CELLS, "raw", "y0", "y1", "h", "conf"]
-    return rows.select(*names, F.coalesce(noise, F.lit(False)).alias("noise")).groupBy("statement_id", "page").applyInPandas(run, schema)
+    dealt = rows.select(*names, F.coalesce(noise, F.lit(False)).alias("noise")).repartition("statement_id", "page").sortWithinPartitions("statement_id", "page", "row")
+    return dealt.mapInArrow(run, schema)
 
 
 def year_context(headers: DataFrame, pages: DataFrame | None = None) -> DataFrame:

@@ -98,6 +98,11 @@ def merge(curated: dict[str, dict], own: dict[str, dict], hidden: bool = False)
     return {k: t for k, t in both.items() if not t.get("sample") and not t.get("errors") and not t.get("draft") and (hidden or not t.get("hidden"))}
 
 
+def own_only(own: DataFrame, curated: DataFrame, key: str = "template_id") -> DataFrame:
+    """A site's own templates without those whose id is curated: the curated one wins."""
+    return own.join(curated.select(key), key, "left_anti")
+
+
 def shape(template: dict) -> str:
     """What a template reads, without its name: two with the same shape are duplicates."""
     marks = (template.get("fingerprint") or {}).get("header_contains_all") or (template.get("fingerprint") or {}).get("page_contains_all") or []

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, money, text
-from ..operators import analytics, feed, geometry, labels, profile, reconcile
+from ..operators import analytics, feed, geometry, labels, metadata, profile, reconcile, retention, templates
 from ..operators.rows import keep_row, row_code
 from ..sources import delimited
 from .tables import FEED_LOG, LEDGER, RUNS, WORDS, feed_log, ledger, runs, table, words
@@ -80,14 +80,13 @@ t AS (SELECT *, list_filter([balance_reconciliation, running_balance_continuity,
   list_filter([balance_reconciliation, running_balance_continuity, transaction_count, dates_within_period, 'pass', no_unparsed_rows], lambda x: x = 'na') AS na FROM k)
 SELECT statement_id, n, balance_reconciliation, running_balance_continuity, transaction_count, dates_within_period, no_unparsed_rows,
   CASE WHEN len(fl) > 0 THEN CASE WHEN balance_reconciliation = 'pass' AND transaction_count <> 'fail' AND no_unparsed_rows <> 'fail' THEN 'medium' ELSE 'low' END WHEN len(na) > 0 THEN 'medium' ELSE 'high' END AS trust_level,
-  CAST(round_even(100 * (6 - len(fl) - len(na) + 0.5 * len(na)) / 6, 0) AS INTEGER) AS score FROM t WHERE n > 0 AND NOT (nb = 0 AND n >= 2 AND false)""")
+  CAST(round_even(100 * (6 - len(fl) - len(na) + 0.5 * len(na)) / 6, 0) AS INTEGER) AS score FROM t WHERE n > 0""")
 def reconcile_statements(spark, sf_dir):
-    """All checks and the trust of every ledger. Rows whose one-way amounts add a seventh check keep six in the SQL: none has no balance."""
-    rows = ledger(spark, sf_dir).withColumn("flags", F.col("flags"))
-    found = reconcile.reconcile(rows, ledger_headers(spark, sf_dir))
+    """The checks and the trust of every ledger; each has balances, so one-way amounts are no check here."""
+    found = reconcile.reconcile(ledger(spark, sf_dir), ledger_headers(spark, sf_dir))
     status = lambda name: F.get(F.transform(F.filter("kpis", lambda k: k["name"] == name), lambda k: k["status"]), F.lit(0)).alias(name)
     names = ["balance_reconciliation", "running_balance_continuity", "transaction_count", "dates_within_period", "no_unparsed_rows"]
-    return found.where(~F.exists("kpis", lambda k: k["name"] == "amount_direction")).select("statement_id", "n", *map(status, names), "trust_level", "score")
+    return found.select("statement_id", "n", *map(status, names), "trust_level", "score")
 
 
 @query(f"""WITH {LEDGER} SELECT statement_id, count(*) AS n, coalesce(CAST(sum(CAST(amount AS DECIMAL(38,6))) FILTER (amount > 0) AS DOUBLE), 0) AS money_in, coalesce(CAST(sum(CAST(amount AS DECIMAL(38,6))) FILTER (amount < 0) AS DOUBLE), 0) AS money_out,
@@ -362,18 +361,25 @@ def statement_stamp(spark, sf_dir):
 
 @query("""SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '1%')""")
 def proven_semi_join(spark, sf_dir):
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").where(F.col("o_orderpriority").startswith("1")), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
+    proven = table(spark, sf_dir, "orders").where(F.col("o_orderpriority").startswith("1")).select(F.col("o_custkey").alias("template_id"))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("template_id"))
+    return feed.proven_only(rows, proven).select(F.col("template_id").alias("c_custkey"))
 
 
-@query("""SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)""")
+@query("""SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority LIKE '1%')""")
 def curated_anti_join(spark, sf_dir):
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    """A site's own templates, less those whose id is curated."""
+    own = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("template_id"), "c_name")
+    curated = table(spark, sf_dir, "orders").where(F.col("o_orderpriority").startswith("1")).select(F.col("o_custkey").alias("template_id"))
+    return templates.own_only(own, curated).withColumnRenamed("template_id", "c_custkey")
 
 
 @query("""SELECT event_id, last_value(CASE WHEN event_id % 3 = 0 THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_known FROM events""")
 def asof_last_known(spark, sf_dir):
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    return table(spark, sf_dir, "events").select("event_id", F.last(F.when(F.col("event_id") % 3 == 0, F.col("value")), ignorenulls=True).over(order).alias("last_known"))
+    """The last balance that is known before a row."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("statement_id"), F.row_number().over(order).alias("row_id"), F.lit(1.0).alias("amount"), F.when(F.col("event_id") % 3 == 0, F.col("value")).alias("balance"))
+    return reconcile.bridged(rows).select("event_id", F.col("previous_balance").alias("last_known"))
 
 
 BOXES = [(0.0, 0.0, 60.0, 10.0), (200.0, 20.0, 260.0, 30.0), (400.0, 40.0, 480.0, 50.0)]
@@ -415,26 +421,31 @@ def gap_clusters(spark, sf_dir):
 @query("""SELECT user_id, event_type, n FROM (SELECT user_id, event_type, count(*) AS n, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_type) AS r FROM events GROUP BY 1, 2) WHERE r <= 2""")
 def top_candidates(spark, sf_dir):
     counts = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("user_id").orderBy(F.desc("n"), "event_type")
-    return counts.withColumn("r", F.row_number().over(order)).where("r <= 2").select("user_id", "event_type", "n")
+    return analytics.top(counts, 2, [F.desc("n"), F.col("event_type")], "user_id").select("user_id", "event_type", "n")
 
 
-@query("""SELECT o_custkey, arg_max(o_orderkey, o_totalprice) AS best_page FROM (SELECT * FROM orders ORDER BY o_orderkey) GROUP BY 1""")
+@query("""SELECT CAST(l_orderkey AS VARCHAR) AS statement_id, min_by(page, page - 1000 * n) AS best_page FROM (SELECT l_orderkey, CAST(l_linenumber % 3 AS INTEGER) AS page, count(*) FILTER (l_partkey % 2 = 0) AS n FROM lineitem GROUP BY 1, 2) GROUP BY 1""")
 def best_page(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_totalprice", -F.col("o_orderkey"))).alias("best_page"))
+    """The page with the most amounts, the first on a tie."""
+    li = table(spark, sf_dir, "lineitem")
+    rows = li.select(F.col("l_orderkey").cast("string").alias("statement_id"), (F.col("l_linenumber") % 3).cast("int").alias("page"), F.when(F.col("l_partkey") % 2 == 0, F.format_number("l_extendedprice", 2)).otherwise("word").alias("text"))
+    return geometry.best_page(rows)
 
 
 @query("""SELECT o_orderkey AS id, NULL::VARCHAR AS name, o_totalprice AS amount FROM orders UNION ALL SELECT c_custkey, c_name, NULL FROM customer""")
 def union_by_name(spark, sf_dir):
-    left = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("amount"))
-    right = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    return left.unionByName(right, allowMissingColumns=True).select("id", "name", "amount")
+    """Live and archived records under the union of their columns."""
+    live = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("amount"))
+    archive = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.lit(2024).alias("year"))
+    return retention.with_archive(live, archive).select("id", "name", "amount")
 
 
-@query("""SELECT p_partkey, list_sort(list_filter(string_split(p_type, ' '), lambda x: NOT list_contains(string_split(p_name, ' '), x))) AS unmapped, len(list_filter(string_split(p_type, ' '), lambda x: list_contains(string_split(p_name, ' '), x))) AS score FROM part""")
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS statement_id, CASE c_custkey % 3 WHEN 0 THEN ['note'] WHEN 1 THEN ['branch', 'fee'] ELSE []::VARCHAR[] END AS unmapped FROM customer""")
 def unmapped_headers(spark, sf_dir):
-    kinds, names = F.split("p_type", " "), F.split("p_name", " ")
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_sort(F.array_except(kinds, names)).alias("unmapped"), F.size(F.array_intersect(kinds, names)).cast("long").alias("score"))
+    """Source columns that no field is read from."""
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey") % 3
+    cells = F.when(k == 0, F.array(F.lit("Date"), F.lit(" Note "), F.lit("AMOUNT"))).when(k == 1, F.array(F.lit("Branch"), F.lit("date"), F.lit("Fee"))).otherwise(F.array(F.lit("amount")))
+    return metadata.unmapped_headers(c.select(F.col("c_custkey").cast("string").alias("statement_id"), cells.alias("header_cells")), ["Date", "Amount"])
 
 
 # --- text ---
