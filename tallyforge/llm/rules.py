@@ -148,9 +148,9 @@ def estimates(rows: DataFrame, most_steps: int = 12) -> DataFrame:
     medians = middle.join(spread, "grp").select(name(0), *(f"m{i}" for i in range(P)), *cells)
     now = _estimate(medians.unionByName(_moments(rows, 1.0).select(name(1), *MOMENTS)))
     both = rows.select(F.explode(F.array(*(name(k) for k in (0, 1)))).alias("grp"), *(f"x{i}" for i in range(P)))
-    last, done = now.select("grp", F.lit(None).cast("long").alias("last")), []
+    last, done, active = now.select("grp", F.lit(None).cast("long").alias("last")), [], both
     for step in range(most_steps):
-        found = _rooted(_moments(_nearest(_with_distance(both, now)), CONSISTENCY)).select("grp", "n", *MOMENTS, "logdet", F.round(F.col("logdet") * 1e6).cast("long").alias("mark"))
+        found = _rooted(_moments(_nearest(_with_distance(active, now)), CONSISTENCY)).select("grp", "n", *MOMENTS, "logdet", F.round(F.col("logdet") * 1e6).cast("long").alias("mark"))
         found, _ = materialise(found.join(last, "grp").withColumn("still", F.coalesce(F.col("mark") == F.col("last"), F.lit(False))), "mcd-moments")
         done.append(found.where("still") if step < most_steps - 1 else found)
         left = found.where("not still")
@@ -158,7 +158,7 @@ def estimates(rows: DataFrame, most_steps: int = 12) -> DataFrame:
             break
         # groups that stay as they are need no further step
         now, last = _estimate(left), left.select("grp", F.col("mark").alias("last"))
-        both = both.join(last.select("grp"), "grp", "left_semi")
+        active = both.join(last.select("grp"), "grp", "left_semi")
     ended = done[0]
     for part in done[1:]:
         ended = ended.unionByName(part)
