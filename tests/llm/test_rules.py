@@ -40,7 +40,7 @@ def numpy_distances(rows):
             own = start
             for _ in range(12):
                 bins = np.floor(64 * np.log2(1 + away(*own, y)))
-                near = y[bins <= np.percentile(bins, 75)]
+                near = y[bins <= np.sort(bins)[int(np.ceil(rules.SHARE * len(bins))) - 1]]
                 new = near.mean(axis=0), rules.CONSISTENCY * np.cov(near.T, bias=True)
                 same = np.allclose(new[1], own[1])
                 own, n = new, len(near)
