@@ -101,9 +101,21 @@ def column_format(x: Column, formats: Sequence[str]) -> Column:
     return fitting(x, formats)
 
 
+def distinct_formats(formats: Sequence[str]) -> list[str]:
+    """The formats without those that an earlier one reads alike: months are in three letters by then, however declared."""
+    seen: dict[str, str] = {}
+    for f in formats:
+        seen.setdefault(java_format(f), f)
+    return list(seen.values())
+
+
 def readable(x: Column, formats: Sequence[str]) -> Column:
-    """For one value: which of the formats read it."""
-    return _once(canonical(x), lambda s: F.array(*(_read(s, f).isNotNull() for f in formats)))
+    """For one value: which of the formats read it. One without a year is tried with a leap year."""
+
+    def reads(s: Column, f: str) -> Column:
+        return (_read(s, f) if "%Y" in f or "%y" in f else _read(F.concat(s, F.lit(" 2000")), f"{f} %Y")).isNotNull()
+
+    return _once(canonical(x), lambda s: F.array(*(reads(s, f) for f in formats)))
 
 
 def fitting(x: Column, formats: Sequence[str], unless_empty: bool = False) -> Column:

@@ -120,3 +120,24 @@ def suggest_bands(words: DataFrame, page: int = 1, statement_id: str | None = No
         bands["date"] = {"x_min": left - 2, "x_max": left + 40}
         bands["description"] = {"x_min": left + 40, "x_max": min((b["x_min"] for n, b in bands.items() if n != "date"), default=400)}
     return bands
+
+
+def header_phrases(lines: list[str], n: int = 3) -> list[str]:
+    """Up to n phrases of a sample page for a fingerprint: its branded heading, the table's header line, then single
+    column names. Lines with figures, and those that may name a person, are not offered."""
+    lines = [re.sub(r"\s+", " ", x).strip() for x in lines]
+    lines = [x for x in lines if x]
+    keys, brands = set(DEFAULTS["header_keywords"]), DEFAULTS["fingerprint_brand_words"]
+    words = lambda x: re.findall("[A-Za-z]+", x)
+    branded = lambda x: any(b in x.lower() for b in brands)
+
+    def person(x: str) -> bool:
+        """Two to four capitalised words or a title, and nothing that a bank would print."""
+        return not branded(x) and bool(re.fullmatch(r"(?:(?:Mr|Mrs|Ms|Miss|Dr)\.? )?(?:[A-Z][a-z]+|[A-Z]+)(?: (?:[A-Z][a-z]+|[A-Z]+|[A-Z]\.?)){1,3}", x))
+
+    heads = [x for x in lines[:15] if 10 <= len(x) <= 60 and len(words(x)) >= 2 and not re.search("[0-9]", x) and sum(w.lower() in keys for w in words(x)) < 0.5 * len(words(x)) and not person(x)]
+    heads = [x for x in heads if branded(x)] + [x for x in heads if not branded(x)]
+    counts = [len({w.lower() for w in words(x)} & keys) for x in lines]
+    best = lines[counts.index(max(counts))] if counts and max(counts) else ""
+    out = [*heads[:2], *([best] if best and max(counts) >= 2 and len(best) <= 60 else []), *(w for w in words(best) if w.lower() in keys)]
+    return list(dict.fromkeys(out))[:n]

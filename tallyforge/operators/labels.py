@@ -83,6 +83,19 @@ def form_fields(lines: DataFrame, fields: dict[str, dict]) -> DataFrame:
     return whole
 
 
+def detect_form(lines: DataFrame, forms: dict[str, list[str]]) -> DataFrame:
+    """statement_id, form and matched: the form whose phrases all stand in the text, the one with the most phrases; with
+    two as specific, none is chosen. `forms` is a bounded, driver-side set: its phrases are literals of one projection."""
+    whole = lines.groupBy("statement_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "line_no", "text"))), lambda s: s["text"]), "\n").alias("t"))
+    listed = [(k, list(dict.fromkeys(p))) for k, p in forms.items() if p]
+    if not listed:
+        return whole.select("statement_id", F.lit(None).cast("string").alias("form"), F.lit(False).alias("matched"))
+    full = lambda phrases: F.forall(F.array(*map(F.lit, phrases)), lambda p: F.position(p, F.col("t")) > 0)
+    found = F.array_sort(F.array_compact(F.array(*(F.when(full(p), F.struct(F.lit(-len(p)).alias("n"), F.lit(k).alias("form"))) for k, p in listed))))
+    one, two = F.get("f", F.lit(0)), F.get("f", F.lit(1))
+    return whole.select("statement_id", found.alias("f")).select("statement_id", one["form"].alias("form"), F.coalesce(one["n"] < two["n"], one.isNotNull()).alias("matched"))
+
+
 def periods(rows: DataFrame, key: str = "statement_id") -> DataFrame:
     """Periods (key, start, end) in order with how each follows the last: first, contiguous, shared_day, gap or overlap."""
     order = Window.partitionBy(key).orderBy("start", "end")

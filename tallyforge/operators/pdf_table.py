@@ -18,7 +18,7 @@ from ..functions import dates, money, text
 from ..params import OCR_CELL_MIN_CONF
 from ..schema import coerce_core
 from ..vocab import DEFAULTS
-from . import geometry
+from . import geometry, labels
 from .rows import ACTIONABLE, has_amount, keep_row, row_code
 
 CELLS = ["date", "description", "amount", "debit", "credit", "balance", "particulars", "code", "reference", "other_party", "type"]
@@ -158,6 +158,34 @@ def year_context(headers: DataFrame, pages: DataFrame | None = None) -> DataFram
     return rows.withColumn("years", F.when(F.col("inferred"), F.col("ys")).otherwise(F.col("years"))).drop("sd", "ys")
 
 
+def pinned(words: DataFrame, pins: dict[str, dict], kinds: dict[str, str] | None = None) -> DataFrame:
+    """statement_id and the value of each pin: the text in a drawn box (page, x_min, x_max, y_min, y_max) as a typed value.
+
+    Pins are a template's literals: each word is held against all boxes in one pass.
+    """
+    kinds = {"opening_balance": "money", "closing_balance": "money"} | (kinds or {})
+    cx, cy = F.col("x") + F.col("width") / 2, F.col("y") + F.col("height") / 2
+    word = F.struct(F.floor(F.col("y") / 3).alias("line"), "x", "word_idx", "text")
+    cells = {}
+    for name, b in pins.items():
+        inside = (F.col("page") == int(b.get("page", 1))) & cx.between(float(b["x_min"]), float(b["x_max"])) & cy.between(float(b["y_min"]), float(b["y_max"]))
+        cells[name] = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(inside, word))), lambda w: w["text"]), " ")
+    found = words.groupBy("statement_id").agg(*(c.alias(n) for n, c in cells.items()))
+    return found.select("statement_id", *(labels.value_in(F.col(n), kinds.get(n, "text")).alias(n) for n in pins))
+
+
+def with_pins(headers: DataFrame, pins: DataFrame) -> DataFrame:
+    """Headers with the pinned values where there are any; a value that was read is never replaced by nothing."""
+    names = [c for c in pins.columns if c != "statement_id"]
+    own = pins.select("statement_id", *(F.col(c).alias(f"__{c}") for c in names))
+    out = headers.join(own, "statement_id", "left")
+    kind = dict(headers.dtypes)
+    for c in names:
+        value = money.number(F.col(f"__{c}")) if kind.get(c) == "double" else F.col(f"__{c}")
+        out = out.withColumn(c, F.coalesce(value, F.col(c)) if c in kind else value)
+    return out.drop(*(f"__{c}" for c in names))
+
+
 def leading(x: Column, parts: int) -> Column:
     """The first words of a cell: as many as the date format has."""
     return F.array_join(F.slice(F.split(F.trim(x), r"\s+"), 1, parts), " ")

@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import dates, money
 from ..functions.text import is_blank, mask_value, trim_ws
 
-FORMATS = ("%d/%m/%Y", "%Y-%m-%d", "%d-%m-%Y", "%d %b %Y", "%d/%m/%y", "%d-%m-%y", "%d %b %y", "%Y/%m/%d")
+#: The date formats that are tried, in this order; the last five take their year from the statement.
+FORMATS = (
+    "%d/%m/%Y", "%d/%m/%y", "%Y-%m-%d", "%d-%m-%Y", "%d-%m-%y", "%d.%m.%Y", "%d.%m.%y", "%Y/%m/%d", "%m/%d/%Y", "%d %b %Y", "%d %B %Y", "%d %b %y", "%d-%b-%Y", "%b %d, %Y", "%B %d, %Y",
+    "%d %b", "%d %B", "%b %d", "%B %d", "%d/%m",
+)
 
 
 def long_cells(df: DataFrame, *columns: str) -> DataFrame:
@@ -19,7 +23,7 @@ def long_cells(df: DataFrame, *columns: str) -> DataFrame:
 
 def detect_date_format(value: Column) -> Column:
     """Aggregate: the first known format that reads all filled cells; null if there is none or no cell."""
-    return dates.fitting(value, FORMATS, unless_empty=True)
+    return dates.fitting(value, dates.distinct_formats(FORMATS), unless_empty=True)
 
 
 def column_profiles(df: DataFrame, *columns: str) -> DataFrame:
@@ -31,18 +35,19 @@ def column_profiles(df: DataFrame, *columns: str) -> DataFrame:
     cells = long_cells(df, *columns).select("column", F.when(~is_blank(F.col("value")), trim_ws(F.col("value"))).alias("v"))
     v, n = F.col("v"), F.col("n")
     values = cells.groupBy("column", "v").agg(F.count("*").alias("n"))
-    reads = dates.readable(v, FORMATS)
+    formats = dates.distinct_formats(FORMATS)
+    reads = dates.readable(v, formats)
     values = values.select("column", "v", "n", mask_value(v).alias("shape"), F.when(v.isNotNull(), reads).alias("reads"), F.when(v.isNotNull(), money.looks_money(v)).alias("money"), v.rlike("^[0-9]+$").alias("digits"))
     shapes = values.groupBy("column", "shape").agg(
         F.sum("n").alias("n"), F.count("v").alias("distinct"), F.sum(F.when(F.col("money"), n).otherwise(0)).alias("money"), F.bool_and("digits").alias("digits"), F.max(F.length("v")).alias("longest"),
-        *(F.bool_and(F.get("reads", F.lit(i))).alias(f"r{i}") for i in range(len(FORMATS))),
+        *(F.bool_and(F.get("reads", F.lit(i))).alias(f"r{i}") for i in range(len(formats))),
     )
     shown = F.when(F.col("shape").isNotNull(), F.struct(-F.col("n"), F.col("shape")))
     out = shapes.groupBy("column").agg(
         F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(F.col("shape").isNotNull(), n)), F.lit(0)).alias("filled"), F.sum("distinct").alias("distinct"), F.sum("money").alias("money"), F.bool_and("digits").alias("digits"),
-        F.max("longest").alias("longest"), F.min_by("shape", shown).alias("shape"), *(F.bool_and(f"r{i}").alias(f"r{i}") for i in range(len(FORMATS))),
+        F.max("longest").alias("longest"), F.min_by("shape", shown).alias("shape"), *(F.bool_and(f"r{i}").alias(f"r{i}") for i in range(len(formats))),
     )
-    out = out.withColumn("date_format", F.coalesce(*(F.when(F.col(f"r{i}"), fmt) for i, fmt in enumerate(FORMATS))))
+    out = out.withColumn("date_format", F.coalesce(*(F.when(F.col(f"r{i}"), fmt) for i, fmt in enumerate(formats))))
     kind = F.when(F.col("filled") == 0, "empty").when(F.col("date_format").isNotNull(), "date").when(F.col("digits"), "integer").when(F.col("money") >= 0.8 * F.col("filled"), "money").when((F.col("distinct") <= 8) & (F.col("longest") <= 12), "indicator").otherwise("text")
     short = F.when(F.length("shape") > 48, F.concat(F.substring("shape", 1, 45), F.lit("..."))).otherwise(F.col("shape"))
     return out.select("column", "rows", "filled", F.bround(F.col("filled") / F.col("rows"), 3).alias("fill_rate"), "distinct", kind.alias("kind"), short.alias("example_shape"), "date_format")

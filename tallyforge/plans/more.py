@@ -386,3 +386,20 @@ def common_rows(spark, sf_dir):
 @query("""SELECT source, min(length(text)) AS shortest, CAST(floor(median(length(text))) AS INTEGER) AS middle, max(length(text)) AS longest, round_even(avg(length(text)), 1) AS mean FROM documents WHERE text IS NOT NULL GROUP BY 1""")
 def description_lengths(spark, sf_dir):
     return length_stats(table(spark, sf_dir, "documents"), "text", "source")
+
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS statement_id, CASE c_custkey % 4 WHEN 0 THEN 'long' WHEN 1 THEN 'short' WHEN 2 THEN 'other' END AS form, c_custkey % 4 < 2 AS matched FROM customer""")
+def form_detection(spark, sf_dir):
+    """The most specific form whose phrases all stand in the text; equals are left to a person."""
+    c = table(spark, sf_dir, "customer")
+    body = _case(F.col("c_custkey"), F.lit("Annual notice\nMember\nFund A"), F.lit("Annual notice\nMember"), F.lit("Twin\nPair"), F.lit("nothing"))
+    rows = c.select(F.col("c_custkey").cast("string").alias("statement_id"), F.posexplode(F.split(body, "\n")).alias("at", "text")).select("statement_id", F.lit(1).alias("page"), F.col("at").alias("line_no"), "text")
+    return labels.detect_form(rows, {"short": ["Annual notice", "Member"], "long": ["Annual notice", "Member", "Fund A"], "twin": ["Twin", "Pair"], "other": ["Pair", "Twin"]})
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS statement_id, CAST(o_totalprice AS DOUBLE) AS opening_balance, 7.0::DOUBLE AS closing_balance, strftime(o_orderdate, '%d/%m/%Y') AS period_start FROM orders""")
+def header_pins(spark, sf_dir):
+    """Values that a drawn box gives win over those read, but only where there are any."""
+    found = pdf_table.pinned(page_words(spark, sf_dir), {"opening_balance": {"page": 1, "x_min": 305, "x_max": 400, "y_min": 100, "y_max": 115.5}, "closing_balance": {"page": 1, "x_min": 405, "x_max": 500, "y_min": 100, "y_max": 120}, "period_start": {"page": 1, "x_min": 0, "x_max": 90, "y_min": 100, "y_max": 110}})
+    heads = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("statement_id"), F.lit(1.0).alias("opening_balance"), F.lit(7.0).alias("closing_balance"), F.lit("unread").alias("period_start"))
+    return pdf_table.with_pins(heads, found)

@@ -42,13 +42,13 @@ DEFAULTS: dict[str, object] = {
         r"|\(?[-−–]?[$][-−–]?[0-9][0-9,]*(?![0-9.,])\)?[-−–]?(?:\s?(?:DR|CR|OD)\b)?"
     ),
     "date_regex": r"\b[0-9]{4}-[0-9]{2}-[0-9]{2}\b|[0-9]{1,2}[/ .-][A-Za-z0-9]{2,9}[/ .-][0-9]{2,4}",
+    "fingerprint_brand_words": ["bank", "banking", "card", "credit", "visa", "mastercard", "account", "statement", "savings", "everyday", "platinum", "rewards"],
     "account_regex": r"\b[0-9]{2}-[0-9]{4}-[0-9]{6,7}-[0-9]{2,3}\b",
     "card_regex": r"\b[0-9]{4}[- ]?[0-9X*]{4}[- ]?[0-9X*]{4}[- ]?[0-9]{4}\b",
     "field_name_patterns": {
-        "date": r"\bdate\b|posted|processed", "amount": r"\bamount\b|\bvalue\b", "debit": r"debit|withdraw|money out|paid out",
-        "credit": r"credit|deposit|money in|paid in", "balance": r"balance", "description": r"desc|detail|memo|narrat|payee",
-        "particulars": r"particular", "code": r"\bcode\b", "reference": r"referen|unique.?id", "other_party": r"other.?part|counterpart",
-        "type": r"\btype\b|dr.?cr|debit_credit",
+        "date": r"date|\bday\b", "debit": r"debit|withdraw|money out|paid out", "credit": r"credit|deposit|money in|paid in", "amount": r"amount|value|^money$|^sum$",
+        "balance": r"balance|^running$", "description": r"payee|description|details|memo|narrative|narration", "particulars": r"particulars", "code": r"^code$|analysis",
+        "reference": r"reference|unique", "other_party": r"other party|counterparty", "type": r"type",
     },
 }
 
