@@ -116,7 +116,11 @@ def _of_pages(spark: SparkSession, files: DataFrame, templates: dict[str, dict],
     for name, template in templates.items():
         mine = detection.where((F.col("template_id") == name) & F.col("matched")).select("statement_id")
         head = parse.header(mine, template).drop("period_start", "period_end", "opening_balance", "closing_balance", "stated_count", "account_number", "ocr_pages", "ocr_min_confidence").join(facts, "statement_id", "left").join(ocr.drop("pages"), "statement_id", "left")
-        part, count = pdf_table.transactions(words.join(mine, "statement_id", "left_semi"), template, head)
+        own = words.join(mine, "statement_id", "left_semi")
+        pins = (template.get("table") or {}).get("metadata_regions") or {}
+        if pins:
+            head = pdf_table.with_pins(head, pdf_table.pinned(own, pins))
+        part, count = pdf_table.transactions(own, template, head)
         tx.append(part), counters.append(count), headers.append(head)
     layout = whole.select("statement_id", layout_signature(F.array_sort(F.array_distinct(F.filter(F.split(F.lower(F.substring_index("page_text", "\n", 12)), r"\s+"), lambda t: t.rlike("^[a-z]{3,}$"))))).alias("layout"))
     several = labels.multiple_statements(text)
