@@ -349,13 +349,13 @@ def page_coverage(spark, sf_dir):
     return profile.row_coverage(o.select(F.col("o_custkey").cast("string").alias("statement_id"), (F.col("o_orderkey") % 2).cast("int").alias("page"), code.alias("code")))
 
 
-@query("""SELECT CAST(c_custkey AS VARCHAR) AS statement_id, c_custkey % 3 = 1 AS backwards, CASE c_custkey % 3 WHEN 0 THEN [2023, 2024] WHEN 1 THEN [2024, 2023] ELSE [2022] END AS years FROM customer""")
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS statement_id, c_custkey % 3 = 1 AS backwards, CASE c_custkey % 3 WHEN 0 THEN '2023,2024' WHEN 1 THEN '2024,2023' ELSE '2022' END AS years FROM customer""")
 def year_contexts(spark, sf_dir):
     """The years that a statement's dates may lie in: of its period, else of its own date; and periods that run backwards."""
     c = table(spark, sf_dir, "customer")
     k = F.col("c_custkey") % 3
     heads = c.select(F.col("c_custkey").cast("string").alias("statement_id"), F.when(k == 0, "15 Dec 2023").when(k == 1, "2024-01-31").alias("period_start"), F.when(k == 0, "14 Jan 24").when(k == 1, "01/12/2023").alias("period_end"), F.lit("3 Mar 2022").alias("statement_date"))
-    return pdf_table.year_context(heads).select("statement_id", F.coalesce(F.col("pe") < F.col("ps"), F.lit(False)).alias("backwards"), "years")
+    return pdf_table.year_context(heads).select("statement_id", F.coalesce(F.col("pe") < F.col("ps"), F.lit(False)).alias("backwards"), F.array_join(F.col("years").cast("array<string>"), ",").alias("years"))
 
 
 @query("""SELECT CAST(o_orderkey AS VARCHAR) AS statement_id, CASE o_orderkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 1 END AS first_pages, o_orderkey % 3 = 1 AS multiple FROM orders""")
