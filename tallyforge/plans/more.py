@@ -403,3 +403,73 @@ def header_pins(spark, sf_dir):
     found = pdf_table.pinned(page_words(spark, sf_dir), {"opening_balance": {"page": 1, "x_min": 305, "x_max": 400, "y_min": 100, "y_max": 115.5}, "closing_balance": {"page": 1, "x_min": 405, "x_max": 500, "y_min": 100, "y_max": 120}, "period_start": {"page": 1, "x_min": 0, "x_max": 90, "y_min": 100, "y_max": 110}})
     heads = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("statement_id"), F.lit(1.0).alias("opening_balance"), F.lit(7.0).alias("closing_balance"), F.lit("unread").alias("period_start"))
     return pdf_table.with_pins(heads, found)
+
+
+@query("""SELECT o_custkey, CASE WHEN count(*) = 1 THEN 'row ' ELSE 'rows ' END || array_to_string(list_sort(list(o_orderkey))[1:10], ', ') || CASE WHEN count(*) > 10 THEN ' and ' || (count(*) - 10) || ' more' ELSE '' END AS listed FROM orders GROUP BY 1 UNION ALL
+  SELECT c_custkey, 'no row identified' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+def row_lists(spark, sf_dir):
+    """Rows named in a check's detail: ten at most, and how many more."""
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("r"))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey")).join(o, "o_custkey", "left").withColumn("r", F.coalesce("r", F.array().cast("array<bigint>")))
+    return rows.select("o_custkey", reconcile.row_list(F.col("r"), F.size("r")).alias("listed"))
+
+
+@query(f"""WITH {LEDGER} SELECT statement_id, concat_ws(',', 'balance_reconciliation', 'running_balance_continuity', 'transaction_count', 'dates_within_period', 'dates_readable', 'no_unparsed_rows', 'redaction_summary') AS checks, count(*) AS n FROM ledger GROUP BY 1""")
+def check_order(spark, sf_dir):
+    """The checks of a plain ledger in report order; those that don't apply leave no gap."""
+    found = reconcile.reconcile(ledger(spark, sf_dir), ledger_headers(spark, sf_dir))
+    return found.select("statement_id", F.array_join(F.transform("kpis", lambda k: k["name"]), ",").alias("checks"), "n")
+
+
+@query(f"""WITH {RUNS} SELECT run_id, status || ' [statement ' || (user_id % 3 + 1) || ']' AS name FROM runs""")
+def tagged_checks(spark, sf_dir):
+    """Checks of a bundle's parts in one list, each with its statement's number."""
+    r = runs(spark, sf_dir)
+    return split.tagged(r.select("run_id", F.col("status").alias("name"), (F.col("user_id") % 3 + 1).alias("segment"))).select("run_id", "name")
+
+
+def _checked(spark, sf_dir):
+    """Ledgers with two plain checks each, as a reconciliation gives them."""
+    k = F.col("statement_id").cast("long")
+    kpi = lambda name, status: F.struct(F.lit(name).alias("name"), status.alias("status"))
+    rows = ledger(spark, sf_dir)
+    kpis = F.array(kpi("first", F.when(k % 3 == 0, "fail").otherwise("pass")), kpi("second", F.when(k % 2 == 0, "fail").otherwise("pass")))
+    return rows, rows.groupBy("statement_id").agg(F.count("*").alias("row_count")).select("statement_id", "row_count", kpis.alias("kpis"), F.lit("low").alias("trust_level"))
+
+
+@query(f"""WITH {LEDGER} SELECT statement_id, count(*) AS row_count, 'ok' AS status, CASE WHEN CAST(statement_id AS BIGINT) % 3 = 0 THEN 'first' WHEN CAST(statement_id AS BIGINT) % 2 = 0 THEN 'second' END AS failing_check FROM ledger GROUP BY 1""")
+def batch_audits(spark, sf_dir):
+    """One row per file with the first check that fails."""
+    _, found = _checked(spark, sf_dir)
+    results = found.select("statement_id", F.lit("t").alias("template_id"), F.lit("ok").alias("status"), "row_count", "trust_level")
+    return metadata.batch_audit(results, found).select("statement_id", "row_count", "status", "failing_check")
+
+
+@query(f"""WITH {LEDGER} SELECT statement_id, row_id, '9999-99-99' AS date_shape, regexp_replace(format('{{:.2f}}', "full"), '[0-9]', '9', 'g') AS amount_shape, 'Xxxxx ' || regexp_replace(CAST(o_orderkey AS VARCHAR), '[0-9]', '9', 'g') AS description_shape,
+  CASE WHEN CAST(statement_id AS BIGINT) % 3 = 0 THEN 'fail' ELSE 'pass' END AS first FROM (SELECT l.*, z."full" FROM ledger l JOIN ledger0 z USING (statement_id, row_id))""")
+def statement_audits(spark, sf_dir):
+    """Masked rows beside their statement's checks."""
+    rows, found = _checked(spark, sf_dir)
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.format_string("%.2f", F.when(F.col("o_orderkey") % 3 == 0, -F.col("o_totalprice")).otherwise(F.col("o_totalprice"))).alias("amount_raw"))
+    tx = rows.join(o, "o_orderkey").withColumns({"date_raw": F.col("date"), "description": F.concat(F.lit("Order "), F.col("o_orderkey").cast("string"))})
+    return metadata.statement_audit(tx, found).select("statement_id", "row_id", "date_shape", "amount_shape", "description_shape", F.col("checks")["first"].alias("first"))
+
+
+@query(f"""WITH {LEDGER} SELECT statement_id, 'Example' AS bank, CAST(count(*) AS INTEGER) AS n, CAST(min(row_id) AS INTEGER) AS first_row, bool_or(amount IS NULL) AS hidden FROM ledger GROUP BY 1""")
+def json_fields(spark, sf_dir):
+    """What a statement's whole record says, read back from its JSON, nulls included."""
+    rows = ledger(spark, sf_dir).select("statement_id", "row_id", "date", "amount", "balance")
+    heads = rows.select("statement_id").distinct().withColumn("bank", F.lit("Example"))
+    found = heads.select("statement_id", F.array().cast("array<string>").alias("kpis"), F.lit("low").alias("trust_level"), F.lit(0).alias("score"), F.array().cast("array<string>").alias("reasons"), F.lit(False).alias("completeness_verified"))
+    record = F.from_json("record", "header struct<bank:string>, transactions array<struct<row_id:int,amount:double>>")
+    out = outputs.json_records(rows, found, heads).select("statement_id", record.alias("r"), F.col("record").contains('"amount":null').alias("hidden"))
+    return out.select("statement_id", "r.header.bank", F.size("r.transactions").alias("n"), F.get("r.transactions", F.lit(0))["row_id"].alias("first_row"), "hidden")
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'unsupported' WHEN c_custkey % 3 = 0 OR c_custkey % 7 = 0 THEN 'needs_review' ELSE 'ok' END AS status FROM customer""")
+def run_statuses(spark, sf_dir):
+    """The status of a conversion by the first rule that applies."""
+    from ..engine import status
+
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    return c.select("c_custkey", status(k % 10 != 0, F.when(k % 5 == 0, 0).otherwise(3), F.lit("high"), F.when(k % 3 == 0, 1).otherwise(0), F.lit(4.0), k % 7 == 0).alias("status"))
