@@ -57,6 +57,12 @@ def latest(rows: DataFrame, key: str = "feed_key", ts: str = "converted_ts", tie
     return rows.withColumn("__at", F.row_number().over(order)).where("__at = 1").drop("__at")
 
 
+def newest_run(rows: DataFrame, key: str = "feed_key", ts: str = "converted_ts", tie: str = "run_id") -> DataFrame:
+    """All rows of the newest run of each key: what an upsert by content puts in place of what was there."""
+    newest = F.max(F.struct(ts, tie)).over(Window.partitionBy(key))
+    return rows.withColumn("__newest", newest).where(F.struct(ts, tie).eqNullSafe(F.col("__newest"))).drop("__newest")
+
+
 def upserted(old: DataFrame, new: DataFrame, key: str = "feed_key") -> DataFrame:
     """`old` with every key of `new` replaced by the new rows."""
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)

@@ -10,6 +10,7 @@ from ..operators import detect, diagnostics, feed, geometry, labels, metadata, o
 from ..operators.analytics import length_stats
 from ..operators.templates import frame
 from ..sources import delimited, pages
+from ..streaming import intake
 from .registry import ledger_headers, query
 from .tables import LEDGER, RUNS, WORDS, ledger, runs, table, words
 
@@ -473,3 +474,23 @@ def run_statuses(spark, sf_dir):
 
     c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
     return c.select("c_custkey", status(k % 10 != 0, F.when(k % 5 == 0, 0).otherwise(3), F.lit("high"), F.when(k % 3 == 0, 1).otherwise(0), F.lit(4.0), k % 7 == 0).alias("status"))
+
+
+@query("""SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS started, event_type AS status, count(*) AS n FROM events GROUP BY 1, 2""")
+def status_by_hour(spark, sf_dir):
+    """Tumbling windows over run records; on a stream the same with a watermark."""
+    e = table(spark, sf_dir, "events").select(F.col("ts").alias("at"), F.col("event_type").alias("status"))
+    return intake.status_windows(e).select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("started"), "status", "n")
+
+
+@query("""WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM g)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started, count(*) AS n FROM s GROUP BY user_id, no""")
+def sessions_by_user(spark, sf_dir):
+    return intake.user_sessions(table(spark, sf_dir, "events")).select("user_id", F.date_format("session_window.start", "yyyy-MM-dd HH:mm:ss").alias("started"), "n")
+
+
+@query(f"""WITH {RUNS}, k AS (SELECT *, CAST(user_id AS VARCHAR) AS feed_key FROM runs), m AS (SELECT feed_key, max(ts || status) AS newest FROM k GROUP BY 1) SELECT feed_key, status, count(*) AS n FROM k JOIN m USING (feed_key) WHERE ts || status = newest GROUP BY 1, 2""")
+def newest_runs(spark, sf_dir):
+    """All rows of the newest run of each content key."""
+    r = runs(spark, sf_dir).select(F.col("user_id").cast("string").alias("feed_key"), F.col("ts").alias("converted_ts"), F.col("status").alias("run_id"))
+    return feed.newest_run(r).groupBy("feed_key", F.col("run_id").alias("status")).agg(F.count("*").alias("n"))

@@ -25,10 +25,11 @@ def new_contents(files: DataFrame, late: str = "7 days") -> DataFrame:
 
 
 def publish(rows: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Upsert each batch of rows (feed_key, gate_result, converted_ts, run_id, ...) into the feed; the newest of a key wins."""
+    """Upsert each batch of rows (feed_key, gate_result, converted_ts, run_id, ...) into the feed; all rows of
+    the newest run of a key replace what the key had."""
 
     def one(batch: DataFrame, _: int) -> None:
-        feed.publish(batch.sparkSession, feed.latest(batch), folder)
+        feed.publish(batch.sparkSession, feed.newest_run(batch), folder)
 
     return rows.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
