@@ -277,10 +277,13 @@ def near_copies(docs: DataFrame, words: int = 5, least: tuple[int, int] = LEAST,
             own = [np.unique(shingle_hashes(t or b"", words)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], ["sig", "shingles"])
 
-    prints, _ = materialise(rows.mapInArrow(first, "doc_id long, sig long, n int, keys array<long>, map binary, fp long"), "copies")
+    prints, whole_prints = materialise(rows.mapInArrow(first, "doc_id long, sig long, n int, keys array<long>, map binary, fp long"), "copies")
     reps, _ = materialise(prints.groupBy("sig").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "copies-reps")
     # one row of each set stands for its copies
     single, _ = materialise(prints.join(reps, (prints["sig"] == reps["sig"]) & (prints["doc_id"] == reps["rep"]), "left_semi").dropDuplicates(["sig", "doc_id"]), "copies-single")
+    # beyond this only the names of the sets are asked of each document
+    prints, _ = materialise(prints.select("doc_id", "sig"), "copies-names")
+    remove(docs.sparkSession, whole_prints)
 
     def linked(pairs: DataFrame) -> DataFrame:
         likely, _ = materialise(_hopeful(pairs, single, least), "copies-likely")
