@@ -42,6 +42,13 @@ def signature(own: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(own.tobytes())).view(np.int64))
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches of fewer rows: what a worker holds at a time is bounded by these, not by the reader's."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def map_bits(n: int) -> int:
     """Bits of the parity map of a set of n: eight to sixteen for each shingle, so that few of them share a bit."""
     return min(MOST_BITS, max(64, 1 << max(0, 8 * n - 1).bit_length()))
@@ -69,7 +76,7 @@ def frequent(rows: DataFrame, n: int, words: int, sample_rows: int = 8192, most:
     """Shingles that three or more texts of a sample have, sorted, and in how many of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             own = [np.unique(shingle_hashes(t or b"", words)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *own]).view(np.int64))], ["h"])
 
@@ -228,7 +235,7 @@ def _hopeful(pairs: DataFrame, single: DataFrame, least: tuple[int, int]) -> Dat
     """The pairs src, dst that their prefixes don't rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             flat = []
             for name in ("a", "b"):
                 column = batch.column(name)
@@ -245,7 +252,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) -> Data
     """The pairs src, dst whose sets reach the bar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             own = [similar(a, b, least) for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())]
             yield batch.select(["src", "dst"]).filter(pa.array(own, pa.bool_()))
 
@@ -264,7 +271,7 @@ def near_copies(docs: DataFrame, words: int = 5, least: tuple[int, int] = LEAST,
     sent = docs.sparkSession.sparkContext.broadcast(frequent(rows, rows.count(), words))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             every = [shingle_hashes(t or b"", words) for t in batch.column(1).to_pylist()]
             own = [np.unique(s) for s in every]
             fp = np.fromiter(map(majority, every), dtype=np.uint64, count=len(every)).view(np.int64)
@@ -273,7 +280,7 @@ def near_copies(docs: DataFrame, words: int = 5, least: tuple[int, int] = LEAST,
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([signature(s) for s in own], pa.int64()), pa.array([len(s) for s in own], pa.int32()), lists, pa.array([parity_map(s) for s in own], pa.binary()), pa.array(fp)], ["doc_id", "sig", "n", "keys", "map", "fp"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             own = [np.unique(shingle_hashes(t or b"", words)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([signature(s) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], ["sig", "shingles"])
 

@@ -181,8 +181,8 @@ def identify(docs: DataFrame, folds: int = 5, held: int = 0, tail: float = 4.0)
     A text that is null or has no letter is `und` with score 0; so is every text if there is nothing to learn from.
     `rejected` marks texts whose entropy lies more than `tail` deviations above the mean of the training texts given to
     the same language, and their score is halved or worse. Ties go to the language first in order. A null doc_id counts
-    as held out; null langs teach nothing; repeated rows are judged each; an empty table gives no rows; other columns
-    are ignored. The model sent to the executors holds at most 2 ** 24 codes.
+    as held out; null langs teach nothing; repeated rows are judged each; texts are read whole, however long; an empty
+    table gives no rows; other columns are ignored. The model sent to the executors holds at most 2 ** 24 codes.
     """
     at = F.coalesce(F.expr(fold("doc_id", folds)) == held, F.lit(True))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), at.alias("held_out"), "text", F.col("lang").cast("string").alias("lang"))

@@ -107,7 +107,8 @@ def mixed(docs: DataFrame, block_words: int = 128, most: int = 2, seed: int = 5)
 
     A null text has no words, a null source is a source of its own and comes last, a null doc_id is carried along;
     documents without a word take nothing; repeated rows are documents of their own; ties in the shuffle go by doc_id
-    and size; an empty table gives no rows; other columns are ignored. No block is taken more than `most` times.
+    and size; texts of any length are cut into blocks; an empty table gives no rows; other columns are ignored. No block
+    is taken more than `most` times.
     """
     sources, rows = placed(docs, block_words, seed)
     rows, _ = materialise(rows, "mix-places")

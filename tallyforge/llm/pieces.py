@@ -231,7 +231,11 @@ def encode(docs: DataFrame, model: str = MODEL, threads: int = 2, batch_chars: i
 
 
 def decode(encoded: DataFrame, model: str = MODEL, threads: int = 2) -> DataFrame:
-    """doc_id and text of every row of `encoded` (doc_id, ids); null ids give a null text."""
+    """doc_id and text of every row of `encoded` (doc_id, ids).
+
+    Null ids give a null text, no ids an empty one. A null doc_id is carried along, repeated rows are decoded each, lists
+    of any length are decoded whole, an empty table gives no rows, other columns are ignored.
+    """
     with open(model, "rb") as file:
         sent = encoded.sparkSession.sparkContext.broadcast(file.read())
 

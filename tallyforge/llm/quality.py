@@ -164,7 +164,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000) -
     one (crc32 of the doc_id as text, modulo 3, is 1); everything else covers all rows. A doc_id with several labels
     counts as good if half of them or more do; null labels and null doc_ids teach nothing. A null text is scored as
     empty, a row with null doc_id is scored as held out. Without labels of both kinds every row gets the base rate.
-    Other columns are ignored; repeated rows are scored each; an empty table gives no rows.
+    Other columns are ignored; repeated rows are scored each; texts are read whole, however long; rows that tie at the
+    bound of the sample are told apart by their features; an empty table gives no rows.
     """
     table, _ = materialise(with_features(docs), "quality")
     marks = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("__mark"))
@@ -182,7 +183,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000) -
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of `docs` that the classifier takes for good, with all columns."""
+    """The rows of `docs` that the classifier takes for good, with all columns, whatever their names.
+
+    Nulls, empty and very long texts and repeated rows are scored as in `quality_scores`; of repeated rows of one doc_id
+    none stays if one of them is bad. A row without doc_id stays. An empty table gives no rows.
+    """
     bad = quality_scores(docs, labels).where("predicted = 0").select(F.col("doc_id").alias("__bad")).distinct()
     return docs.join(bad, docs["doc_id"] == bad["__bad"], "left_anti")
 

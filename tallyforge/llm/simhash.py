@@ -187,7 +187,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3) -> DataFrame
 
     Nulls: a null text counts as empty; a row without doc_id is never the name of a component (alone, it has none).
     Empty texts share fingerprint zero and link like any other. Repeated rows share a fingerprint and a component. An
-    empty table gives no rows. Other columns of `docs` are ignored. Equal fingerprints are joined by a group-by, so a
+    empty table gives no rows. Texts are read whole, however long. Other columns of `docs` are ignored. Equal fingerprints are joined by a group-by, so a
     group of copies counts once in the trees, whatever its size.
     """
     prints, _ = materialise(with_fingerprints(docs, words), "simhash")
@@ -200,7 +200,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = 3) -> DataFrame
 def keep_one(docs: DataFrame, words: int = 3, bits: int = 3) -> DataFrame:
     """The rows of `docs` that name their group: one of each group of near copies, with all columns.
 
-    A row without doc_id stays. Repeated rows of one doc_id all stay if that doc_id does.
+    A row without doc_id stays. Repeated rows of one doc_id all stay if that doc_id does. Nulls, empty and very long
+    texts as in `near_duplicates`; an empty table gives no rows; other columns stay, whatever their names.
     """
     return without(docs, near_duplicates(docs, words, bits))
 

@@ -311,8 +311,8 @@ def without_repeats(docs: DataFrame, span: int = SPAN, batches: int = 4) -> Data
 
     Each byte covered by a string of `span` bytes that also starts anywhere else, in the same document or another, is
     removed; overlaps count, and strings are judged on the input. A null text is empty; a null doc_id is carried along;
-    a repeated row is another document, so its long strings are repeats; an empty table gives no rows; other columns
-    are ignored.
+    a repeated row is another document, so its long strings are repeats; very long texts are read in blocks that
+    overlap; an empty table gives no rows; other columns are ignored.
     """
     spans = repeated_spans(docs, span, min(HEAD, span // 3), batches)
 
