@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import html, langid, manifest, mixing, pieces, quality, rules, secrets, simhash, suffixes, turns, vectors
+from . import html, langid, manifest, mixing, personal, pieces, quality, rules, secrets, simhash, suffixes, turns, vectors
 
 
 def queries() -> dict[str, Callable]:
@@ -12,6 +12,7 @@ def queries() -> dict[str, Callable]:
         "op10_html": html.op10_html,
         "op11_manifest": manifest.op11_manifest,
         "op12_turns": turns.op12_turns,
+        "op13_personal": personal.op13_personal,
         "op1_vectors": vectors.op1_vectors,
         "op2_sentencepiece": pieces.op2_sentencepiece,
         "op3_quality": quality.op3_quality,
