@@ -339,5 +339,5 @@ def op13_personal(spark, sf_dir: str) -> DataFrame:
     rows = find(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("spans", lambda s: s["plain"])
-    count = [F.size(F.filter("spans", lambda s, k=k: s["plain"] & (s["kind"] == k))).cast("long").alias(f"n_{k}") for k in KINDS]
-    return rows.select("doc_id", *count, F.sha2(said(base).cast("binary"), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"), (F.size("spans") - F.size(base)).cast("long").alias("n_added"))
+    of = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return rows.select("doc_id", *map(of, KINDS), F.sha2(said(base).cast("binary"), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"), (F.size("spans") - F.size(base)).cast("long").alias("n_added"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
 import random
 import re
 import time
@@ -76,6 +78,18 @@ def test_long_texts_take_linear_time(part):
     assert time.process_time() - start < 10
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables here")
+def test_query(spark):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    got = personal.op13_personal(spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == len(texts)
+    for r in got:
+        spans = plain(texts[r["doc_id"]] or "")
+        said = ",".join(f"{k}:{a}:{b}" for k in personal.KINDS for a, b in spans[k])
+        assert [r[f"n_{k}"] for k in personal.KINDS] == [len(spans[k]) for k in personal.KINDS] and r["base_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+        assert r["n_added"] == 0 and r["spans"] == said  # no table has disguises
+
+
 def test_find(spark):
     rows = [(1, "a@b.co", 5), (1, "a@b.co", 5), (None, "é bob [at] a [dot] io", 6), (2, None, 7), (3, "", None), (4, "word " * 200_000 + "+1 (017) 555-7713", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans int")
