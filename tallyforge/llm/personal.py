@@ -71,9 +71,10 @@ DOT_HINT = re.compile(rf"{_OPEN}\s?(?:{_any(DOT_WORDS)}|\.)\s?{_SHUT}|\s{_any(DO
 AT_HINT = re.compile(rf"@|{_OPEN}\s?{_any(AT_WORDS)}\s?{_SHUT}|\s{_any(AT_WORDS)}\s")
 IP_WORDS = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:{_DOTS}[0-9]{{1,3}}){{3}}(?![0-9])")
 #: Letters within numbers: what they stand for, and a number that may hold some.
-LETTERS = str.maketrans("OoQIl|SBZ", "000111582")
-LETTERED_HINT = re.compile(r"[0-9][OoQIl|SBZ]|[OoQIl|SBZ][0-9]")
-LETTERED = re.compile(r"(?<![A-Za-z0-9])[0-9OoQIl|SBZ](?:[ ().-]{0,2}[0-9OoQIl|SBZ])+(?![A-Za-z0-9])")
+LETTERS = str.maketrans("OoQIlSBZ", "00011582")
+LETTERED_HINT = re.compile(r"[0-9][OoQIlSBZ]|[OoQIlSBZ][0-9]")
+LETTERED = re.compile(r"(?<![A-Za-z0-9])[0-9OoQIlSBZ](?:[ ().-]{0,2}[0-9OoQIlSBZ])+(?![A-Za-z0-9])")
+GROUP = re.compile("[0-9OoQIlSBZ]+")
 
 Spans = dict[str, list[tuple[int, int]]]
 
@@ -180,9 +181,16 @@ def lookalikes(now: Source) -> None:
     if LETTERED_HINT.search(now.text):
         edits = []
         for m in LETTERED.finditer(now.text):
-            digits, letters = sum("0" <= c <= "9" for c in m[0]), sum(c.isalpha() or c == "|" for c in m[0])
-            if letters and digits >= max(letters, 4):
-                edits.append((m.start(), m.end(), m[0].translate(LETTERS)))
+            groups = list(GROUP.finditer(m[0]))
+            while groups and groups[-1][0].isalpha():  # a word after a number is none of it, nor one before it
+                groups.pop()
+            while groups and groups[0][0].isalpha():
+                groups.pop(0)
+            own = m[0][groups[0].start() : groups[-1].end()] if groups else ""
+            letters, digits = sum(map(str.isalpha, own)), sum(map(str.isdigit, own))
+            if letters and digits >= max(letters, 4) and all(len(g[0]) >= 3 or not g[0].isalpha() for g in groups):
+                start = m.start() + groups[0].start()
+                edits.append((start, start + len(own), own.translate(LETTERS)))
         now.rewrite(_single(now.text, edits))
 
 

@@ -48,6 +48,7 @@ DISGUISED = [
 CLEAN = [
     "look at example.com or meet at noon. dot your i", "un deux trois, nous irons au bois", "the man at the shop. com is short", "point de vue, at the point of no return", "Preis: 1 200,50 € – 3 Stück",
     "one or two, three at most", "call at one one two", "Иван пошёл домой в 5 часов", "at dot com fever", "version 1.2.3 of 4.5.6", "ll Il O0 B8", "A – B • C · D", "",
+    "a | 555-3384 12 | b", "5553384 I am", "I 40 5553 l O",
 ]
 
 
@@ -64,6 +65,8 @@ def test_clean(text):
 
 
 def test_plain_spans_stay():
+    for text in ("x | +1 (091) 555-3384 | y", "+1 (091) 555-3384 I am", "lol +1 (091) 555-3384 lol"):
+        assert [s[3:] for s in personal.spans_of(text)] == [("+1 (091) 555-3384", True)]
     text = "x john@example.com, 4111 1111 1111 1111 and +1 (017) 555-7713, 10.0.0.1; bob [at] a [dot] io"
     found = personal.spans_of(text)
     assert [s[:3] for s in found if s[4]] == [(k, a, b) for k in personal.KINDS for a, b in plain(text)[k]]
