@@ -10,11 +10,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import money
 from .functions.text import layout_signature
-from .operators import detect, diagnostics, geometry, labels, parse, pdf_table, reconcile
+from .operators import detect, diagnostics, facts, geometry, labels, parse, pdf_table, reconcile, split
 from .operators.templates import delimiters, frame
+from .schema import HEADER, coerce_core
 from .sources import delimited, excel, pages
+from .storage import stored
 
 
 @dataclass
@@ -26,6 +27,7 @@ class Result:
     reconciled: DataFrame
     detection: DataFrame
     diagnostics: DataFrame
+    statements: DataFrame | None = None  # those of bundles that were split
 
 
 def status(matched: Column, n: Column, level: Column, failed: Column, margin: Column, multiple: Column) -> Column:
@@ -37,38 +39,50 @@ def _merged(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def _result(detection: DataFrame, tx: DataFrame, counters: DataFrame | None, headers: DataFrame, several: DataFrame, layout: DataFrame, documents: DataFrame | None = None) -> Result:
-    """Checks, trust, status and diagnostics of what was read."""
-    # read several times below: kept, so that neither work nor plan is repeated
-    tx = tx.persist()
-    reconciled = reconcile.reconcile(tx, headers, counters).persist()
+def _result(detection: DataFrame, tx: DataFrame, counters: DataFrame | None, headers: DataFrame, several: DataFrame, layout: DataFrame, documents: DataFrame | None = None, parts: DataFrame | None = None) -> Result:
+    """Checks, trust, status and diagnostics of what was read; with `parts` of bundles, these are taken together."""
+    # read several times below: written, so that neither work nor plan is repeated
+    tx, headers = stored(tx, "transactions"), stored(headers, "headers")
+    reconciled, statements = stored(reconcile.reconcile(tx, headers, counters), "checks"), None
+    if parts is not None:
+        tx, reconciled, statements = split.combined(tx, reconciled, headers, parts)
+        tx, reconciled, statements = stored(tx, "transactions"), stored(reconciled, "checks"), stored(statements, "statements")
+        several = several.join(statements.select("statement_id").distinct().withColumn("__split", F.lit(True)), "statement_id", "left").withColumn("multiple", F.col("multiple") & F.col("__split").isNull()).drop("__split")
     failed = F.size(F.filter("kpis", lambda k: k["status"] == "fail"))
     results = detection.join(reconciled, "statement_id", "left").join(several, "statement_id", "left").join(layout, "statement_id", "left")
     results = results.select(
         "statement_id", "template_id", status(F.col("matched"), F.coalesce("n", F.lit(0)), F.coalesce("trust_level", F.lit("low")), F.coalesce(failed, F.lit(0)), F.col("margin"), F.coalesce("multiple", F.lit(False))).alias("status"),
         F.coalesce("trust_level", F.lit("low")).alias("trust_level"), "score", F.coalesce("n", F.lit(0)).alias("row_count"), "detail", "layout.signature", "layout.hint",
     )
-    return Result(results, tx, reconciled, detection, diagnostics.build(reconciled, detection, tx, documents))
+    return Result(results, tx, reconciled, detection, diagnostics.build(reconciled, detection, tx, documents), statements)
+
+
+def _several(lines: DataFrame, printed: DataFrame) -> DataFrame:
+    """Whether a file holds several statements: first pages, labels, or periods that are no one span."""
+    seen = labels.multiple_statements(lines).join(printed.select("statement_id", "n_periods", "merged"), "statement_id", "left")
+    merged = F.coalesce("merged", F.lit(False))
+    return seen.withColumn("multiple", (F.col("first_pages") > 1) | ~merged & ((F.col("openings") > 1) & (F.col("closings") > 1) | (F.coalesce("n_periods", F.lit(0)) > 1))).drop("n_periods", "merged")
 
 
 def _forced(detection: DataFrame, force: str | None) -> DataFrame:
     if force:
         detection = detection.withColumns({"template_id": F.lit(force), "matched": F.lit(True), "margin": F.lit(None).cast("double"), "tied": F.array().cast("array<string>")})
-    return detection.select("statement_id", "template_id", "matched", F.col("margin").cast("double").alias("margin"), "tied", "detail").persist()
+    return stored(detection.select("statement_id", "template_id", "matched", F.col("margin").cast("double").alias("margin"), "tied", "detail"), "detection")
 
 
 def _of_delimited(spark: SparkSession, files: DataFrame, templates: dict[str, dict], force: str | None) -> Result:
     """Delimited files. Each template has its own expressions; files are dealt to them by detection."""
-    lines = delimited.lines(files).persist()
+    lines = stored(delimited.lines(files), "lines")
     heads = []
     for template in templates.values():  # a template says where the header is and how it is cut
         rule = (template.get("preamble") or {}).get("header_regex")
         marks = [str(m) for m in (template.get("fingerprint") or {}).get("header_contains_all") or []]
         own = delimited.header_line(lines, rule).where("header_no is not null")
         cut = delimited.resolve_delimiter(F.col("header"), marks, delimiters(template))
-        heads.append(own.select("statement_id", F.lit(template["id"]).alias("template_id"), F.transform(F.split("header", F.concat(F.lit("\\Q"), cut, F.lit("\\E")), -1), lambda c: F.trim(F.regexp_replace(c, '"', ""))).alias("header_cells")))
+        heads.append(own.select("statement_id", F.lit(template["id"]).alias("template_id"), "header_no", delimited.header_cells(F.col("header"), cut).alias("header_cells")))
     known = frame(spark, templates)
-    cells = files.select("statement_id", "path", "kind").join(known, F.col("kind") == F.col("format")).join(_merged(heads), ["statement_id", "template_id"], "left")
+    found = _merged(heads)
+    cells = files.select("statement_id", "path", "kind").join(known, F.col("kind") == F.col("format")).join(found.drop("header_no"), ["statement_id", "template_id"], "left")
     score = detect.header_score(F.coalesce("header_cells", F.array().cast("array<string>")), F.col("header_marks"))
     name = F.regexp_extract("path", r"([^/\\]+)$", 1)
     hit = F.coalesce((F.col("filename_regex") != "") & F.regexp_like(name, F.col("filename_regex")), F.lit(False)).cast("int")
@@ -78,14 +92,17 @@ def _of_delimited(spark: SparkSession, files: DataFrame, templates: dict[str, di
         mine = detection.where((F.col("template_id") == name) & F.col("matched")).select("statement_id")
         part, count = parse.parse_delimited(lines.join(mine, "statement_id", "left_semi"), template)
         tx.append(part), counters.append(count), headers.append(parse.header(mine, template))
+    above = facts.preamble(lines, detection.where("matched").join(found.select("statement_id", "template_id", "header_no"), ["statement_id", "template_id"]))
+    above = stored(above, "preambles")
+    printed = stored(facts.printed(above), "facts")
     tokens = F.array_sort(F.array_distinct(F.filter(F.transform(F.split(F.lower("header"), "[,\t;|]"), lambda c: F.trim(c)), lambda c: c != "")))
     layout = delimited.header_line(lines).select("statement_id", layout_signature(tokens).alias("layout"))
-    return _result(detection, _merged(tx), _merged(counters), _merged(headers), labels.multiple_statements(lines), layout)
+    return _result(detection, _merged(tx), _merged(counters), facts.with_printed(_merged(headers), printed), _several(above, printed), layout)
 
 
 def _of_workbooks(spark: SparkSession, files: DataFrame, templates: dict[str, dict], force: str | None) -> tuple[Result, DataFrame]:
     """Workbooks, and those that give no rows with the reason."""
-    scanned = excel.scanned(files).persist()
+    scanned = stored(excel.scanned(files), "sheets")
     none = F.lit(None).cast("int")
     records = excel.repaired_dates(scanned.where("error is null").drop("error").withColumns({"field_count": none, "expected": none, "span": F.array("row_id")}))
     heads = scanned.where("error is null").groupBy("statement_id").agg(F.map_keys(F.min_by("cells", "row_id")).alias("header_cells"))
@@ -97,35 +114,50 @@ def _of_workbooks(spark: SparkSession, files: DataFrame, templates: dict[str, di
         tx.append(parse.transactions(records.join(mine, "statement_id", "left_semi"), template))
         headers.append(parse.header(mine, template))
     tokens = F.array_sort(F.array_distinct(F.transform("header_cells", lambda c: F.lower(F.trim(c)))))
-    several = heads.select("statement_id", F.lit(False).alias("multiple"))
-    return _result(detection, _merged(tx), None, _merged(headers), several, heads.select("statement_id", layout_signature(tokens).alias("layout"))), scanned.where("error is not null").select("statement_id", "error")
+    above = scanned.where("error is null").groupBy("statement_id").agg(F.min_by("preamble", "row_id").alias("t")).select("statement_id", F.lit(1).alias("page"), F.posexplode(F.split("t", "\n")).alias("line_no", "text")).where("trim(text) <> ''")
+    above = stored(above, "preambles")
+    printed = stored(facts.printed(above), "facts")
+    return _result(detection, _merged(tx), None, facts.with_printed(_merged(headers), printed), _several(above, printed), heads.select("statement_id", layout_signature(tokens).alias("layout"))), scanned.where("error is not null").select("statement_id", "error")
 
 
 def _of_pages(spark: SparkSession, files: DataFrame, templates: dict[str, dict], force: str | None, reader: Callable[[bytes], pd.DataFrame]) -> Result:
     """Files of positioned words, which the plug-in `reader` gives."""
-    words = pages.guarded(pages.read_with(files, reader)).persist()
-    text = pages_text(words)
+    return convert_words(spark, pages.guarded(pages.read_with(files, reader)), templates, force, files.select("statement_id", "path", "kind"))
+
+
+def convert_words(spark: SparkSession, words: DataFrame, templates: dict[str, dict], force: str | None = None, files: DataFrame | None = None) -> Result:
+    """Convert positioned words (see `schema.WORDS`); `files` may name their paths. Bundles are cut where that is proven."""
+    words = stored(words, "words")
+    if files is None:
+        files = words.select("statement_id", F.lit("").alias("path"), F.lit("pdf").alias("kind")).distinct()
+    text = stored(pages_text(words), "text")
     whole = text.groupBy("statement_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "line_no", "text"))), lambda s: s["text"]), "\n").alias("page_text"))
-    own = files.join(whole, "statement_id", "left").withColumns({"header_cells": F.array().cast("array<string>"), "page_text": F.coalesce("page_text", F.lit(""))})
+    own = files.select("statement_id", "path", "kind").join(whole, "statement_id", "left").withColumns({"header_cells": F.array().cast("array<string>"), "page_text": F.coalesce("page_text", F.lit(""))})
     detection = _forced(detect.detect(own.select("statement_id", "kind", "header_cells", "page_text", "path"), frame(spark, templates)), force)
-    printed = labels.header_facts(text)
-    span = F.split("period", "\\.\\.")
-    facts = printed.select("statement_id", F.get(span, F.lit(0)).alias("period_start"), F.get(span, F.lit(1)).alias("period_end"), "statement_date", *(money.number(F.col(c)).alias(c) for c in ("opening_balance", "closing_balance")), F.col("stated_count").try_cast("int").alias("stated_count"), "account_number")
-    ocr = words.groupBy("statement_id").agg(F.count_distinct(F.when(F.col("ocr_conf").isNotNull(), F.col("page"))).cast("int").alias("ocr_pages"), F.min("ocr_conf").alias("ocr_min_confidence"), F.max("page").alias("pages"))
+    # parts of bundles are read under keys of their own, beside the whole files
+    rules = {k: split.settings(t) for k, t in templates.items()}
+    rule = F.create_map(*(x for k, r in rules.items() if r for x in (F.lit(k), F.struct(F.lit(r["on"]).alias("on"), F.lit(r["least"]).alias("least"))))) if any(rules.values()) else F.lit(None).cast("map<string,struct<on:string,least:int>>")
+    wanted = detection.where("matched").select("statement_id", F.try_element_at(rule, F.col("template_id")).alias("r")).where("r is not null").select("statement_id", "r.on", "r.least")
+    parts = stored(split.candidates(text, wanted), "parts")
+    words_of, text_of = stored(split.dealt(words, parts), "words"), stored(split.dealt(text, parts), "text")
+    chosen = detection.where("matched").select("statement_id", "template_id")
+    chosen = chosen.unionByName(chosen.join(parts.select("statement_id", "part"), "statement_id").select(F.col("part").alias("statement_id"), "template_id"))
+    printed = stored(facts.printed(text_of), "facts")
+    ocr = words_of.groupBy("statement_id").agg(F.count_distinct(F.when(F.col("ocr_conf").isNotNull(), F.col("page"))).cast("int").alias("ocr_pages"), F.min("ocr_conf").alias("ocr_min_confidence"), F.max("page").alias("pages"))
     tx, counters, headers = [], [], []
     for name, template in templates.items():
-        mine = detection.where((F.col("template_id") == name) & F.col("matched")).select("statement_id")
-        head = parse.header(mine, template).drop("period_start", "period_end", "opening_balance", "closing_balance", "stated_count", "account_number", "ocr_pages", "ocr_min_confidence").join(facts, "statement_id", "left").join(ocr.drop("pages"), "statement_id", "left")
-        own = words.join(mine, "statement_id", "left_semi")
+        mine = chosen.where(F.col("template_id") == name).select("statement_id")
+        head = facts.with_printed(parse.header(mine, template).drop("ocr_pages", "ocr_min_confidence"), printed).join(ocr.drop("pages"), "statement_id", "left")
+        own = words_of.join(mine, "statement_id", "left_semi")
         pins = (template.get("table") or {}).get("metadata_regions") or {}
         if pins:
             head = pdf_table.with_pins(head, pdf_table.pinned(own, pins))
         part, count = pdf_table.transactions(own, template, head)
         tx.append(part), counters.append(count), headers.append(head)
     layout = whole.select("statement_id", layout_signature(F.array_sort(F.array_distinct(F.filter(F.split(F.lower(F.substring_index("page_text", "\n", 12)), r"\s+"), lambda t: t.rlike("^[a-z]{3,}$"))))).alias("layout"))
-    several = labels.multiple_statements(text)
-    documents = ocr.join(several.select("statement_id", "multiple"), "statement_id", "left")
-    return _result(detection, _merged(tx), _merged(counters), _merged(headers), several, layout, documents)
+    several = _several(text, printed)
+    documents = ocr.join(several.select("statement_id", "multiple"), "statement_id")
+    return _result(detection, _merged(tx), _merged(counters), _merged(headers), several, layout, documents, parts)
 
 
 def pages_text(words: DataFrame) -> DataFrame:
@@ -139,17 +171,18 @@ def convert(spark: SparkSession, path: str, templates: dict[str, dict], force: s
     `reader` turns the bytes of a page file into words (see `sources.pages.read_with`); without one such files are
     reported as unsupported. Copies of a file count once.
     """
-    files = delimited.scan(spark, path).persist()
+    contents = delimited.scan(spark, path)
+    files = stored(contents.select("statement_id", "path", "kind"), "files")  # bytes are read where they are parsed, once
     of = lambda kind: {k: t for k, t in templates.items() if t.get("format", "delimited") == kind}
     have = {r["kind"] for r in files.select("kind").distinct().collect()}
     parts, lost = [], [files.where("kind is null").select("statement_id", F.lit("no reader for this kind of file").alias("error"))]
     if "delimited" in have and of("delimited"):
-        parts.append(_of_delimited(spark, files.where("kind = 'delimited'"), of("delimited"), force if force in of("delimited") else None))
+        parts.append(_of_delimited(spark, contents.where("kind = 'delimited'"), of("delimited"), force if force in of("delimited") else None))
     if "excel" in have and of("excel"):
-        part, errors = _of_workbooks(spark, files.where("kind = 'excel'"), of("excel"), force if force in of("excel") else None)
+        part, errors = _of_workbooks(spark, contents.where("kind = 'excel'"), of("excel"), force if force in of("excel") else None)
         parts.append(part), lost.append(errors)
     if "pdf" in have and of("pdf") and reader:
-        parts.append(_of_pages(spark, files.where("kind = 'pdf'"), of("pdf"), force if force in of("pdf") else None, reader))
+        parts.append(_of_pages(spark, contents.where("kind = 'pdf'"), of("pdf"), force if force in of("pdf") else None, reader))
     none = lambda t: F.lit(None).cast(t)
     failed = _merged(lost)
     done = _merged([failed.select("statement_id"), *(p.results.select("statement_id") for p in parts)])
@@ -157,10 +190,11 @@ def convert(spark: SparkSession, path: str, templates: dict[str, dict], force: s
     odd = _merged([failed.withColumn("status", F.lit("failed")), left.withColumn("status", F.lit("unsupported"))])
     rows = odd.select("statement_id", none("string").alias("template_id"), "status", F.lit("low").alias("trust_level"), none("int").alias("score"), F.lit(0).cast("long").alias("row_count"), F.col("error").alias("detail"), none("string").alias("signature"), none("string").alias("hint"))
     notes = diagnostics.described(diagnostics.of_documents(odd.select("statement_id", "error")))
-    if not parts:
-        raise ValueError("no file under the path has a reader and a template")
+    if not parts:  # every file still has its row
+        nothing = spark.createDataFrame([], "statement_id string").withColumns({"template_id": none("string"), "matched": none("boolean"), "margin": none("double"), "tied": none("array<string>"), "detail": none("string")})
+        parts.append(_result(nothing, coerce_core(spark.createDataFrame([], "statement_id string"), "statement_id"), None, spark.createDataFrame([], HEADER), spark.createDataFrame([], "statement_id string, multiple boolean"), spark.createDataFrame([], "statement_id string, layout struct<signature:string,hint:string>")))
     results = _merged([*(p.results for p in parts), rows]).join(files.select("statement_id", "path"), "statement_id", "left")
-    return Result(results, _merged([p.transactions for p in parts]), _merged([p.reconciled for p in parts]), _merged([p.detection for p in parts]), _merged([*(p.diagnostics for p in parts), notes]))
+    return Result(results, _merged([p.transactions for p in parts]), _merged([p.reconciled for p in parts]), _merged([p.detection for p in parts]), _merged([*(p.diagnostics for p in parts), notes]), next((p.statements for p in parts if p.statements is not None), None))
 
 
 def convert_delimited(spark: SparkSession, path: str, templates: dict[str, dict], force: str | None = None) -> Result:

@@ -157,11 +157,11 @@ def layout_signature(tokens: Column) -> Column:
     )
 
 
-def text_after(line: Column, term: Column) -> Column:
-    """What follows a label on its line, without the separators between."""
+def text_after(line: Column, term: Column, signed: bool = False) -> Column:
+    """What follows a label on its line, without the separators between; a minus before a figure stays if `signed`."""
     at = F.position(F.lower(term), F.lower(line))
     rest = F.when(at > 0, line.substr(at + F.length(term), F.length(line)))
-    return F.regexp_replace(rest, r"^[\s:=\-]+|\s+$", "")
+    return F.regexp_replace(rest, r"^(?:[\s:=]|-(?![0-9$.(]))+|\s+$" if signed else r"^[\s:=\-]+|\s+$", "")
 
 
 def all_matches(x: Column, pattern: str) -> Column:

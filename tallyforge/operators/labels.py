@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.text import text_after, trim_ws
 from ..vocab import DEFAULTS, LABELS
 
+FIRST_PAGE = r"(?i)\bpage\s+1\b(\s+of\s+\d+)?"
+
 
 def value_in(line: Column, kind: str, lexicon: dict = DEFAULTS) -> Column:
     """A line's typed value: the last amount, the first date, the first two dates, a count, the text, or a pattern's match."""
@@ -35,7 +37,7 @@ def hits(lines: DataFrame, terms: list[str], kind: str = "text") -> DataFrame:
     rows = lines.withColumn("next_text", F.lead("text").over(order))
     found = F.filter(F.array(*map(F.lit, terms)), lambda t: F.position(F.lower(t), F.lower("text")) > 0)
     rows = rows.withColumn("__terms", found).where(F.size("__terms") > 0).select("*", F.posexplode("__terms").alias("term_no", "term")).drop("__terms")
-    after = text_after(F.col("text"), F.col("term"))
+    after = text_after(F.col("text"), F.col("term"), kind == "money")
     beside = F.nullif(after, F.lit("")) if kind == "text" else F.coalesce(value_in(after, kind), value_in(F.col("text"), kind))
     return rows.withColumns({"value": beside, "next_value": F.lit(None).cast("string") if kind == "text" else value_in(F.col("next_text"), kind)})
 
@@ -112,7 +114,7 @@ def chained(rows: DataFrame, key: str = "statement_id", order_by: str = "seq") -
     return rows.withColumn("__ok", ok).groupBy(key).agg(F.coalesce(F.bool_and("__ok"), F.lit(False)).alias("proven"), F.count("*").alias("k"))
 
 
-def multiple_statements(lines: DataFrame, page_marker: str = r"(?i)\bpage\s+1\b(\s+of\s+\d+)?") -> DataFrame:
+def multiple_statements(lines: DataFrame, page_marker: str = FIRST_PAGE) -> DataFrame:
     """Whether a file holds several statements: several first pages, or several opening and closing labels."""
     low = F.lower("text")
     seen = lambda words: F.sum(F.exists(F.array(*map(F.lit, words)), lambda t: F.position(t, low) > 0).cast("int"))

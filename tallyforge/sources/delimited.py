@@ -107,13 +107,31 @@ def fitted(cells: Column, width: Column) -> Column:
     return F.slice(F.concat(cells, F.array_repeat(F.lit(""), width)), F.lit(1), width)
 
 
+def unique_names(cells: Column) -> Column:
+    """Header names: a blank one is colN by its place, a repeat gets the first suffix .1, .2, ... that no earlier name has."""
+    filled = F.transform(cells, lambda c, i: F.coalesce(F.nullif(c, F.lit("")), F.concat(F.lit("col"), (i + 1).cast("string"))))
+
+    def step(done: Column, c: Column) -> Column:
+        others = F.transform(F.sequence(F.lit(1), F.size(done) + 1), lambda k: F.concat(c, F.lit("."), k.cast("string")))
+        free = F.get(F.array_except(others, done), F.lit(0))
+        return F.array_append(done, F.when(F.array_contains(done, c), free).otherwise(c))
+
+    return F.aggregate(filled, F.array().cast("array<string>"), step)
+
+
+def header_cells(header: Column, delimiter: Column) -> Column:
+    """The header's cells as they stand, trimmed and without quotes."""
+    return F.transform(F.split(header, F.concat(F.lit("\\Q"), delimiter, F.lit("\\E")), -1), lambda c: F.trim(F.regexp_replace(c, '"', "")))
+
+
 def read(rows: DataFrame, marks: list[str], candidates: list[str], header_regex: str | None = None) -> DataFrame:
     """Records of every file of `rows` (lines) under one template.
 
-    statement_id, row_id, cells (map of header name to cell), field_count, expected, text, span, header_no, data_lines,
+    statement_id, row_id, cells (map of header name to cell, names made unique), field_count, expected, text, span, header_no, data_lines,
     padding_lines.
     """
     head = header_line(rows, header_regex).where("header_no is not null").withColumn("delimiter", resolve_delimiter(F.col("header"), marks, candidates))
+    head = head.withColumn("names", unique_names(header_cells(F.col("header"), F.col("delimiter"))))
     body = rows.join(head, "statement_id").where("line_no > header_no").where(F.regexp_replace("text", r"\s", "") != "")
     body = body.withColumn("padding", is_padding(F.col("text"), F.col("delimiter")))
     counts = body.groupBy("statement_id").agg(F.count_if(~F.col("padding")).cast("int").alias("data_lines"), F.count_if("padding").cast("int").alias("padding_lines"))
@@ -121,8 +139,7 @@ def read(rows: DataFrame, marks: list[str], candidates: list[str], header_regex:
     out = recs.join(head, "statement_id").join(counts, "statement_id")
     parts = []
     for d in candidates:  # a delimiter is a literal of the parser, so each has its own plan
-        names = F.transform(F.split(F.col("header"), _quoted(d), -1), lambda c: F.trim(F.regexp_replace(c, '"', "")))
-        part = out.where(F.col("delimiter") == d).withColumn("names", names)
+        part = out.where(F.col("delimiter") == d)
         cells = fitted(fields(F.col("text"), d), F.size("names"))
         parts.append(part.select("statement_id", F.col("rec_no").cast("int").alias("row_id"), F.map_from_arrays("names", cells).alias("cells"), field_count(F.col("text"), d).cast("int").alias("field_count"), F.size("names").alias("expected"), "text", "span", "header_no", "data_lines", "padding_lines"))
     whole = parts[0]
