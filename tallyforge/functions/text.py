@@ -54,6 +54,11 @@ def matches_marker(x: Column, markers: Sequence[str] = DEFAULTS["redaction_marke
     return F.coalesce(x.rlike("|".join([*markers, block_run(glyphs)])), F.lit(False))
 
 
+def has_redaction_evidence(line: Column, lexicon: dict = DEFAULTS) -> Column:
+    """Whether a line still shows a date or an amount: only such a line can be a transaction whose cells were blotted out."""
+    return F.coalesce(line.rlike(lexicon["date_regex"]) | line.rlike(lexicon["money_regex"]), F.lit(False))
+
+
 def flags(*named: tuple[str, Column]) -> Column:
     """The names whose condition holds, in order."""
     return F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in named)))
