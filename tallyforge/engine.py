@@ -10,10 +10,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import vocab
 from .functions.text import layout_signature
 from .operators import detect, diagnostics, facts, geometry, labels, parse, pdf_table, reconcile, split
 from .operators.templates import delimiters, frame
-from .schema import HEADER, coerce_core
+from .schema import HEADER, RUN, coerce_core
 from .sources import delimited, excel, pages
 from .storage import stored
 
@@ -28,6 +29,8 @@ class Result:
     detection: DataFrame
     diagnostics: DataFrame
     statements: DataFrame | None = None  # those of bundles that were split
+    lines: DataFrame | None = None  # the text of pages
+    fields: DataFrame | None = None  # those of forms
 
 
 def status(matched: Column, n: Column, level: Column, failed: Column, margin: Column, multiple: Column) -> Column:
@@ -157,7 +160,48 @@ def convert_words(spark: SparkSession, words: DataFrame, templates: dict[str, di
     layout = whole.select("statement_id", layout_signature(F.array_sort(F.array_distinct(F.filter(F.split(F.lower(F.substring_index("page_text", "\n", 12)), r"\s+"), lambda t: t.rlike("^[a-z]{3,}$"))))).alias("layout"))
     several = _several(text, printed)
     documents = ocr.join(several.select("statement_id", "multiple"), "statement_id")
-    return _result(detection, _merged(tx), _merged(counters), _merged(headers), several, layout, documents, parts)
+    out = _result(detection, _merged(tx), _merged(counters), _merged(headers), several, layout, documents, parts)
+    out.lines = text
+    return out
+
+
+def form_results(results: DataFrame, lines: DataFrame, forms: dict[str, dict]) -> tuple[DataFrame, DataFrame]:
+    """`results` with the documents that no statement template reads tried as forms, and the fields of those that are.
+
+    A form is the one whose phrases all stand in the text, the one with the most; with two as specific, none. One without a
+    value stays unsupported; a conflict or a missing required value needs review. `forms` is a bounded, driver-side set.
+    """
+    open_ = results.where("status = 'unsupported'").select("statement_id")
+    own = stored(lines.join(open_, "statement_id", "left_semi"), "form-lines")
+    phrases = {k: [str(p) for p in (f.get("fingerprint") or {}).get("page_contains_all") or []] for k, f in forms.items()}
+    chosen = stored(labels.detect_form(own, phrases), "forms")
+    parts = [labels.form_fields(own.join(chosen.where((F.col("form") == k) & F.col("matched")), "statement_id", "left_semi"), labels.field_specs(f.get("fields"))).withColumn("form", F.lit(k)) for k, f in forms.items()]
+    fields = stored(_merged(parts), "fields")
+    filled = F.count_if(F.col("value").isNotNull() & (F.col("value") != "")).alias("__values")
+    sums = fields.groupBy("statement_id", "form").agg(F.count("*").alias("__n"), filled, F.count_if("conflict").alias("__conflicts"), F.count_if("flagged").alias("__flagged"))
+    state = F.when(F.col("__values") == 0, "unsupported").when(F.col("__flagged") > 0, "needs_review").otherwise("ok")
+    text = lambda c: F.col(c).cast("string")
+    said = F.when(F.col("__conflicts") > 0, F.concat(text("__conflicts"), F.lit(" label(s) stand there with different values"))).when(F.col("__flagged") > 0, F.concat(text("__flagged"), F.lit(" required field(s) not found"))).otherwise(F.concat(text("__values"), F.lit(" of "), text("__n"), F.lit(" value(s) found")))
+    is_form = F.col("form").isNotNull()
+    rows = results.join(sums, "statement_id", "left")
+    new = {"template_id": F.when(is_form, F.col("form")).otherwise(F.col("template_id")), "status": F.when(is_form, state).otherwise(F.col("status")), "detail": F.when(is_form, said).otherwise(F.col("detail")), "row_count": F.when(is_form, F.col("__values")).otherwise(F.col("row_count"))}
+    return rows.withColumns(new | {"kind": F.when(is_form, "form").otherwise("statement")}).select(*results.columns, "kind"), fields
+
+
+def run_records(found: Result, ts: str, requested_by: str = "") -> DataFrame:
+    """A record of `schema.RUN` for every file of a conversion, to be appended to the log of runs."""
+    failed = found.reconciled.select("statement_id", F.size(F.filter("kpis", lambda k: k["status"] == "fail")).alias("__failed"))
+    printed = found.statements.groupBy("statement_id").agg(F.lit(True).alias("__split")) if found.statements is not None else None
+    rows = found.results.join(failed, "statement_id", "left")
+    rows = rows.join(printed, "statement_id", "left") if printed is not None else rows.withColumn("__split", F.lit(None).cast("boolean"))
+    kind = F.col("kind") if "kind" in found.results.columns else F.lit("statement")
+    known = {
+        "ts": F.lit(ts), "run_id": F.substring(F.sha2(F.concat_ws("|", F.lit(ts), "statement_id"), 256), 1, 16), "kind": kind, "requested_by": F.lit(requested_by), "source_file": F.regexp_extract("path", r"([^/\\]+)$", 1), "source_sha256": F.col("statement_id"),
+        "detected_template": F.col("template_id"), "detect_detail": F.col("detail"), "layout_signature": F.col("signature"), "layout_hint": F.col("hint"), "status": F.col("status"), "trust_level": F.col("trust_level"), "row_count": F.when(kind == "statement", F.col("row_count")),
+        "n_fields": F.when(kind == "form", F.col("row_count")), "kpi_fail_count": F.coalesce("__failed", F.lit(0)), "multiple_statements": F.coalesce("__split", F.lit(False)), "message": F.col("detail"),
+    }
+    columns = [c.split() for c in RUN.split(", ")]
+    return rows.select(*(known.get(c, F.lit(None)).cast(t).alias(c) for c, t in columns))
 
 
 def pages_text(words: DataFrame) -> DataFrame:
@@ -165,12 +209,21 @@ def pages_text(words: DataFrame) -> DataFrame:
     return geometry.lines(words).select("statement_id", "page", F.col("line").cast("int").alias("line_no"), "text")
 
 
-def convert(spark: SparkSession, path: str, templates: dict[str, dict], force: str | None = None, reader: Callable[[bytes], pd.DataFrame] | None = None) -> Result:
+def convert(
+    spark: SparkSession, path: str, templates: dict[str, dict], force: str | None = None, reader: Callable[[bytes], pd.DataFrame] | None = None, lexicon: dict | None = None, label_words: dict | None = None,
+    forms: dict[str, dict] | None = None,
+) -> Result:
     """Convert every file under a path, of every kind; each has a row in `results`, with the reason where nothing was read.
 
     `reader` turns the bytes of a page file into words (see `sources.pages.read_with`); without one such files are
-    reported as unsupported. Copies of a file count once.
+    reported as unsupported. Copies of a file count once. `lexicon` and `label_words` are a site's own vocabulary and labels:
+    every expression of the conversion is built from them. Pages that are no statement are tried as one of `forms`.
     """
+    with vocab.using(lexicon, label_words):
+        return _convert(spark, path, templates, force, reader, forms or {})
+
+
+def _convert(spark: SparkSession, path: str, templates: dict[str, dict], force: str | None, reader: Callable[[bytes], pd.DataFrame] | None, forms: dict[str, dict]) -> Result:
     contents = delimited.scan(spark, path)
     files = stored(contents.select("statement_id", "path", "kind"), "files")  # bytes are read where they are parsed, once
     of = lambda kind: {k: t for k, t in templates.items() if t.get("format", "delimited") == kind}
@@ -181,7 +234,7 @@ def convert(spark: SparkSession, path: str, templates: dict[str, dict], force: s
     if "excel" in have and of("excel"):
         part, errors = _of_workbooks(spark, contents.where("kind = 'excel'"), of("excel"), force if force in of("excel") else None)
         parts.append(part), lost.append(errors)
-    if "pdf" in have and of("pdf") and reader:
+    if "pdf" in have and (of("pdf") or forms) and reader:
         parts.append(_of_pages(spark, contents.where("kind = 'pdf'"), of("pdf"), force if force in of("pdf") else None, reader))
     none = lambda t: F.lit(None).cast(t)
     failed = _merged(lost)
@@ -194,7 +247,11 @@ def convert(spark: SparkSession, path: str, templates: dict[str, dict], force: s
         nothing = spark.createDataFrame([], "statement_id string").withColumns({"template_id": none("string"), "matched": none("boolean"), "margin": none("double"), "tied": none("array<string>"), "detail": none("string")})
         parts.append(_result(nothing, coerce_core(spark.createDataFrame([], "statement_id string"), "statement_id"), None, spark.createDataFrame([], HEADER), spark.createDataFrame([], "statement_id string, multiple boolean"), spark.createDataFrame([], "statement_id string, layout struct<signature:string,hint:string>")))
     results = _merged([*(p.results for p in parts), rows]).join(files.select("statement_id", "path"), "statement_id", "left")
-    return Result(results, _merged([p.transactions for p in parts]), _merged([p.reconciled for p in parts]), _merged([p.detection for p in parts]), _merged([*(p.diagnostics for p in parts), notes]), next((p.statements for p in parts if p.statements is not None), None))
+    results, fields, lines = results.withColumn("kind", F.lit("statement")), None, next((p.lines for p in parts if p.lines is not None), None)
+    if forms and lines is not None:
+        results, fields = form_results(results.drop("kind"), lines, forms)
+    statements = next((p.statements for p in parts if p.statements is not None), None)
+    return Result(results, _merged([p.transactions for p in parts]), _merged([p.reconciled for p in parts]), _merged([p.detection for p in parts]), _merged([*(p.diagnostics for p in parts), notes]), statements, lines, fields)
 
 
 def convert_delimited(spark: SparkSession, path: str, templates: dict[str, dict], force: str | None = None) -> Result:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..vocab import DEFAULTS
+from .. import vocab
 from .text import trim_ws
 
 STYLES = ("signed", "debit_credit_cols", "dr_cr_suffix", "type_dc", "unsigned")
@@ -15,12 +15,13 @@ def _ends(words: list[str]) -> str:
     return "(" + "|".join(w.upper() for w in words) + r")\s*$"
 
 
-def number(x: Column, decimal: str = "auto", lexicon: dict = DEFAULTS) -> Column:
+def number(x: Column, decimal: str = "auto", lexicon: dict | None = None) -> Column:
     """A printed amount as a double; null where it can't be read with certainty.
 
     A trailing debit marker, brackets or any minus make it negative. With `auto` the last separator is the decimal mark;
     a lone comma is one only before one or two last digits.
     """
+    lexicon = lexicon or vocab.lexicon()
     raw = trim_ws(x.cast("string"))
     debit = F.upper(raw).rlike(_ends([*lexicon["dr_cr_suffix_debit"], *lexicon["overdrawn_markers"]]))
     kept = F.regexp_replace(raw, "[^0-9.,()+-]", "")
@@ -60,8 +61,9 @@ def debit_credit_raw(debit: Column, credit: Column, decimal: str = "auto") -> Co
     return F.when(F.coalesce(c != 0, F.lit(False)), credit).when(F.coalesce(d != 0, F.lit(False)), debit).otherwise(both)
 
 
-def suffixed(x: Column, decimal: str = "auto", lexicon: dict = DEFAULTS) -> Column:
+def suffixed(x: Column, decimal: str = "auto", lexicon: dict | None = None) -> Column:
     """An amount whose sign is the marker behind it; without a known marker it is null."""
+    lexicon = lexicon or vocab.lexicon()
     debit, credit = lexicon["dr_cr_suffix_debit"], lexicon["dr_cr_suffix_credit"]
     raw = trim_ws(x)
     mark = F.upper(F.regexp_extract(raw, r"([A-Za-z]{2})\s*$", 1))
@@ -69,10 +71,10 @@ def suffixed(x: Column, decimal: str = "auto", lexicon: dict = DEFAULTS) -> Colu
     return F.when(mark.isin(*(w.upper() for w in debit)), -size).when(mark.isin(*(w.upper() for w in credit)), size)
 
 
-def unsigned(x: Column, default: str = "debit", decimal: str = "auto", lexicon: dict = DEFAULTS) -> Column:
+def unsigned(x: Column, default: str = "debit", decimal: str = "auto", lexicon: dict | None = None) -> Column:
     """An amount without a sign: the template says which way it counts, a credit marker turns it round."""
     base = 1.0 if default == "credit" else -1.0
-    turned = F.upper(trim_ws(x)).rlike(_ends(lexicon["dr_cr_suffix_credit"]))
+    turned = F.upper(trim_ws(x)).rlike(_ends((lexicon or vocab.lexicon())["dr_cr_suffix_credit"]))
     return F.abs(number(x, decimal)) * F.when(turned, -base).otherwise(base)
 
 

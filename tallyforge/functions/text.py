@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..vocab import DEFAULTS
+from .. import vocab
 
 
 def trim_ws(x: Column) -> Column:
@@ -40,9 +40,9 @@ def has_phrase(text: Column, phrase: Column | str) -> Column:
     return F.instr(text, phrase) > 0 if isinstance(phrase, str) else F.position(phrase, text) > 0
 
 
-def block_run(glyphs: Sequence[str] = DEFAULTS["redaction_block_glyphs"]) -> str:
+def block_run(glyphs: Sequence[str] | None = None) -> str:
     """The pattern of a run of glyphs that blot a text out."""
-    return "[" + "".join(glyphs) + "]+"
+    return "[" + "".join(glyphs or vocab.lexicon()["redaction_block_glyphs"]) + "]+"
 
 
 def is_redacted(x: Column) -> Column:
@@ -50,12 +50,13 @@ def is_redacted(x: Column) -> Column:
     return F.coalesce(F.upper(x).contains("REDACTED") | x.rlike(block_run()), F.lit(False))
 
 
-def matches_marker(x: Column, markers: Sequence[str] = DEFAULTS["redaction_markers"], glyphs: Sequence[str] = DEFAULTS["redaction_block_glyphs"]) -> Column:
-    return F.coalesce(x.rlike("|".join([*markers, block_run(glyphs)])), F.lit(False))
+def matches_marker(x: Column, markers: Sequence[str] | None = None, glyphs: Sequence[str] | None = None) -> Column:
+    return F.coalesce(x.rlike("|".join([*(markers or vocab.lexicon()["redaction_markers"]), block_run(glyphs)])), F.lit(False))
 
 
-def has_redaction_evidence(line: Column, lexicon: dict = DEFAULTS) -> Column:
+def has_redaction_evidence(line: Column, lexicon: dict | None = None) -> Column:
     """Whether a line still shows a date or an amount: only such a line can be a transaction whose cells were blotted out."""
+    lexicon = lexicon or vocab.lexicon()
     return F.coalesce(line.rlike(lexicon["date_regex"]) | line.rlike(lexicon["money_regex"]), F.lit(False))
 
 
@@ -131,9 +132,9 @@ def line_label(x: Column) -> Column:
     return F.regexp_replace(out, r"^\s+|[\s:-]+$", "")
 
 
-def is_summary_line(x: Column, labels: Sequence[str] = DEFAULTS["summary_line_labels"]) -> Column:
+def is_summary_line(x: Column, labels: Sequence[str] | None = None) -> Column:
     """Whether the whole label is a total, an opening or closing balance, or carried forward."""
-    return line_label(x).rlike("^(?:" + "|".join(p.replace(" ", r"\s+") for p in labels) + ")$")
+    return line_label(x).rlike("^(?:" + "|".join(p.replace(" ", r"\s+") for p in labels or vocab.lexicon()["summary_line_labels"]) + ")$")
 
 
 def is_footer(x: Column) -> Column:

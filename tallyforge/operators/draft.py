@@ -7,17 +7,17 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import vocab
 from ..functions import money
 from ..functions.text import is_blank
 from ..sources import delimited
-from ..vocab import DEFAULTS
 from . import profile
 
 
 def guess_mapping(headers: list[str]) -> dict[str, str]:
     """Fields by the names of columns; each column serves one field."""
     out: dict[str, str] = {}
-    for field, pattern in DEFAULTS["field_name_patterns"].items():
+    for field, pattern in vocab.lexicon()["field_name_patterns"].items():
         hit = next((h for h in headers if h not in out.values() and re.search(pattern, h, re.I)), None)
         if hit:
             out[field] = hit
@@ -30,7 +30,7 @@ def amount_style(mapping: dict[str, str], suffixed: bool, negative: bool, tokens
         return "debit_credit_cols"
     if suffixed:
         return "dr_cr_suffix"
-    known = {*DEFAULTS["debit_markers"], *DEFAULTS["credit_markers"]}
+    known = {*vocab.lexicon()["debit_markers"], *vocab.lexicon()["credit_markers"]}
     if "type" in mapping and tokens and set(tokens) <= known and not negative:
         return "type_dc"
     return "signed"
@@ -39,7 +39,7 @@ def amount_style(mapping: dict[str, str], suffixed: bool, negative: bool, tokens
 def type_tokens(tokens: list[str]) -> tuple[str | None, str | None]:
     """Debit and credit token among a column's values."""
     pick = lambda names: next((t for t in tokens if t.upper() in names), None)
-    return pick(DEFAULTS["debit_markers"]), pick(DEFAULTS["credit_markers"])
+    return pick(vocab.lexicon()["debit_markers"]), pick(vocab.lexicon()["credit_markers"])
 
 
 def currency(cells: DataFrame, value: str = "value") -> str:
@@ -102,7 +102,7 @@ def suggest_bands(words: DataFrame, page: int = 1, statement_id: str | None = No
         else:
             groups.append([edge])
     groups = [g for g in groups if len(g) >= 2]
-    heads = {r["text"].lower(): r for r in rows if r["text"].lower() in DEFAULTS["header_keywords"]}
+    heads = {r["text"].lower(): r for r in rows if r["text"].lower() in vocab.lexicon()["header_keywords"]}
     names = {"withdrawal": "debit", "withdrawals": "debit", "debit": "debit", "deposit": "credit", "deposits": "credit", "credit": "credit", "balance": "balance", "amount": "amount"}
     bands: dict[str, dict] = {}
     low = None
@@ -127,7 +127,7 @@ def header_phrases(lines: list[str], n: int = 3) -> list[str]:
     column names. Lines with figures, and those that may name a person, are not offered."""
     lines = [re.sub(r"\s+", " ", x).strip() for x in lines]
     lines = [x for x in lines if x]
-    keys, brands = set(DEFAULTS["header_keywords"]), DEFAULTS["fingerprint_brand_words"]
+    keys, brands = set(vocab.lexicon()["header_keywords"]), vocab.lexicon()["fingerprint_brand_words"]
     words = lambda x: re.findall("[A-Za-z]+", x)
     branded = lambda x: any(b in x.lower() for b in brands)
 

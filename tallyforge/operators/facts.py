@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import vocab
 from ..functions import dates, money
 from ..functions.text import all_matches
 from ..params import MONEY_TOLERANCE
-from ..vocab import DEFAULTS, LABELS
 from . import labels
 
 KEY = "statement_id"
@@ -19,11 +19,12 @@ REASONS = ("unreadable", "overlap", "sections", "accounts", "balances", "chain")
 CUTS = r"""(?:[;\t|]|(?<![0-9]),|,(?![0-9]{3}(?![0-9])))(?=(?:[^"]*"[^"]*")*[^"]*$)"""
 
 
-def printed_periods(lines: DataFrame, lexicon: dict = DEFAULTS) -> DataFrame:
+def printed_periods(lines: DataFrame, lexicon: dict | None = None) -> DataFrame:
     """statement_id, page, line_no, at (within the line), start_raw, end_raw, start and end of every printed range of dates.
 
     A range is two dates with a connective or a dash between them; one that can't be read has a null start or end.
     """
+    lexicon = lexicon or vocab.lexicon()
     day = f"(?:{lexicon['date_regex']})"
     between = rf"\s*(?:{'|'.join(lexicon['period_connectives'])}|[-–—])\s*"
     whole = f"(?i){day}{between}{day}"
@@ -50,7 +51,7 @@ def ordered(periods: DataFrame) -> DataFrame:
     return rows.withColumns({"no": F.row_number().over(by_date), "n": F.count("*").over(own), "overlap": F.coalesce(F.col("start") < before, F.lit(False)), "gap": gap})
 
 
-def spans(lines: DataFrame, dictionary: dict | None = None, lexicon: dict = DEFAULTS) -> DataFrame:
+def spans(lines: DataFrame, dictionary: dict | None = None, lexicon: dict | None = None) -> DataFrame:
     """One span over several printed periods, where the statement proves it; a row for every statement with a period.
 
     statement_id, n_periods, merged, reason, period_start, period_end, opening_balance, closing_balance (as printed) and
@@ -59,7 +60,7 @@ def spans(lines: DataFrame, dictionary: dict | None = None, lexicon: dict = DEFA
     and every period must close on the figure that the next one opens on. Anything else leaves the first printed period,
     with the first of REASONS that applies. Gaps don't stop a span, they are listed. Every window is one statement's.
     """
-    labels_of = dictionary or LABELS
+    labels_of, lexicon = dictionary or vocab.label_dictionary(), lexicon or vocab.lexicon()
     found = ordered(printed_periods(lines, lexicon))
     first = found.groupBy(KEY).agg(
         F.max("n").alias("n_periods"), F.bool_or("unreadable").alias("unreadable"), F.bool_or("overlap").alias("overlap"), F.count_distinct("page", "line_no").alias("__places"),
@@ -97,7 +98,7 @@ def spans(lines: DataFrame, dictionary: dict | None = None, lexicon: dict = DEFA
     )
 
 
-def printed(lines: DataFrame, dictionary: dict | None = None, lexicon: dict = DEFAULTS) -> DataFrame:
+def printed(lines: DataFrame, dictionary: dict | None = None, lexicon: dict | None = None) -> DataFrame:
     """The header facts of statements from their lines (statement_id, page, line_no, text): period, date, balances, stated
     count, account, with several periods as one span where that is proven. A file of several first pages has no one span."""
     found = labels.header_facts(lines, dictionary)

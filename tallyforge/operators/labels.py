@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import vocab
 from ..functions.text import text_after, trim_ws
-from ..vocab import DEFAULTS, LABELS
+from ..vocab import DEFAULTS  # noqa: F401
 
 FIRST_PAGE = r"(?i)\bpage\s+1\b(\s+of\s+\d+)?"
 
 
-def value_in(line: Column, kind: str, lexicon: dict = DEFAULTS) -> Column:
+def value_in(line: Column, kind: str, lexicon: dict | None = None) -> Column:
     """A line's typed value: the last amount, the first date, the first two dates, a count, the text, or a pattern's match."""
+    lexicon = lexicon or vocab.lexicon()
     none = lambda c: F.nullif(c, F.lit(""))
     if kind == "money":
         return none(F.try_element_at(F.regexp_extract_all(line, F.lit(lexicon["money_regex"]), F.lit(0)), F.lit(-1)))
@@ -68,7 +70,7 @@ def match(lines: DataFrame, spec: dict, occurrence: str = "first", scope: str =
 def header_facts(lines: DataFrame, dictionary: dict | None = None) -> DataFrame:
     """The facts that statements print, one column per label of the dictionary."""
     out = lines.select("statement_id").distinct()
-    for name, spec in (dictionary or LABELS).items():
+    for name, spec in (dictionary or vocab.label_dictionary()).items():
         out = out.join(match(lines, spec).select("statement_id", F.col("value").alias(name)), "statement_id", "left")
     return out
 
@@ -85,6 +87,22 @@ def form_fields(lines: DataFrame, fields: dict[str, dict]) -> DataFrame:
     return whole
 
 
+def field_specs(fields: dict, dictionary: dict | None = None) -> dict[str, dict]:
+    """Fields of a form template as label specs: a text, or a map with `label`, is a synonym; a field named like a label of the
+    dictionary has that label's synonyms after its own and its kind of value. A field without any is left out."""
+    known, out = dictionary or vocab.label_dictionary(), {}
+    for name, spec in (fields or {}).items():
+        spec = {"any_of": [spec]} if isinstance(spec, str) else dict(spec or {})
+        own = [spec["any_of"]] if isinstance(spec.get("any_of"), str) else list(spec.get("any_of") or [])
+        if not own and spec.get("label"):
+            own = [spec["label"]]
+        base = known.get(name, {})
+        terms = list(dict.fromkeys(str(t).strip() for t in [*own, *base.get("any_of", [])] if str(t).strip()))
+        if terms:
+            out[name] = {"value": base.get("value", "text"), **spec, "any_of": terms}
+    return out
+
+
 def detect_form(lines: DataFrame, forms: dict[str, list[str]]) -> DataFrame:
     """statement_id, form and matched: the form whose phrases all stand in the text, the one with the most phrases; with
     two as specific, none is chosen. `forms` is a bounded, driver-side set: its phrases are literals of one projection."""
@@ -118,5 +136,5 @@ def multiple_statements(lines: DataFrame, page_marker: str = FIRST_PAGE) -> Data
     """Whether a file holds several statements: several first pages, or several opening and closing labels."""
     low = F.lower("text")
     seen = lambda words: F.sum(F.exists(F.array(*map(F.lit, words)), lambda t: F.position(t, low) > 0).cast("int"))
-    out = lines.groupBy("statement_id").agg(F.count_if(F.col("text").rlike(page_marker)).alias("first_pages"), seen(LABELS["opening_balance"]["any_of"]).alias("openings"), seen(LABELS["closing_balance"]["any_of"]).alias("closings"))
+    out = lines.groupBy("statement_id").agg(F.count_if(F.col("text").rlike(page_marker)).alias("first_pages"), seen(vocab.label_dictionary()["opening_balance"]["any_of"]).alias("openings"), seen(vocab.label_dictionary()["closing_balance"]["any_of"]).alias("closings"))
     return out.withColumn("multiple", (F.col("first_pages") > 1) | ((F.col("openings") > 1) & (F.col("closings") > 1)))

@@ -14,10 +14,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import vocab
 from ..functions import dates, money, text
 from ..params import OCR_CELL_MIN_CONF
 from ..schema import coerce_core
-from ..vocab import DEFAULTS
 from . import geometry, labels
 from .rows import ACTIONABLE, has_amount, keep_row, row_code
 
@@ -69,23 +69,24 @@ def stitched(page: list[dict]) -> list[dict]:
     return out
 
 
-MARKERS = frozenset(w.upper() for w in [*DEFAULTS["dr_cr_suffix_credit"], *DEFAULTS["dr_cr_suffix_debit"]])
-MARKED = re.compile(r"(^|[^A-Za-z])(" + "|".join(sorted(MARKERS)) + r")\s*$")
+def sign_markers() -> frozenset[str]:
+    """The words that give an amount its sign, in the vocabulary in effect."""
+    return frozenset(w.upper() for c in ("dr_cr_suffix_credit", "dr_cr_suffix_debit") for w in vocab.lexicon()[c])
 
 
-def signed_below(row: dict, last: dict) -> bool:
+def signed_below(row: dict, last: dict, markers: frozenset[str]) -> bool:
     """A line of nothing but sign markers gives them to the figures above in the same bands, if those have none yet."""
     words = str(row["raw"] or "").upper().split()
-    if not words or not MARKERS.issuperset(words):
+    if not words or not markers.issuperset(words):
         return False
-    moved = False
+    moved, marked = False, r"(^|[^A-Za-z])(" + "|".join(map(re.escape, sorted(markers))) + r")\s*$"
     for c in (*AMOUNTS, "balance"):
-        if not _blank(row[c]) and not _blank(last[c]) and re.search("[0-9]", str(last[c])) and not MARKED.search(str(last[c]).strip().upper()):
+        if not _blank(row[c]) and not _blank(last[c]) and re.search("[0-9]", str(last[c])) and not re.search(marked, str(last[c]).strip().upper()):
             last[c], moved = _joined(last[c], row[c]), True
     return moved
 
 
-def continued(page: list[dict]) -> list[dict]:
+def continued(page: list[dict], markers: frozenset[str]) -> list[dict]:
     """Lines without date and figures that follow a transaction closely: a sign goes to its amount, other text to its
     own column, and what has none to the description."""
     last, last_y = None, 0.0
@@ -96,7 +97,7 @@ def continued(page: list[dict]) -> list[dict]:
             continue
         close = last is not None and -max(last["h"] or 0, 1) <= row["y0"] - last_y <= 0.9 * max(last["h"] or 0, 1)
         plain = _blank(row["date"]) and not any(re.search("[0-9]", str(row[c])) for c in (*AMOUNTS, "balance") if not _blank(row[c]))
-        if close and signed_below(row, last):
+        if close and signed_below(row, last, markers):
             row["attached"], last_y = True, row["y1"]
         elif close and plain and not row["noise"]:
             for c in own:
@@ -116,12 +117,13 @@ def assembled(rows: DataFrame, merge: bool = True) -> DataFrame:
 
     kinds = {"page": pa.int32(), "row": pa.int32(), **{c: pa.float64() for c in ("y0", "y1", "h", "conf")}, **{c: pa.bool_() for c in ("stitched", "merged", "attached")}}
     columns = [part.split()[0] for part in schema.split(", ")]
+    markers = sign_markers()
 
     def finished(page: list[dict]) -> list[dict]:
         page = stitched([dict(r, stitched=False, merged=False, attached=False) for r in page])
         for r in page:
             r["txn"] = not _blank(r["date"]) and any(not _blank(r[c]) for c in AMOUNTS) and not r["noise"]
-        return continued(page) if merge else page
+        return continued(page, markers) if merge else page
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come page by page; a page may go on in the next batch."""

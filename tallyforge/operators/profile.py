@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import vocab
 from ..functions import dates, money
 from ..functions.text import is_blank, mask_value, trim_ws
 
@@ -23,7 +24,7 @@ def long_cells(df: DataFrame, *columns: str) -> DataFrame:
 
 def detect_date_format(value: Column) -> Column:
     """Aggregate: the first known format that reads all filled cells; null if there is none or no cell."""
-    return dates.fitting(value, dates.distinct_formats(FORMATS), unless_empty=True)
+    return dates.fitting(value, dates.distinct_formats([*FORMATS, *vocab.lexicon()["date_formats"]]), unless_empty=True)
 
 
 def column_profiles(df: DataFrame, *columns: str) -> DataFrame:
@@ -35,7 +36,7 @@ def column_profiles(df: DataFrame, *columns: str) -> DataFrame:
     cells = long_cells(df, *columns).select("column", F.when(~is_blank(F.col("value")), trim_ws(F.col("value"))).alias("v"))
     v, n = F.col("v"), F.col("n")
     values = cells.groupBy("column", "v").agg(F.count("*").alias("n"))
-    formats = dates.distinct_formats(FORMATS)
+    formats = dates.distinct_formats([*FORMATS, *vocab.lexicon()["date_formats"]])
     reads = dates.readable(v, formats)
     values = values.select("column", "v", "n", mask_value(v).alias("shape"), F.when(v.isNotNull(), reads).alias("reads"), F.when(v.isNotNull(), money.looks_money(v)).alias("money"), v.rlike("^[0-9]+$").alias("digits"))
     shapes = values.groupBy("column", "shape").agg(

@@ -92,6 +92,16 @@ def load(folder: str, origin: str = "default", strict: bool = True) -> dict[str,
     return out
 
 
+def load_forms(folder: str) -> dict[str, dict]:
+    """The form templates of a folder: YAML with `mode: fields`, phrases that must stand in the text, and fields."""
+    out = {}
+    for path in sorted(Path(folder).glob("*.y*ml")):
+        form = yaml.safe_load(path.read_text(encoding="utf-8")) or {}
+        if form.get("mode") == "fields" and form.get("fields") and (form.get("fingerprint") or {}).get("page_contains_all"):
+            out[str(form.get("id", path.stem))] = form
+    return out
+
+
 def merge(curated: dict[str, dict], own: dict[str, dict], hidden: bool = False) -> dict[str, dict]:
     """Curated templates and a site's own; a curated id wins, samples and drafts are left out."""
     both = {**own, **curated}

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from ..functions.text import garbage_ratio, matches_marker
 from ..params import OCR_MAX_BAD_RATIO, OCR_MIN_CHARS, OCR_MIN_WORDS
 from ..schema import WORDS
-from ..vocab import DEFAULTS
 
 
 def read_with(files: DataFrame, reader: Callable[[bytes], pd.DataFrame]) -> DataFrame:
@@ -48,7 +47,7 @@ def mean_confidence(words: DataFrame) -> DataFrame:
     return words.groupBy("statement_id", "page").agg(F.bround(F.avg(F.when(F.col("ocr_conf") >= 0, F.col("ocr_conf"))), 1).alias("ocr_conf"))
 
 
-def guarded(words: DataFrame, boxes: DataFrame | None = None, markers: Sequence[str] = DEFAULTS["redaction_markers"], token: str = "[REDACTED]") -> DataFrame:
+def guarded(words: DataFrame, boxes: DataFrame | None = None, markers: Sequence[str] | None = None, token: str = "[REDACTED]") -> DataFrame:
     """Words under a drawn box, or that are a marker or block glyphs, become the token; their text is not kept."""
     hidden = matches_marker(F.col("text"), markers) | F.coalesce(F.col("redacted"), F.lit(False))
     rows = words

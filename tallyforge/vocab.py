@@ -1,8 +1,18 @@
-"""Vocabularies: built-in defaults, merged with a site's own lists."""
+"""Vocabularies: built-in defaults, merged with a site's own lists.
+
+Operators compile their expressions from the vocabulary in effect: the built-in one, or within `using` a site's own. An
+explicit argument of an operator goes before both.
+"""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from pathlib import Path
+
+import yaml
 
 # The built-in vocabularies.
 DEFAULTS: dict[str, object] = {
@@ -50,6 +60,8 @@ DEFAULTS: dict[str, object] = {
         "balance": r"balance|^running$", "description": r"payee|description|details|memo|narrative|narration", "particulars": r"particulars", "code": r"^code$|analysis",
         "reference": r"reference|unique", "other_party": r"other party|counterparty", "type": r"type",
     },
+    # formats that are tried after the built-in ones
+    "date_formats": [],
 }
 
 #: Synonyms of the facts that a statement prints, the kind of value, and where it stands.
@@ -90,6 +102,49 @@ def merged(own: dict | None = None) -> dict:
     return out
 
 
+def merged_labels(own: dict | None = None) -> dict[str, dict]:
+    """The label dictionary under a site's own: its synonyms come after the built-in ones, what else it says goes before them,
+    and labels of its own are added."""
+    out = {k: dict(v) for k, v in LABELS.items()}
+    for name, spec in (own or {}).items():
+        spec = {"any_of": spec} if isinstance(spec, list) else dict(spec or {})
+        base = out.get(name, {"any_of": [], "value": "text"})
+        extra = [str(t).strip() for t in spec.pop("any_of", None) or []]
+        out[name] = {**base, **spec, "any_of": list(dict.fromkeys([*base["any_of"], *(t for t in extra if t)]))}
+    return {k: v for k, v in out.items() if v["any_of"]}
+
+
+_NOW: ContextVar[tuple[dict, dict]] = ContextVar("vocabulary", default=(DEFAULTS, LABELS))
+
+
+def lexicon() -> dict:
+    """The vocabulary in effect."""
+    return _NOW.get()[0]
+
+
+def label_dictionary() -> dict[str, dict]:
+    """The labels in effect."""
+    return _NOW.get()[1]
+
+
+@contextmanager
+def using(own: dict | None = None, own_labels: dict | None = None) -> Iterator[None]:
+    """A site's vocabulary and labels for all expressions that are built inside."""
+    token = _NOW.set((merged(own), merged_labels(own_labels)))
+    try:
+        yield
+    finally:
+        _NOW.reset(token)
+
+
+def load(path: str | None) -> dict:
+    """A site's file of word lists or labels; none is empty. One that is no map of categories is an error."""
+    found = (yaml.safe_load(Path(path).read_text(encoding="utf-8")) or {}) if path else {}
+    if not isinstance(found, dict):
+        raise ValueError(f"{path}: a map of categories is needed")
+    return found
+
+
 def problems(own: dict) -> list[str]:
     """What is wrong with a site's vocabulary."""
     found = []
