@@ -494,3 +494,33 @@ def newest_runs(spark, sf_dir):
     """All rows of the newest run of each content key."""
     r = runs(spark, sf_dir).select(F.col("user_id").cast("string").alias("feed_key"), F.col("ts").alias("converted_ts"), F.col("status").alias("run_id"))
     return feed.newest_run(r).groupBy("feed_key", F.col("run_id").alias("status")).agg(F.count("*").alias("n"))
+
+
+def _event_stream(spark, sf_dir):
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern: a stream takes a file by itself for a folder
+
+
+@query("""WITH e AS (SELECT CAST(user_id AS VARCHAR) AS file, ['inbox', 'processing', 'processed', 'failed'][event_id % 4 + 1] AS state, event_id % 4 AS k, ts FROM events), m AS (SELECT max(epoch_us(ts) // 1000) - 600000 AS mark FROM e),
+l AS (SELECT file, max_by(state, (epoch_us(ts) // 1000, k)) AS state, max(epoch_us(ts) // 1000) AS since FROM e GROUP BY 1)
+SELECT file, CASE WHEN state IN ('inbox', 'processing') AND since + 1800000 < mark THEN 'stuck' ELSE state END AS state, since + CASE WHEN state IN ('inbox', 'processing') AND since + 1800000 < mark THEN 1800000 ELSE 0 END AS at_ms FROM l, m""")
+def intake_states(spark, sf_dir):
+    """A stream of file events, run until it is drained: the last state of every file, stuck ones by their timers."""
+    e = _event_stream(spark, sf_dir)
+    k = (F.col("event_id") % 4).cast("int")
+    state = F.element_at(F.array(*map(F.lit, intake.STATES)), k + 1)
+    rows = intake.drained(intake.file_states(e.select(F.col("user_id").cast("string").alias("file"), state.alias("state"), F.col("ts").cast("timestamp").alias("at"))), "states")
+    last = rows.groupBy("file").agg(F.max_by("state", F.struct("at", (F.col("state") == "stuck").cast("int"))).alias("state"), F.max("at").alias("at"))
+    return last.select("file", "state", F.unix_millis("at").alias("at_ms"))
+
+
+@query("""WITH r AS (SELECT event_id AS k, ts, user_id FROM events), f AS (SELECT event_id AS k, ts + to_minutes(CAST((event_id % 9 - 1) * 10 AS INTEGER)) AS said, event_type AS verdict FROM events WHERE event_id % 3 = 0)
+SELECT CAST(r.k AS VARCHAR) AS run_id, r.user_id, verdict, date_diff('minute', r.ts, said) AS minutes FROM r JOIN f ON r.k = f.k AND said BETWEEN r.ts AND r.ts + INTERVAL 1 HOUR""")
+def runs_answered(spark, sf_dir):
+    """Two streams, runs and feedback, joined within an hour of the run."""
+    k = F.col("event_id")
+    left = _event_stream(spark, sf_dir).select(k.cast("string").alias("run_id"), "user_id", F.col("ts").cast("timestamp").alias("at"))
+    said = F.timestamp_add("MINUTE", ((k % 9 - 1) * 10).cast("int"), F.col("ts").cast("timestamp"))
+    right = _event_stream(spark, sf_dir).where(k % 3 == 0).select(k.cast("string").alias("run_id"), said.alias("said_at"), F.col("event_type").alias("verdict"))
+    rows = intake.drained(intake.answered(left, right), "answered")
+    return rows.select("run_id", "user_id", "verdict", F.timestamp_diff("MINUTE", F.col("at"), F.col("said_at")).alias("minutes"))
