@@ -9,6 +9,8 @@ from .. import vocab
 from ..functions.text import text_after, trim_ws
 from ..vocab import DEFAULTS  # noqa: F401
 
+#: A date of digits and dots has the shape of an amount and is none.
+DOTTED_DATE = r"(?<![0-9.,])[0-9]{1,2}\.[0-9]{1,2}\.(?:[0-9]{4}|[0-9]{2})(?![0-9]|[.,][0-9])"
 FIRST_PAGE = r"(?i)\bpage\s+1\b(\s+of\s+\d+)?"
 
 
@@ -17,6 +19,7 @@ def value_in(line: Column, kind: str, lexicon: dict | None = None) -> Column:
     lexicon = lexicon or vocab.lexicon()
     none = lambda c: F.nullif(c, F.lit(""))
     if kind == "money":
+        line = F.regexp_replace(line, DOTTED_DATE, " ")
         return none(F.try_element_at(F.regexp_extract_all(line, F.lit(lexicon["money_regex"]), F.lit(0)), F.lit(-1)))
     dates = F.regexp_extract_all(line, F.lit(lexicon["date_regex"]), F.lit(0))
     if kind == "date":

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import facts
+from ..operators import facts, labels
 from ..sources import delimited
 from .registry import query
 from .tables import WORDS, table, words
@@ -169,3 +169,13 @@ def values_located(spark, sf_dir):
     ))
     values = r.select("statement_id", F.explode(wanted).alias("v")).select("statement_id", "v.field", "v.value")
     return facts.located(w, values).drop("page")
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 3 THEN NULL ELSE CASE WHEN o_orderkey % 2 = 0 THEN '-' ELSE '' END || format('{:,.2f}', round(o_totalprice, 2)) END AS money FROM orders""")
+def dotted_dates(spark, sf_dir):
+    """Amounts beside dates of digits and dots, in two and four figures of the year, before and after the amount; a date alone is no amount."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    amount = F.concat(F.when(k % 2 == 0, "-").otherwise(""), F.format_number(F.round("o_totalprice", 2), 2))
+    long, short = F.date_format("o_orderdate", "dd.MM.yyyy"), F.date_format("o_orderdate", "d.M.yy")
+    line = F.when(k % 4 == 0, F.concat(F.lit("Opening balance "), amount, F.lit(" as at "), long)).when(k % 4 == 1, F.concat(F.lit("Balance on "), short, F.lit(": "), amount)).when(k % 4 == 2, F.concat(short, F.lit(" "), amount, F.lit(" ("), long, F.lit(")"))).otherwise(F.concat(F.lit("Balance as at "), long))
+    return o.select("o_orderkey", labels.value_in(line, "money").alias("money"))
