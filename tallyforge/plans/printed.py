@@ -148,7 +148,7 @@ def bundle_transactions(spark, sf_dir):
     return rows.select("statement_id", "row_id", "statement_index", "date", "amount", alone.alias("alone"), F.when(known, F.col("trust_level")).alias("trust_level"))
 
 
-PLACED = f"""WITH {WORDS}, v AS (SELECT statement_id, left(text, 2) AS t, x, y, width, height, row_number() OVER (PARTITION BY statement_id ORDER BY round(y / 3), x, word_idx) AS n FROM words),
+PLACED = f"""WITH {WORDS}, v AS (SELECT statement_id, left(text, 2) AS t, x, y, width, height, row_number() OVER (PARTITION BY statement_id ORDER BY round(y / 3), x, word_idx, y, x + width, y + height, text) AS n FROM words),
 r AS (SELECT a.*, b.t AS t2, b.x AS x2, b.y AS y2, b.width AS w2, b.height AS h2 FROM v a LEFT JOIN v b ON a.statement_id = b.statement_id AND b.n = a.n + 1),
 q AS (SELECT statement_id, 'pair' AS field, t || '  ' || lower(t2) AS value, t AS a, t2 AS b FROM r WHERE n = 2 AND t2 IS NOT NULL UNION ALL SELECT statement_id, 'single', left(t, 1), left(t, 1), NULL FROM r WHERE n = 1 UNION ALL SELECT statement_id, 'nowhere', 'NO such words', 'zz', 'zz' FROM r WHERE n = 1),
 h AS (SELECT q.statement_id, q.field, q.value, r.n, least(r.x, CASE WHEN q.b IS NULL THEN r.x ELSE r.x2 END) AS x0, least(r.y, CASE WHEN q.b IS NULL THEN r.y ELSE r.y2 END) AS y0,
@@ -161,7 +161,7 @@ SELECT q.statement_id, q.field, q.value, count(h.n) > 0 AS found, min_by(x0, h.n
 def values_located(spark, sf_dir):
     """Where values of two words, of one (within a longer word, at several places) and of none stand on their pages."""
     w = words(spark, sf_dir).withColumn("text", F.substring("text", 1, 2))
-    order = Window.partitionBy("statement_id").orderBy(F.round(F.col("y") / 3), "x", "word_idx")
+    order = Window.partitionBy("statement_id").orderBy(F.round(F.col("y") / 3), "x", "word_idx", "y", F.col("x") + F.col("width"), F.col("y") + F.col("height"), "text")
     r = w.withColumns({"n": F.row_number().over(order), "next": F.lead("text").over(order)})
     wanted = F.array_compact(F.array(
         F.when((F.col("n") == 2) & F.col("next").isNotNull(), F.struct(F.lit("pair").alias("field"), F.concat("text", F.lit("  "), F.lower("next")).alias("value"))),
