@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import FEED_CONTEXT, FEED_CORE
+from .commits import KeyedTable, Snapshot
 
 
 def feed_key(sha: Column) -> Column:
@@ -71,74 +72,56 @@ def upserted(old: DataFrame, new: DataFrame, key: str = "feed_key") -> DataFrame
 SIDES = ("transactions", "review")
 
 
-def _folder(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+def store(spark: SparkSession, folder: str) -> KeyedTable:
+    """The stored feed: both sides are one table, so that one snapshot shows both."""
+    return KeyedTable(spark, folder, "feed_key")
 
 
-def read(spark: SparkSession, folder: str, name: str) -> DataFrame | None:
-    """A side of the feed; None before its first row."""
-    files, path = _folder(spark, f"{folder.rstrip('/')}/{name}")
-    if not files.exists(path) or not files.globStatus(_folder(spark, f"{folder.rstrip('/')}/{name}/part=*")[1]):
-        return None
-    return spark.read.parquet(f"{folder.rstrip('/')}/{name}").drop("part")
+def side(rows: DataFrame, name: str) -> DataFrame:
+    """The accepted rows of a feed, or all others."""
+    accepted = F.coalesce(F.col("gate_result") == "accepted", F.lit(False))
+    return rows.where(accepted if name == SIDES[0] else ~accepted)
 
 
-def _of_keys(spark: SparkSession, folder: str, name: str, keys: list[str]) -> DataFrame | None:
-    """The rows of some keys: only their folders are read."""
-    side = f"{folder.rstrip('/')}/{name}"
-    paths = [p for p in (f"{side}/part=k{key}" for key in keys) if _folder(spark, p)[0].exists(_folder(spark, p)[1])]
-    return spark.read.parquet(*paths) if paths else None
+def read(spark: SparkSession, folder: str, name: str, version: int | None = None) -> DataFrame | None:
+    """A side of the feed, at its newest version or an earlier one; None before its first row."""
+    rows = store(spark, folder).snapshot(version).rows()
+    return None if rows is None else side(rows, name)
 
 
-def publish(spark: SparkSession, rows: DataFrame, folder: str) -> None:
-    """Upsert a batch of rows (with feed_key and gate_result): accepted ones to `transactions`, others to `review`.
+def publish(spark: SparkSession, rows: DataFrame, folder: str) -> int:
+    """Upsert a batch of rows (with feed_key and gate_result) in one commit: the version that shows it.
 
-    A content key is a folder of its own, as a file per key is in a folder of files: a batch rewrites the keys that it
-    brings and touches no other. A key that changes sides, or loses its rows on one, leaves the other side; keys are few
-    beside rows, and only theirs are listed. Publishing the same batch again gives the same feed.
+    A batch replaces the keys that it brings on both sides and touches no other; readers see it whole or not at all.
+    Publishing the same batch again, as after a crash, gives the same feed.
     """
-    rows = rows.persist()
-    try:
-        verdict = F.when(F.col("gate_result") == "accepted", SIDES[0]).otherwise(SIDES[1])
-        here = {(r["feed_key"], r["side"]) for r in rows.select("feed_key", verdict.alias("side")).distinct().toLocalIterator()}
-        for name in SIDES:
-            own = rows.where(verdict == name)
-            if any(side == name for _, side in here):
-                own.withColumn("part", F.concat(F.lit("k"), "feed_key")).repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(f"{folder.rstrip('/')}/{name}")
-        for key in {k for k, _ in here}:
-            for name in SIDES:
-                if (key, name) not in here:
-                    files, path = _folder(spark, f"{folder.rstrip('/')}/{name}/part=k{key}")
-                    files.delete(path, True)
-    finally:
-        rows.unpersist()
+    held = store(spark, folder)
+    held.upsert(rows)
+    return held.compact()
 
 
 def retract_stored(spark: SparkSession, folder: str, run_id: str, reason: str = "user_reported_wrong") -> int:
     """Move a run's accepted rows of the stored feed to review, and prove it: how many rows were moved.
 
-    Only the keys that the run has rows under are rewritten. Raises if the feed still shows an accepted row of the run.
+    The rows are moved in one commit, from a snapshot that no other writer has changed. Raises if the version that was
+    committed still shows an accepted row of the run.
     """
-    accepted = read(spark, folder, SIDES[0])
-    if accepted is None:
-        return 0
-    keys = [r["feed_key"] for r in accepted.where(F.col("run_id") == run_id).select("feed_key").distinct().collect()]
-    if not keys:
-        return 0
-    touched = _of_keys(spark, folder, SIDES[0], keys).persist()
-    n = touched.where(F.col("run_id") == run_id).count()
-    review = _of_keys(spark, folder, SIDES[1], keys)
-    review = touched.limit(0) if review is None else review
-    stay, moved = retract(touched, review, run_id, reason)
-    batch = stay.unionByName(moved, allowMissingColumns=True)
-    publish(spark, batch, folder)
-    touched.unpersist()
-    after = _of_keys(spark, folder, SIDES[0], keys)
-    if after is not None and after.where(F.col("run_id") == run_id).head(1):
+    held, moved = store(spark, folder), 0
+
+    def changed(now: Snapshot) -> tuple[DataFrame, None] | None:
+        nonlocal moved
+        rows = now.rows()
+        mine = None if rows is None else side(rows, SIDES[0]).where(F.col("run_id") == run_id)
+        moved = 0 if mine is None else mine.count()
+        if not moved:
+            return None
+        stay, review = retract(*(side(now.rows(mine), name) for name in SIDES), run_id, reason)
+        return stay.unionByName(review), None
+
+    version = held.rewrite(changed)
+    if moved and side(held.snapshot(version).rows(), SIDES[0]).where(F.col("run_id") == run_id).head(1):
         raise RuntimeError(f"run {run_id} is still in the feed")
-    return n
+    return moved
 
 
 def retract(accepted: DataFrame, review: DataFrame, run_id: str, reason: str = "user_reported_wrong") -> tuple[DataFrame, DataFrame]:
