@@ -11,7 +11,7 @@ from .. import vocab
 from ..functions import money
 from ..functions.text import is_blank
 from ..sources import delimited
-from . import profile
+from . import bands, profile
 
 
 def guess_mapping(headers: list[str]) -> dict[str, str]:
@@ -85,41 +85,13 @@ def draft_delimited(lines: DataFrame, name: str) -> dict:
     return out
 
 
-def suggest_bands(words: DataFrame, page: int = 1, statement_id: str | None = None) -> dict[str, dict]:
-    """Bands of a page: the right edges of amounts, clustered, named by the headings above them; text fills what is left.
-
-    The sample is one page of one statement (the first by id unless named): all of its words come to the driver.
-    """
-    own = words.where(F.col("page") == page)
+def suggest_bands(words: DataFrame, statement_id: str | None = None) -> dict[str, dict]:
+    """Bands of a sample statement (the first by id unless named) as a template holds them; those of every layout of many
+    statements are `bands.suggested`."""
     if statement_id is None:
-        statement_id = own.agg(F.min("statement_id").alias("s")).first()["s"]
-    rows = own.where(F.col("statement_id") == statement_id).select("x", "y", "width", "text").collect()
-    amounts = sorted(r["x"] + r["width"] for r in rows if re.fullmatch(r"[-(]?[$]?[0-9][0-9,]*\.[0-9]{2}\)?-?(?:CR|DR)?", r["text"]))
-    groups: list[list[float]] = []
-    for edge in amounts:
-        if groups and edge - groups[-1][-1] <= 12:
-            groups[-1].append(edge)
-        else:
-            groups.append([edge])
-    groups = [g for g in groups if len(g) >= 2]
-    heads = {r["text"].lower(): r for r in rows if r["text"].lower() in vocab.lexicon()["header_keywords"]}
-    names = {"withdrawal": "debit", "withdrawals": "debit", "debit": "debit", "deposit": "credit", "deposits": "credit", "credit": "credit", "balance": "balance", "amount": "amount"}
-    bands: dict[str, dict] = {}
-    low = None
-    for k, g in enumerate(groups):
-        right, left = max(g) + 2, max(g) - 70
-        left = max(left, low) if low else left
-        near = [names[t] for t, r in heads.items() if t in names and left - 20 <= r["x"] + r["width"] / 2 <= right + 20 and names[t] not in bands]
-        name = near[0] if near else ("balance" if k == len(groups) - 1 and len(groups) > 1 else "amount")
-        if name not in bands:
-            bands[name] = {"x_min": left, "x_max": right}
-        low = right
-    dated = [r for r in rows if re.fullmatch(r"[0-9]{1,2}(?:[/-][0-9]{1,2}(?:[/-][0-9]{2,4})?)?|[A-Z][a-z]{2}", r["text"])]
-    if dated:
-        left = min(r["x"] for r in dated)
-        bands["date"] = {"x_min": left - 2, "x_max": left + 40}
-        bands["description"] = {"x_min": left + 40, "x_max": min((b["x_min"] for n, b in bands.items() if n != "date"), default=400)}
-    return bands
+        statement_id = words.agg(F.min("statement_id").alias("s")).first()["s"]
+    own = words.where(F.col("statement_id") == statement_id).withColumn("layout", F.lit("sample"))
+    return bands.template_columns(bands.suggested(own), "sample")
 
 
 def header_phrases(lines: list[str], n: int = 3) -> list[str]:

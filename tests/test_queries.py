@@ -9,7 +9,7 @@ import os
 import duckdb
 import pytest
 
-from tallyforge.plans import more, printed, registry, scans  # noqa: F401
+from tallyforge.plans import drafts, more, printed, registry, scans  # noqa: F401
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
