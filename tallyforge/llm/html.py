@@ -9,7 +9,8 @@ their tags and names, and the unique runs stay.
 
 A repeat counts by the distinct contents that hold it, so exact copies of a page are no evidence. Three pages are enough
 outside an article. Inside one, articles that quote a passage, a licence or each other are no boilerplate: there half of
-the host's pages must hold the repeat, and an article that repeats cover by half is a near copy and stays whole.
+the host's pages must hold the repeat, and an article whose tokens repeats cover by 0.8 or more is a near copy, by the
+similarity that near-duplicate operators take, and stays whole.
 """
 
 from __future__ import annotations
@@ -228,13 +229,14 @@ def _repeats(found: DataFrame, least_pages: int, share: float, hosts: DataFrame
     return materialise(held.groupBy(*KEY).agg(F.sort_array(F.collect_set("h")).alias("known")), "html-known")[0], hosts
 
 
-def extract(pages: DataFrame, least_pages: int = 3, share: float = 0.5) -> DataFrame:
+def extract(pages: DataFrame, least_pages: int = 3, share: float = 0.5, alike: float = 0.8) -> DataFrame:
     """page_id, url, text (the main text, '' if none) and n_cut (tokens cut as repeats of the host) for every row of `pages`.
 
     Blocks are joined by a line feed; white space inside a block is one space. Null html is empty; pages with a null url
     share one nameless host; a null page_id is carried along; a repeated row has the same content and is no repeat of
     itself; an empty table gives no rows; other columns are ignored. Broken markup is read as far as it goes, and pages
-    of any length are read whole.
+    of any length are read whole. Inside articles a repeat must be on `share` of the host's distinct pages, and an
+    article of which repeats cover `alike` or more is a near copy of others, not boilerplate, and is left whole.
     """
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     rows = rows.withColumns({"k1": F.xxhash64("url", "html"), "k2": F.crc32(F.coalesce("html", F.lit("")).cast("binary"))})
@@ -290,7 +292,7 @@ def extract(pages: DataFrame, least_pages: int = 3, share: float = 0.5) -> DataF
                 if own:
                     tokens, ends = token_hashes(blocks_left)
                     less, n = cut_runs(blocks_left, member(suffix_heads(tokens).view(np.int64), np.array(own, dtype=np.int64)), ends)
-                    if kept[0][0] == ARTICLE and 2 * n >= len(tokens):
+                    if kept[0][0] == ARTICLE and n >= alike * len(tokens):
                         n = 0
                     else:
                         blocks_left = less
