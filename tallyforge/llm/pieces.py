@@ -122,7 +122,7 @@ def build(model: Model) -> Tokenizer:
     out = Tokenizer(core)
     rules: list = [normalizers.Precompiled(model.charsmap)] if model.charsmap else []
     if model.squeeze:
-        rules += [normalizers.Replace(Regex("^ +| +$"), ""), normalizers.Replace(Regex(" {2,}"), " ")]
+        rules += [normalizers.Replace(Regex(r"\A +| +\z"), ""), normalizers.Replace(Regex(" {2,}"), " ")]
     if model.dummy_prefix:
         rules.append(normalizers.Prepend(SPACE))
     out.normalizer = normalizers.Sequence([*rules, normalizers.Replace(" ", SPACE)])
