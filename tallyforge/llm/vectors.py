@@ -183,7 +183,7 @@ def _links_once(reps: DataFrame, least: float, cells: int, cell_rows: int, block
     """
     spark = reps.sparkSession
     sizes = {r["dim"]: r["n"] for r in reps.groupBy("dim").agg(F.count("*").alias("n")).collect()}
-    sample = reps.orderBy(F.xxhash64("rep"), "rep").limit(sample_rows).select("dim", "vector").toArrow()
+    sample = reps.orderBy(F.xxhash64("vector"), "vector").limit(sample_rows).select("dim", "vector").toArrow()
     by_dim = np.array(sample.column("dim").to_pylist())
     lists = sample.column("vector").to_pylist()
     own = {}
@@ -280,7 +280,7 @@ def recall(reps: DataFrame, found: DataFrame, least: float, queries: int = 2048,
     those with links; the lesser of the means over all and over vectors with up to `few` links. None without any link.
     """
     known = reps.join(found, "rep", "left").select("dim", "rep", "vector", F.coalesce("links", F.lit(0)).alias("links"))
-    order = [F.xxhash64("rep", F.lit(9)), "rep"]
+    order = [F.xxhash64("vector", F.lit(9)), "vector"]
     asked = known.orderBy(*order).limit(queries).union(known.where("links > 0").orderBy(*order).limit(queries // 4)).dropDuplicates(["rep"])
     rows = asked.collect()
     sent = reps.sparkSession.sparkContext.broadcast([(r["dim"], r["rep"], r["vector"]) for r in rows])
@@ -317,7 +317,8 @@ def near_duplicates(table: DataFrame, least: float = 0.95, cell_rows: int = 1500
 
     Links join vectors of cosine `least` or more, in double precision. Vectors that are null, empty or zero, or that
     hold null or non-finite components, link with nothing, nor do vectors of different lengths. Equal vectors count as
-    links of each other and are searched for once, whatever their number; a repeated row is another copy. A row with
+    links of each other and are searched for once, whatever their number; a repeated row is another copy. Rows of one
+    vec_id with different vectors are vectors of their own, linked only if they are near. A row with
     null vec_id links with nothing. An empty table gives no rows; other columns are ignored. `sample_rows` bounds the
     vectors that shape the clusters; all vectors are indexed and searched for. audit_recall is null if none of the
     vectors asked has a link. Below 0.99 the search goes wider, at last to all blocks: what is returned then is exact.
@@ -326,7 +327,9 @@ def near_duplicates(table: DataFrame, least: float = 0.95, cell_rows: int = 1500
     rows = table.select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("vector"))
     bad = F.exists("vector", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) | ~F.exists("vector", lambda v: v != 0)
     rows = rows.withColumn("ok", F.coalesce(~bad & F.col("vec_id").isNotNull(), F.lit(False)))
-    reps = rows.where("ok").groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).withColumn("dim", F.size("vector"))
+    reps = rows.where("ok").groupBy("vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")).withColumn("dim", F.size("vector"))
+    # a vec_id may stand for several vectors, so each has a number of its own, fixed by the table that is written
+    reps = reps.sortWithinPartitions("id", "vector").withColumn("rep", F.monotonically_increasing_id())
     reps, _ = materialise(reps, "vec-reps")
     for cells, beam in ((4, 16), (8, 64), (0, 0)):
         parts, _ = materialise(_links_once(reps, least, cells, cell_rows, block_rows, sample_rows, degree, beam, alpha), "vec-links")
@@ -336,7 +339,9 @@ def near_duplicates(table: DataFrame, least: float = 0.95, cell_rows: int = 1500
             break
     components = connected_components(parts.select(F.col("rep").alias("src"), F.col("root").alias("dst"))).withColumnRenamed("node", "rep")
     known = reps.join(links, "rep", "left").join(components, "rep", "left")
-    known = known.select("vector", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
+    known, _ = materialise(known.select("vector", "id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("root")), "vec-known")
+    smallest = known.groupBy("root").agg(F.min("id").alias("component"))
+    known = known.join(smallest, "root").select("vector", "links", "component")
     good = rows.where("ok").join(known, "vector").select("vec_id", F.col("links").cast("long").alias("n_links"), F.col("component").alias("component_id"))
     lone = rows.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     kept = F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))
