@@ -23,6 +23,14 @@ RECTS = "statement_id string, page int, x0 double, y0 double, x1 double, y1 doub
 #: Ink for the skew search: darker than this; with fewer or more dark pixels than these there is nothing to measure.
 INK, LEAST_INK, MOST_INK = 100, 200, 400_000
 
+#: Pages that are handed on at once: each row may be megabytes.
+PAGES = 16
+
+
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """`rows` dealt out by keys to all cores: work on pixels goes by pages, while Spark sizes its tasks by the bytes that they read."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *keys)
 
 def pixels(row) -> np.ndarray:
     """height x width of grey levels; a raster whose bytes don't fit its size is empty."""
@@ -84,8 +92,9 @@ def _each(rasters: DataFrame, one: Callable, kind: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [(r.statement_id, r.page, *x) for r in batch.itertuples(index=False) for x in one(r)]
-            yield pd.DataFrame(found, columns=names)
+            for at in range(0, len(batch), PAGES):
+                found = [(r.statement_id, r.page, *x) for r in batch.iloc[at : at + PAGES].itertuples(index=False) for x in one(r)]
+                yield pd.DataFrame(found, columns=names)
 
     return rasters.select("statement_id", "page", "width", "height", "scale", "grey").mapInPandas(run, kind)
 
