@@ -6,6 +6,7 @@ Rows are statement_id, page, width and height (pixels), scale (points to a pixel
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -106,38 +107,68 @@ def dark_regions(rasters: DataFrame) -> DataFrame:
 
 def shares(grey: np.ndarray, boxes: np.ndarray, level: int = DARK_LEVEL) -> np.ndarray:
     """The dark share of each box (x0, y0, x1, y1 in pixels), by sums over the whole raster; 0 for an empty box."""
-    height, width = grey.shape
+    return dark_shares(grey < level, boxes)
+
+
+def dark_shares(dark: np.ndarray, boxes: np.ndarray) -> np.ndarray:
+    """The same of a mask of dark pixels."""
+    height, width = dark.shape
     sums = np.zeros((height + 1, width + 1), dtype=np.int64)
-    sums[1:, 1:] = (grey < level).cumsum(0).cumsum(1)
+    sums[1:, 1:] = dark.cumsum(0).cumsum(1)
     x0, x1 = np.clip(np.floor(boxes[:, 0]), 0, width).astype(int), np.clip(np.ceil(boxes[:, 2]), 0, width).astype(int)
     y0, y1 = np.clip(np.floor(boxes[:, 1]), 0, height).astype(int), np.clip(np.ceil(boxes[:, 3]), 0, height).astype(int)
     area = (x1 - x0) * (y1 - y0)
     return np.where((x1 > x0) & (y1 > y0), (sums[y1, x1] - sums[y0, x1] - sums[y1, x0] + sums[y0, x0]) / np.maximum(area, 1), 0.0)
 
 
+def masks(rasters: DataFrame, level: int = DARK_LEVEL) -> DataFrame:
+    """statement_id, page, rw, rh, scale and mask: the dark pixels as deflated bits, null where a raster is null or broken.
+
+    A mask is a small part of its raster, so that rasters need not be shuffled to meet their words.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, PAGES):
+                part = whole.slice(at, PAGES)
+                seen = (as_pixels(*r) for r in zip(*(part.column(c).to_pylist() for c in ("grey", "width", "height"))))
+                mask = [zlib.compress(np.packbits(grey < level).tobytes(), 1) if grey.size else None for grey in seen]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("statement_id", "page", "width", "height", "scale")), pa.array(mask, pa.binary())], ["statement_id", "page", "rw", "rh", "scale", "mask"])
+
+    return rasters.select("statement_id", "page", "width", "height", "scale", "grey").mapInArrow(run, "statement_id string, page int, rw int, rh int, scale double, mask binary")
+
+
+def as_mask(data: bytes | None, width: int | None, height: int | None) -> np.ndarray:
+    """height x width of dark pixels from `masks`; empty where there is none."""
+    if data is None:
+        return np.zeros((0, 0), dtype=bool)
+    return np.unpackbits(np.frombuffer(zlib.decompress(data), dtype=np.uint8), count=width * height).reshape(height, width).astype(bool)
+
+
 def occluded(words: DataFrame, rasters: DataFrame, share: float = OCCLUDED_SHARE, least_area: float = 12.0) -> DataFrame:
     """`words` with `redacted` set where most of a word's box is dark on its page's raster; `scanned` says whether there was one.
 
-    Each page's words are one row that meets its raster, so a task holds a batch of pages at a time. Words without a box, or of less than
+    Each page's words are one row that meets its raster's mask, and a task holds a few pages at a time. Words without a box, or of less than
     `least_area` square points, are left as they are. The column `redacted` is added where words have none.
     """
     if "redacted" not in words.columns:
         words = words.withColumn("redacted", F.lit(False))
     keys = ["statement_id", "page"]
     listed = words.groupBy(*keys).agg(F.collect_list(F.struct(*words.columns)).alias("w"))
-    paged = listed.join(rasters.select(*keys, F.col("width").alias("rw"), F.col("height").alias("rh"), "scale", "grey"), keys, "left").select("w", *(_of_words(c) for c in ("x", "y", "width", "height")), "rw", "rh", "scale", "grey")
+    paged = listed.join(masks(rasters), keys, "left").select("w", *(_of_words(c) for c in ("x", "y", "width", "height")), "rw", "rh", "scale", "mask")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen, dark = [], []
-            for x, y, w, h, width, height, scale, grey in zip(*(batch.column(i).to_pylist() for i in range(1, 9))):
-                raster = as_pixels(grey, width, height)
-                seen.append(raster.size > 0)
-                own = np.array([x, y, w, h], dtype=float)
-                known = np.isfinite(own).all(0) & (own[2] * own[3] >= least_area)
-                boxes = np.where(known, [own[0], own[1], own[0] + own[2], own[1] + own[3]], 0.0).T
-                dark.append((known & (shares(raster, boxes / scale) >= share)).tolist() if raster.size else [False] * len(known))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(seen), pa.array(dark, pa.list_(pa.bool_()))], names=["w", "scanned", "dark"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, PAGES):
+                batch, seen, dark = whole.slice(at, PAGES), [], []
+                for x, y, w, h, width, height, scale, mask in zip(*(batch.column(i).to_pylist() for i in range(1, 9))):
+                    found = as_mask(mask, width, height)
+                    seen.append(found.size > 0)
+                    own = np.array([x, y, w, h], dtype=float)
+                    known = np.isfinite(own).all(0) & (own[2] * own[3] >= least_area)
+                    boxes = np.where(known, [own[0], own[1], own[0] + own[2], own[1] + own[3]], 0.0).T
+                    dark.append((known & (dark_shares(found, boxes / scale) >= share)).tolist() if found.size else [False] * len(known))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(seen), pa.array(dark, pa.list_(pa.bool_()))], names=["w", "scanned", "dark"])
 
     kind = dict(listed.dtypes)["w"]
     found = paged.mapInArrow(run, f"w {kind}, scanned boolean, dark array<boolean>").select("scanned", F.explode(F.arrays_zip("w", "dark")).alias("z"))
