@@ -23,7 +23,6 @@ RASTERS = "statement_id string, page int, width int, height int, scale double, g
 RECTS = "statement_id string, page int, x0 double, y0 double, x1 double, y1 double"
 #: Ink for the skew search: darker than this; with fewer or more dark pixels than these there is nothing to measure.
 INK, LEAST_INK, MOST_INK = 100, 200, 400_000
-
 #: Pages that are handed on at once: each row may be megabytes.
 PAGES = 16
 
@@ -33,6 +32,7 @@ def spread(rows: DataFrame, *keys: str) -> DataFrame:
     spark = rows.sparkSession
     return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *keys)
 
+
 def pixels(row) -> np.ndarray:
     """height x width of grey levels; a raster whose bytes don't fit its size is empty."""
     return as_pixels(row.grey, row.width, row.height)
@@ -231,6 +231,20 @@ def skew(rasters: DataFrame) -> DataFrame:
     return _each(rasters, lambda r: [(skew_angle(pixels(r)),)], "statement_id string, page int, angle double")
 
 
+def straightness(rasters: DataFrame, least: float = 0.3) -> DataFrame:
+    """statement_id, page, angle as `skew` has it, and left: what `skew` finds on the raster as `deskewed` leaves it.
+
+    One pass over the pages; neither the straightened rasters nor a join of the two angles is needed.
+    """
+
+    def one(r):
+        grey = pixels(r)
+        angle = skew_angle(grey)
+        return [(angle, skew_angle(straightened(grey, angle)) if abs(angle) > least else angle)]
+
+    return _each(rasters, one, "statement_id string, page int, angle double, left double")
+
+
 def deskewed(rasters: DataFrame, least: float = 0.3) -> DataFrame:
     """`rasters` with every page turned straight whose skew is more than `least` degrees, and that angle."""
 

@@ -73,3 +73,39 @@ def test_odd_rasters(spark):
     assert rasters.deskewed(pages).where("grey is null or length(grey) in (0, 5, 400)").count() == 5
     empty = pages.where("false")
     assert rasters.dark_regions(empty).count() == rasters.skew(empty).count() == rasters.deskewed(empty).count() == 0
+
+
+def test_few_pages_at_once(spark):
+    """A task never holds the pixels of more than a few pages: painted, read or handed on."""
+    import pandas as pd
+
+    from tallyforge.plans import scans
+
+    sheets = pd.DataFrame({"statement_id": [str(k) for k in range(40)], "angle": [0.5] * 40})
+    assert [len(part) for part in scans.tilted([sheets])] == [16, 16, 8]
+    white = bytes([255]) * 400
+    pages = spark.createDataFrame([(str(k), 1, 20, 20, 1.0, bytes(400) if k % 2 else white) for k in range(40)] + [("n", 1, 20, 20, 1.0, None)], rasters.RASTERS).coalesce(1)
+    held = {r["statement_id"]: r["mask"] for r in rasters.masks(pages).collect()}
+    assert held["n"] is None and all(len(m) < 60 for k, m in held.items() if k != "n")
+    assert rasters.as_mask(held["1"], 20, 20).all() and not rasters.as_mask(held["0"], 20, 20).any() and rasters.as_mask(None, 20, 20).size == 0
+
+
+def test_straightness_is_skew_before_and_after(spark):
+    from tallyforge.plans import scans
+
+    angles = [-4.0, -0.3, 0.0, 0.25, 0.35, 3.5]
+    pages = spark.createDataFrame([(str(k), a) for k, a in enumerate(angles)], "statement_id string, angle double").mapInPandas(scans.tilted, rasters.RASTERS)
+    plain = lambda df, c: {r["statement_id"]: r[c] for r in df.collect()}
+    found = rasters.straightness(pages)
+    assert plain(found, "angle") == plain(rasters.skew(pages), "angle")
+    assert plain(found, "left") == plain(rasters.skew(rasters.deskewed(pages)), "angle")
+
+
+def test_skew_angles_joins_nothing(spark, tmp_path):
+    """Two searches joined were sent to all executors, and the wait for that ended the query on larger tables."""
+    from tallyforge.plans import scans
+
+    spark.range(3).selectExpr("id as c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    found = scans.skew_angles(spark, str(tmp_path))
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [("0", -4.0, 0.0), ("1", -3.5, 0.0), ("2", -3.0, 0.0)]
