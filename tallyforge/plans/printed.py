@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import facts, labels
 from ..sources import delimited
+from ..storage import stored
 from .registry import query
 from .tables import WORDS, table, words
 
@@ -44,8 +45,9 @@ def preamble_facts(spark, sf_dir):
     ))
     body = F.array(F.lit("Date,Memo,Amount"), F.lit("1995-01-01,Opening balance,9.99"), F.lit("1995-01-02,Closing balance 01/01/2001 to 02/02/2002,8.88"))
     lines = _lines(c.select(k.cast("string").alias("statement_id"), F.when(k % 4 == 1, body).otherwise(F.concat(above, body)).alias("lines")))
-    own = facts.preamble(lines, delimited.header_line(lines, "^Date,"))
-    found = lines.select("statement_id").distinct().join(facts.printed(own), "statement_id", "left")
+    lines = stored(lines, "lines")  # every label reads these again: written, so that neither work nor plan is repeated
+    own = stored(facts.preamble(lines, delimited.header_line(lines, "^Date,")), "preambles")
+    found = c.select(k.cast("string").alias("statement_id")).distinct().join(facts.printed(own), "statement_id", "left")
     return found.select("statement_id", "account_number", "period_start", "period_end", "opening_balance", "closing_balance", "stated_count")
 
 

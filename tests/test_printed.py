@@ -110,3 +110,13 @@ def test_nothing_to_read(spark, tmp_path):
     (tmp_path / "a.csv").write_text("x,y\n1,2\n")
     found = engine.convert(spark, str(tmp_path), {PAGE["id"]: PAGE})
     assert [r["status"] for r in found.results.collect()] == ["unsupported"] and found.transactions.count() == 0
+
+
+def test_preambles_are_read_once(spark, tmp_path):
+    """Each label read the files anew: a plan of dozens of copies of the source, held by the driver."""
+    from tallyforge.plans import printed
+
+    spark.range(8).selectExpr("id as c_custkey", "cast(id * 100.5 as double) as c_acctbal").write.parquet(f"{tmp_path}/customer.parquet")
+    found = printed.preamble_facts(spark, str(tmp_path))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Example Bank") == 0
+    assert sorted(r["statement_id"] for r in found.where("account_number is null").collect()) == ["1", "5"]
