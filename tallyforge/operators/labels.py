@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions.text import text_after, trim_ws
+from ..storage import stored
 from ..vocab import DEFAULTS  # noqa: F401
 
 #: A date of digits and dots has the shape of an amount and is none.
@@ -36,10 +37,10 @@ def value_in(line: Column, kind: str, lexicon: dict | None = None) -> Column:
 def hits(lines: DataFrame, terms: list[str], kind: str = "text") -> DataFrame:
     """Lines (statement_id, page, line_no, text) that hold a term, with the value beside it and that of the next line.
 
-    Terms are a vocabulary's literals: each line is matched against all of them in one projection.
+    Terms are a vocabulary's literals: each line is matched against all of them in one projection. Lines as `labelled` gives
+    them have their next line already.
     """
-    order = Window.partitionBy("statement_id").orderBy("page", "line_no")
-    rows = lines.withColumn("next_text", F.lead("text").over(order))
+    rows = lines if "next_text" in lines.columns else _with_next(lines)
     found = F.filter(F.array(*map(F.lit, terms)), lambda t: F.position(F.lower(t), F.lower("text")) > 0)
     rows = rows.withColumn("__terms", found).where(F.size("__terms") > 0).select("*", F.posexplode("__terms").alias("term_no", "term")).drop("__terms")
     after = text_after(F.col("text"), F.col("term"), kind == "money")
@@ -47,6 +48,20 @@ def hits(lines: DataFrame, terms: list[str], kind: str = "text") -> DataFrame:
     return rows.withColumns({"value": beside, "next_value": F.lit(None).cast("string") if kind == "text" else value_in(F.col("next_text"), kind)})
 
 
+def _with_next(lines: DataFrame) -> DataFrame:
+    return lines.withColumn("next_text", F.lead("text").over(Window.partitionBy("statement_id").orderBy("page", "line_no")))
+
+
+def labelled(lines: DataFrame, dictionary: dict | None = None) -> DataFrame:
+    """The lines that hold a term of any label, each with the text of the line after it (next_text).
+
+    These few are all that `header_facts` asks of a document; stored, they spare each label a sort of all lines.
+    """
+    terms = list(dict.fromkeys(t for spec in (dictionary or vocab.label_dictionary()).values() for t in spec["any_of"]))
+    held = F.exists(F.array(*map(F.lit, terms)), lambda t: F.position(F.lower(t), F.lower("text")) > 0)
+    return _with_next(lines.select("statement_id", "page", "line_no", "text")).where(held)
+
+
 def match(lines: DataFrame, spec: dict, occurrence: str = "first", scope: str = "any", on_conflict: str = "flag") -> DataFrame:
     """statement_id, value, matched, n, conflict and term for each statement that has the label.
 
@@ -72,9 +87,9 @@ def match(lines: DataFrame, spec: dict, occurrence: str = "first", scope: str =
 
 def header_facts(lines: DataFrame, dictionary: dict | None = None) -> DataFrame:
     """The facts that statements print, one column per label of the dictionary."""
-    out = lines.select("statement_id").distinct()
+    out, own = lines.select("statement_id").distinct(), stored(labelled(lines, dictionary), "labelled")
     for name, spec in (dictionary or vocab.label_dictionary()).items():
-        out = out.join(match(lines, spec).select("statement_id", F.col("value").alias(name)), "statement_id", "left")
+        out = out.join(match(own, spec).select("statement_id", F.col("value").alias(name)), "statement_id", "left")
     return out
 
 

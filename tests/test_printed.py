@@ -120,3 +120,14 @@ def test_preambles_are_read_once(spark, tmp_path):
     found = printed.preamble_facts(spark, str(tmp_path))
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Example Bank") == 0
     assert sorted(r["statement_id"] for r in found.where("account_number is null").collect()) == ["1", "5"]
+
+
+def test_header_facts_sort_the_lines_once(spark):
+    """Each label sorted all lines of all documents to find the next line."""
+    from tallyforge.operators import labels
+
+    lines = spark.createDataFrame([("a", 1, 1, "Opening balance"), ("a", 1, 2, "12.50"), ("a", 1, 3, "plain"), ("b", 1, 1, "Closing balance 7.00"), ("c", 1, 1, "none")], "statement_id string, page int, line_no int, text string")
+    found = labels.header_facts(lines)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "lead(" not in plan
+    assert {r["statement_id"]: (r["opening_balance"], r["closing_balance"]) for r in found.collect()} == {"a": ("12.50", None), "b": (None, "7.00"), "c": (None, None)}
