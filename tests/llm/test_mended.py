@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import random
 import struct
 
-from tallyforge.llm import html, pieces, vectors
+from tallyforge.llm import html, pieces, suffixes, vectors
+from tallyforge.llm.common import TIDY, shared_dir
 
 
 def test_one_vec_id_with_several_vectors(spark):
@@ -43,3 +45,13 @@ def test_boilerplate_may_be_most_of_an_article_but_near_copies_stay(spark):
     got = {p["page_id"]: p for p in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[i]["n_cut"] == 60 and shared not in got[i]["text"] and len(got[i]["text"].split()) == 40 for i in range(40))
     assert all(got[100 + i]["n_cut"] == 0 and len(got[100 + i]["text"].split()) == 200 for i in range(20))
+
+
+def test_tables_of_the_suffixes_go_once_they_are_used(spark):
+    path = shared_dir(spark).removeprefix("file:")
+    before, setting = set(os.listdir(path)), spark.conf.get(TIDY)
+    passage = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, f"{i} {passage} tail {i}") for i in range(9)] + [(9, "short")], "doc_id long, text string")
+    found = suffixes.without_repeats(docs, span=60)
+    assert [x.split("-")[1:3] for x in set(os.listdir(path)) - before] == [["suffix", "spans"]] and spark.conf.get(TIDY) == setting
+    assert sorted((r["doc_id"], len(r["spans"])) for r in found.collect()) == [*((i, 1) for i in range(9)), (9, 0)]
