@@ -1,18 +1,22 @@
 """Page rasters: solid dark regions, words under them, and skew. A raster is one row with its grey bytes.
 
 Rows are statement_id, page, width and height (pixels), scale (points to a pixel) and grey (width x height bytes, row by row,
-0 black). Whatever renders or decodes pages gives these; the work on pixels is NumPy within tasks, a page at a time.
+0 black). Whatever renders or decodes pages gives these; the work on pixels is NumPy within tasks, a page at a time. Where
+pages can be rendered in the task that reads them, a `Render` goes with rows of statement_id, page, scale and what it needs, and
+no pixels pass between tasks or through Arrow.
 """
 
 from __future__ import annotations
 
+import functools
+import math
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import has_redaction_evidence
@@ -25,6 +29,9 @@ RECTS = "statement_id string, page int, x0 double, y0 double, x1 double, y1 doub
 INK, LEAST_INK, MOST_INK = 100, 200, 400_000
 #: Pages that are handed on at once: each row may be megabytes.
 PAGES = 16
+#: Turns a few rows into the grey pixels (height x width) of each, in order. A page is done with before the next one is asked
+#: for, so all may be painted on one array; a page without pixels is an empty array.
+Render = Callable[[pa.RecordBatch], Iterator[np.ndarray]]
 
 
 def spread(rows: DataFrame, *keys: str) -> DataFrame:
@@ -43,18 +50,40 @@ def as_pixels(data: bytes | None, width: int | None, height: int | None) -> np.n
     return grey.reshape(height, width) if height and width and len(grey) == height * width else np.zeros((0, 0), dtype=np.uint8)
 
 
-def runs(dark: np.ndarray, least: int) -> np.ndarray:
+def as_given(part: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """The `Render` of rows that have their pixels with them."""
+    for row in zip(*(part.column(c).to_pylist() for c in ("grey", "width", "height"))):
+        yield as_pixels(*row)
+
+
+def runs(dark: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Runs of dark pixels of at least `least`: row, start and end (exclusive), row by row."""
-    padded = np.zeros((dark.shape[0], dark.shape[1] + 2), dtype=np.int8)
-    padded[:, 1:-1] = dark
-    step = np.diff(padded, axis=1)
-    (rows, starts), (_, ends) = np.nonzero(step == 1), np.nonzero(step == -1)
-    long = ends - starts >= least
-    return np.stack([rows[long], starts[long], ends[long]], axis=1)
+    height, width = dark.shape
+    flat = np.zeros(height * (width + 1) + 1, dtype=bool)  # a pixel of paper before each row and after the last
+    flat[:-1].reshape(height, width + 1)[:, 1:] = dark
+    edges = (flat[1:] != flat[:-1]).nonzero()[0]
+    long = edges[1::2] - edges[::2] >= least
+    return [(a // (width + 1), a % (width + 1), a % (width + 1) + n) for a, n in zip(edges[::2][long].tolist(), (edges[1::2] - edges[::2])[long].tolist())]
+
+
+def tops(grey: np.ndarray) -> list[int]:
+    """The rows that differ from the row above, and the first."""
+    width = grey.shape[1]
+    flat = np.ascontiguousarray(grey).ravel()
+    if width % 8 == 0:
+        width, flat = width // 8, flat.view(np.uint64)
+    return sorted({0, *((flat[width:] != flat[:-width]).nonzero()[0] // width + 1).tolist()})
 
 
-def components(found: np.ndarray, gap: int) -> list[np.ndarray]:
-    """Runs in groups: two belong together if they share a column and at most `gap` rows lie between them."""
+def stretches(grey: np.ndarray, least: int, level: int) -> list[tuple[int, int, int, int]]:
+    """Dark runs as top, bottom (exclusive), start and end: rows that are all alike have the same runs and are looked at once."""
+    top = tops(grey)
+    bottom = [*top[1:], len(grey)]
+    return [(top[i], bottom[i], a, b) for i, a, b in runs(grey[top] < level, least)]
+
+
+def components(found: list[tuple[int, int, int, int]], gap: int) -> list[list[tuple[int, int, int, int]]]:
+    """Stretches of runs in groups: two belong together if they share a column and at most `gap` rows lie between them."""
     parent = list(range(len(found)))
 
     def root(i: int) -> int:
@@ -63,46 +92,55 @@ def components(found: np.ndarray, gap: int) -> list[np.ndarray]:
             i = parent[i]
         return i
 
+    if len(found) < 2:
+        return [found] if found else []
     first = 0
-    for i, (y, a, b) in enumerate(found):
-        while found[first][0] < y - gap - 1:
+    for i, (top, _, a, b) in enumerate(found):
+        while found[first][1] < top - gap:
             first += 1
         for j in range(first, i):
-            if found[j][0] < y and found[j][1] < b and a < found[j][2]:
+            if found[j][0] < top and found[j][2] < b and a < found[j][3]:
                 parent[root(i)] = root(j)
-    groups: dict[int, list[int]] = {}
-    for i in range(len(found)):
-        groups.setdefault(root(i), []).append(i)
-    return [found[g] for g in groups.values()]
+    groups: dict[int, list[tuple[int, int, int, int]]] = {}
+    for i, own in enumerate(found):
+        groups.setdefault(root(i), []).append(own)
+    return list(groups.values())
 
 
 def dark_boxes(grey: np.ndarray, scale: float, least_share: float = 0.10, least_height: float = 10.0, level: int = DARK_LEVEL, fill: float = 0.55, gap: int = 2) -> list[tuple[float, float, float, float]]:
     """Boxes (in points) of solid dark regions: runs of a tenth of the width, in bands high enough and mostly dark."""
     if not grey.size:
         return []
-    dark, out = grey < level, []
-    for own in components(runs(dark, max(1, int(np.ceil(least_share * grey.shape[1])))), gap):
-        y0, y1, x0, x1 = own[:, 0].min(), own[:, 0].max() + 1, own[:, 1].min(), own[:, 2].max()
-        if (y1 - y0) * scale >= least_height and dark[y0:y1, x0:x1].mean() >= fill:
+    out = []
+    for own in components(stretches(grey, max(1, int(np.ceil(least_share * grey.shape[1]))), level), gap):
+        tops, bottoms, starts, ends = zip(*own)
+        y0, y1, x0, x1 = min(tops), max(bottoms), min(starts), max(ends)
+        if (y1 - y0) * scale >= least_height and np.count_nonzero(grey[y0:y1, x0:x1] < level) / ((y1 - y0) * (x1 - x0)) >= fill:
             out.append((x0 * scale, y0 * scale, x1 * scale, y1 * scale))
     return sorted(out)
 
 
-def _each(rasters: DataFrame, one: Callable, kind: str) -> DataFrame:
-    names = [c.split()[0] for c in kind.split(", ")]
+def _each(sheets: DataFrame, one: Callable, kind: str, render: Render | None = None) -> DataFrame:
+    """Rows of `kind`: statement_id, page and what `one` gives for a page's pixels and scale."""
+    names, kinds = zip(*(c.split() for c in kind.split(", ")))
+    types = [{"string": pa.string(), "int": pa.int32(), "double": pa.float64()}[k] for k in kinds]
+    draw = render or as_given
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), PAGES):
-                found = [(r.statement_id, r.page, *x) for r in batch.iloc[at : at + PAGES].itertuples(index=False) for x in one(r)]
-                yield pd.DataFrame(found, columns=names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            found: list[tuple] = []
+            keys = list(zip(*(whole.column(c).to_pylist() for c in ("statement_id", "page", "scale"))))
+            for at in range(0, whole.num_rows, PAGES):
+                for (key, page, scale), grey in zip(keys[at : at + PAGES], draw(whole.slice(at, PAGES)), strict=True):
+                    found += [(key, page, *x) for x in one(grey, scale)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found) if found else [[]] * len(types), types)], names)
 
-    return rasters.select("statement_id", "page", "width", "height", "scale", "grey").mapInPandas(run, kind)
+    return (sheets if render else sheets.select("statement_id", "page", "width", "height", "scale", "grey")).mapInArrow(run, kind)
 
 
-def dark_regions(rasters: DataFrame) -> DataFrame:
+def dark_regions(rasters: DataFrame, render: Render | None = None) -> DataFrame:
     """statement_id, page, x0, y0, x1, y1 (points) of every solid dark region. Rasters that are null or broken have none."""
-    return _each(rasters, lambda r: dark_boxes(pixels(r), r.scale), RECTS)
+    return _each(rasters, dark_boxes, RECTS, render)
 
 
 def shares(grey: np.ndarray, boxes: np.ndarray, level: int = DARK_LEVEL) -> np.ndarray:
@@ -112,13 +150,23 @@ def shares(grey: np.ndarray, boxes: np.ndarray, level: int = DARK_LEVEL) -> np.n
 
 def dark_shares(dark: np.ndarray, boxes: np.ndarray) -> np.ndarray:
     """The same of a mask of dark pixels."""
-    height, width = dark.shape
-    sums = np.zeros((height + 1, width + 1), dtype=np.int64)
-    sums[1:, 1:] = dark.cumsum(0).cumsum(1)
-    x0, x1 = np.clip(np.floor(boxes[:, 0]), 0, width).astype(int), np.clip(np.ceil(boxes[:, 2]), 0, width).astype(int)
-    y0, y1 = np.clip(np.floor(boxes[:, 1]), 0, height).astype(int), np.clip(np.ceil(boxes[:, 3]), 0, height).astype(int)
-    area = (x1 - x0) * (y1 - y0)
-    return np.where((x1 > x0) & (y1 > y0), (sums[y1, x1] - sums[y0, x1] - sums[y1, x0] + sums[y0, x0]) / np.maximum(area, 1), 0.0)
+    low, high = np.floor(boxes[:, :2]).astype(int), np.ceil(boxes[:, 2:]).astype(int)
+    return np.array(dark_parts(dark, zip(*low.T.tolist(), *high.T.tolist())), dtype=float)
+
+
+def dark_parts(seen: np.ndarray, boxes: Iterable[tuple[int, int, int, int]], level: int = 0) -> list[float]:
+    """The same of boxes in whole pixels, of a mask, or with `level` of grey. Boxes that are small beside the raster are counted
+    one by one, not by sums over all of it."""
+    height, width = seen.shape
+    own = [(min(max(x0, 0), width), min(max(y0, 0), height), min(max(x1, 0), width), min(max(y1, 0), height)) for x0, y0, x1, y1 in boxes]
+    area = [max(x1 - x0, 0) * max(y1 - y0, 0) for x0, y0, x1, y1 in own]
+    if sum(area) > 4 * seen.size:
+        sums = np.zeros((height + 1, width + 1), dtype=np.int64)
+        sums[1:, 1:] = (seen < level if level else seen).cumsum(0).cumsum(1)
+        held = [int(sums[y1, x1] - sums[y0, x1] - sums[y1, x0] + sums[y0, x0]) if n else 0 for (x0, y0, x1, y1), n in zip(own, area)]
+    else:
+        held = [int(np.count_nonzero(seen[y0:y1, x0:x1] < level if level else seen[y0:y1, x0:x1])) if n else 0 for (x0, y0, x1, y1), n in zip(own, area)]
+    return [k / n if n else 0.0 for k, n in zip(held, area)]
 
 
 def masks(rasters: DataFrame, level: int = DARK_LEVEL) -> DataFrame:
@@ -145,40 +193,52 @@ def as_mask(data: bytes | None, width: int | None, height: int | None) -> np.nda
     return np.unpackbits(np.frombuffer(zlib.decompress(data), dtype=np.uint8), count=width * height).reshape(height, width).astype(bool)
 
 
-def occluded(words: DataFrame, rasters: DataFrame, share: float = OCCLUDED_SHARE, least_area: float = 12.0) -> DataFrame:
+def occluded(words: DataFrame, rasters: DataFrame, share: float = OCCLUDED_SHARE, least_area: float = 12.0, render: Render | None = None) -> DataFrame:
     """`words` with `redacted` set where most of a word's box is dark on its page's raster; `scanned` says whether there was one.
 
-    Each page's words are one row that meets its raster's mask, and a task holds a few pages at a time. Words without a box, or of less than
-    `least_area` square points, are left as they are. The column `redacted` is added where words have none.
+    Each page's words are one row that meets its raster's mask, or with `render` the row that it is drawn from, and a task holds a
+    few pages at a time. Words without a box, or of less than `least_area` square points, are left as they are. The column
+    `redacted` is added where words have none.
     """
     if "redacted" not in words.columns:
         words = words.withColumn("redacted", F.lit(False))
     keys = ["statement_id", "page"]
-    listed = words.groupBy(*keys).agg(F.collect_list(F.struct(*words.columns)).alias("w"))
-    paged = listed.join(masks(rasters), keys, "left").select("w", *(_of_words(c) for c in ("x", "y", "width", "height")), "rw", "rh", "scale", "mask")
+    listed = spread(words, *keys).groupBy(*keys).agg(F.collect_list(F.struct(*words.columns)).alias("w"))
+    sheets = spread(rasters, *keys).withColumn("here", F.lit(True)) if render else masks(rasters)
+    paged = listed.join(sheets, keys, "left")
+
+    def looked(part: pa.RecordBatch) -> Iterator[np.ndarray]:
+        """The mask of each row, or with `render` its grey pixels; empty where it has none."""
+        if render is None:
+            yield from (as_mask(*r) for r in zip(*(part.column(c).to_pylist() for c in ("mask", "rw", "rh"))))
+            return
+        here = part.column("here").is_valid()
+        drawn = render(part.filter(here))
+        for there in here.to_pylist():
+            yield next(drawn) if there else np.zeros((0, 0), dtype=np.uint8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
+            listed, seen, under = whole.column("w"), [], []
+            ends = (listed.offsets.to_numpy() - listed.offsets[0].as_py()).tolist()
+            scale = np.repeat(whole.column("scale").to_numpy(zero_copy_only=False).astype(float), np.diff(ends))
+            x, y, w, h = (listed.flatten().field(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in ("x", "y", "width", "height"))
+            known = np.isfinite(x) & np.isfinite(y) & np.isfinite(w) & np.isfinite(h) & np.isfinite(scale)
+            known &= np.where(known, w * h, 0.0) >= least_area
+            cut = lambda how, c: how(np.where(known, c / scale, 0.0)).astype(int).tolist()
+            boxes, known = list(zip(cut(np.floor, x), cut(np.floor, y), cut(np.ceil, x + w), cut(np.ceil, y + h))), known.tolist()
             for at in range(0, whole.num_rows, PAGES):
-                batch, seen, dark = whole.slice(at, PAGES), [], []
-                for x, y, w, h, width, height, scale, mask in zip(*(batch.column(i).to_pylist() for i in range(1, 9))):
-                    found = as_mask(mask, width, height)
+                for i, found in enumerate(looked(whole.slice(at, PAGES)), at):
+                    a, b = ends[i], ends[i + 1]
                     seen.append(found.size > 0)
-                    own = np.array([x, y, w, h], dtype=float)
-                    known = np.isfinite(own).all(0) & (own[2] * own[3] >= least_area)
-                    boxes = np.where(known, [own[0], own[1], own[0] + own[2], own[1] + own[3]], 0.0).T
-                    dark.append((known & (dark_shares(found, boxes / scale) >= share)).tolist() if found.size else [False] * len(known))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(seen), pa.array(dark, pa.list_(pa.bool_()))], names=["w", "scanned", "dark"])
+                    under.append([k and s >= share for k, s in zip(known[a:b], dark_parts(found, boxes[a:b], DARK_LEVEL if render else 0))] if found.size else [False] * (b - a))
+            yield pa.RecordBatch.from_arrays([listed, pa.array(seen, pa.bool_()), pa.array(under, pa.list_(pa.bool_()))], names=["w", "scanned", "dark"])
 
     kind = dict(listed.dtypes)["w"]
     found = paged.mapInArrow(run, f"w {kind}, scanned boolean, dark array<boolean>").select("scanned", F.explode(F.arrays_zip("w", "dark")).alias("z"))
     return found.select("z.w.*", "scanned", "z.dark").withColumn("redacted", F.coalesce("redacted", F.lit(False)) | F.col("dark")).select(*words.columns, "scanned")
 
 
-def _of_words(name: str) -> Column:
-    return F.transform("w", lambda w: w[name].cast("double")).alias(name)
-
-
 def injected(words: DataFrame, rects: DataFrame, token: str = "[REDACTED]", most: float = 34.0) -> DataFrame:
     """`words` and, for every visual row that still shows a date or an amount, tokens across the dark boxes that cross the row.
 
@@ -199,59 +259,108 @@ def injected(words: DataFrame, rects: DataFrame, token: str = "[REDACTED]", most
 
 def skew_angle(grey: np.ndarray, most: float = 5.0, step: float = 0.05) -> float:
     """The angle in degrees at which rows of ink are sharpest: the greatest sum of squared row counts, of equals the least angle."""
-    y, x = np.nonzero(grey < INK) if grey.size else (np.zeros(0), np.zeros(0))
-    if not LEAST_INK <= len(y) <= MOST_INK:
+    return ink_angle(grey < INK, most, step)
+
+
+def ink_angle(ink: np.ndarray, most: float = 5.0, step: float = 0.05) -> float:
+    """The same of a mask of ink.
+
+    At each angle, columns that sink by the same whole number of rows are taken together: their ink is a difference of counts
+    from the left, and only these few differences are shifted and added.
+    """
+    if not LEAST_INK <= np.count_nonzero(ink) <= MOST_INK:
         return 0.0
-    steps = int(round(most / step))
-    angles = sorted((k * step for k in range(-steps, steps + 1)), key=lambda a: (abs(a), a))
-    best, score = 0.0, -1.0
-    for a in angles:
-        level = np.floor(y - x * np.tan(np.radians(a))).astype(np.int64)
-        own = float((np.bincount(level - level.min()).astype(float) ** 2).sum())
-        if own > score:
-            best, score = a, own
+    own = np.flatnonzero(ink.any(1))
+    rows = ink[own[0] : own[-1] + 1]
+    height, width = rows.shape
+    left = np.zeros((width + 1, height), dtype=np.int32)
+    np.cumsum(rows.T, axis=0, out=left[1:])
+    best, score = 0.0, -1
+    for a, cut in sinking(width, most, step):
+        k = len(cut) - 1
+        own = left[cut]
+        part = np.zeros((k, height + k), dtype=np.int32)
+        np.subtract(own[1:], own[:-1], out=part[:: -1 if a > 0 else 1, :height])  # where the slope is positive the later columns rise
+        # read with rows one shorter, each part lies one further down than the one before
+        level = part.ravel()[: k * (height + k - 1)].reshape(k, height + k - 1).sum(0)
+        found = int(np.dot(level, level))
+        if found > score:
+            best, score = a, found
     return round(best, 2)
 
 
+@functools.lru_cache(maxsize=4)
+def sinking(width: int, most: float, step: float) -> list[tuple[float, np.ndarray]]:
+    """The angles to try, least first, each with the columns at which a line at that angle comes to the next row."""
+    x, steps, out = np.arange(width), int(round(most / step)), []
+    for a in sorted((k * step for k in range(-steps, steps + 1)), key=lambda a: (abs(a), a)):
+        sunk = np.floor(-x * np.tan(np.radians(a)))
+        out.append((a, np.concatenate([[0], np.flatnonzero(np.diff(sunk)) + 1, [width]])))
+    return out
+
+
+def source_of(height: int, width: int, angle: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each pixel of a raster turned back by an angle: whether it has a source, and that one's row and column."""
+    t, cx, cy = np.radians(angle), (width - 1) / 2, (height - 1) / 2
+    x, y = np.arange(width)[None, :] - cx, np.arange(height)[:, None] - cy
+    sx = np.rint(np.cos(t) * x - np.sin(t) * y + cx).astype(np.int32)
+    sy = np.rint(np.sin(t) * x + np.cos(t) * y + cy).astype(np.int32)
+    return (sx >= 0) & (sx < width) & (sy >= 0) & (sy < height), sy, sx
+
+
 def straightened(grey: np.ndarray, angle: float) -> np.ndarray:
     """The raster turned back by an angle, of the same size, white where nothing was."""
-    height, width = grey.shape
-    t, cx, cy = np.radians(angle), (width - 1) / 2, (height - 1) / 2
-    yy, xx = np.mgrid[0:height, 0:width]
-    sx = np.rint(np.cos(t) * (xx - cx) - np.sin(t) * (yy - cy) + cx).astype(int)
-    sy = np.rint(np.sin(t) * (xx - cx) + np.cos(t) * (yy - cy) + cy).astype(int)
-    inside = (sx >= 0) & (sx < width) & (sy >= 0) & (sy < height)
+    inside, sy, sx = source_of(*grey.shape, angle)
     out = np.full_like(grey, 255)
     out[inside] = grey[sy[inside], sx[inside]]
     return out
 
 
-def skew(rasters: DataFrame) -> DataFrame:
+@functools.lru_cache(maxsize=64)
+def _angles(height: int, width: int, bits: bytes, least: float) -> tuple[float, float]:
+    """The angle of a picture of ink, and what is left of it after straightening if it is more than `least` degrees. Some
+    pictures are remembered by all of their bits: blank pages, forms and copies come again and again."""
+    ink = np.unpackbits(np.frombuffer(bits, dtype=np.uint8), count=height * width).reshape(height, width).astype(bool)
+    angle = ink_angle(ink)
+    if abs(angle) <= least:
+        return angle, angle
+    inside, sy, sx = source_of(height, width, angle)
+    turned = np.zeros_like(ink)
+    turned[inside] = ink[sy[inside], sx[inside]]
+    return angle, ink_angle(turned)
+
+
+def angles(grey: np.ndarray, least: float) -> tuple[float, float]:
+    return _angles(*grey.shape, np.packbits(grey < INK).tobytes(), least)
+
+
+def skew(rasters: DataFrame, render: Render | None = None) -> DataFrame:
     """statement_id, page and angle (degrees, positive where rows fall to the right) of every raster; 0 where it can't be told."""
-    return _each(rasters, lambda r: [(skew_angle(pixels(r)),)], "statement_id string, page int, angle double")
+    return _each(rasters, lambda grey, scale: [angles(grey, math.inf)[:1]], "statement_id string, page int, angle double", render)
 
 
-def straightness(rasters: DataFrame, least: float = 0.3) -> DataFrame:
+def straightness(rasters: DataFrame, least: float = 0.3, render: Render | None = None) -> DataFrame:
     """statement_id, page, angle as `skew` has it, and left: what `skew` finds on the raster as `deskewed` leaves it.
 
     One pass over the pages; neither the straightened rasters nor a join of the two angles is needed.
     """
-
-    def one(r):
-        grey = pixels(r)
-        angle = skew_angle(grey)
-        return [(angle, skew_angle(straightened(grey, angle)) if abs(angle) > least else angle)]
-
-    return _each(rasters, one, "statement_id string, page int, angle double, left double")
+    return _each(rasters, lambda grey, scale: [angles(grey, least)], "statement_id string, page int, angle double, left double", render)
 
 
 def deskewed(rasters: DataFrame, least: float = 0.3) -> DataFrame:
-    """`rasters` with every page turned straight whose skew is more than `least` degrees, and that angle."""
+    """`rasters` with every page turned straight whose skew is more than `least` degrees, and that angle. A raster without
+    pixels stays as it is."""
+    schema = RASTERS + ", angle double"
 
-    def one(r):
-        grey = pixels(r)
-        angle = skew_angle(grey)
-        turned = abs(angle) > least
-        return [(r.width, r.height, r.scale, straightened(grey, angle).tobytes() if turned else r.grey, angle if turned else 0.0)]
-
-    return _each(rasters, one, RASTERS + ", angle double")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), PAGES):
+                part, out = batch.iloc[at : at + PAGES], []
+                for r in part.itertuples(index=False):
+                    grey = pixels(r)
+                    angle = skew_angle(grey)
+                    turned = abs(angle) > least
+                    out.append((r.statement_id, r.page, r.width, r.height, r.scale, straightened(grey, angle).tobytes() if turned else r.grey, angle if turned else 0.0))
+                yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
+
+    return rasters.select("statement_id", "page", "width", "height", "scale", "grey").mapInPandas(run, schema)

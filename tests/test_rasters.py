@@ -109,3 +109,38 @@ def test_skew_angles_joins_nothing(spark, tmp_path):
     found = scans.skew_angles(spark, str(tmp_path))
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, found.collect())) == [("0", -4.0, 0.0), ("1", -3.5, 0.0), ("2", -3.0, 0.0)]
+
+
+def tables(spark, folder, n=4):
+    flags = "element_at(array('R', 'A', 'N'), cast(id % 3 + 1 as int))"
+    spark.range(5 * n).selectExpr("id % cast({} as bigint) as l_orderkey".format(n), "id * 7 as l_partkey", "id * 31 as l_suppkey", "cast(id div {} as int) as l_linenumber".format(n), "id * 1.5d as l_extendedprice", f"{flags} as l_returnflag").write.parquet(f"{folder}/lineitem.parquet")
+
+
+def python_steps(found):
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    return plan.count("MapInArrow") + plan.count("MapInPandas"), "grey" in plan
+
+
+def test_dark_regions_are_found_where_pages_are_painted(spark, tmp_path):
+    """Pixels went from one Python step to another, 128 KB a page; now a page is painted and read in one."""
+    from tallyforge.plans import scans
+
+    tables(spark, tmp_path)
+    found = scans.dark_regions(spark, str(tmp_path))
+    assert python_steps(found) == (1, False)
+    rows = [(r, b) for r in scans.boxes(spark, str(tmp_path)).collect() for b in r["b"]]
+    want = sorted((r["statement_id"], 1, b["x"] / 2, b["y"] / 2, (b["x"] + w) / 2, b["y"] / 2 + 12) for r, b in rows for w in [b["w"] if b["f"] == "R" else b["w"] * 45 // 100] if b["f"] == "R" or b["f"] == "A" and w >= 40)
+    assert len(rows) == 20 and sorted(map(tuple, found.collect())) == want
+
+
+
+def test_stretches_and_counts_are_those_of_single_rows():
+    r = np.random.default_rng(3)
+    for width in (37, 64):
+        for _ in range(20):
+            grey = np.repeat((r.random((12, width)) < 0.3) * np.uint8(255), r.integers(1, 4, 12), axis=0)
+            dark = grey < 60
+            want = [(y, x, x + n) for y, row in enumerate(dark) for x in range(width) if row[x] and not (x and row[x - 1]) for n in [int(np.argmin(np.append(row[x:], False)))] if n >= 5]
+            assert sorted((y, a, b) for top, bottom, a, b in rasters.stretches(grey, 5, 60) for y in range(top, bottom)) == want
+            boxes = [tuple(int(v) for v in r.integers(-5, 45, 4)) for _ in range(200)]
+            assert rasters.dark_parts(grey, boxes[:2], 60) == rasters.dark_parts(dark, boxes)[:2]
