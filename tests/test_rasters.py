@@ -133,6 +133,19 @@ def test_dark_regions_are_found_where_pages_are_painted(spark, tmp_path):
     assert len(rows) == 20 and sorted(map(tuple, found.collect())) == want
 
 
+def test_occluded_words_are_looked_up_where_pages_are_painted(spark, tmp_path):
+    from tallyforge.plans import scans
+
+    tables(spark, tmp_path)
+    found = scans.occluded_words(spark, str(tmp_path))
+    assert python_steps(found) == (1, False)
+    want = sorted((r["statement_id"], b["n"], b["f"] == "R", True) for r in scans.boxes(spark, str(tmp_path)).collect() for b in r["b"])
+    assert sorted(map(tuple, found.collect())) == want
+    # a page without a sheet has no raster, and the others still meet their own
+    pages = scans.boxes(spark, str(tmp_path))
+    words = spark.createDataFrame([(k, 1, 1, 20.0, 20.0, 20.0, 8.0, "x") for k in "0x13"], "statement_id string, page int, word_idx int, x double, y double, width double, height double, text string")
+    assert {r["statement_id"]: r["scanned"] for r in rasters.occluded(words, pages, render=scans.paint).collect()} == {"0": True, "x": False, "1": True, "3": True}
+
 
 def test_stretches_and_counts_are_those_of_single_rows():
     r = np.random.default_rng(3)
