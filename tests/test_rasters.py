@@ -157,3 +157,35 @@ def test_stretches_and_counts_are_those_of_single_rows():
             assert sorted((y, a, b) for top, bottom, a, b in rasters.stretches(grey, 5, 60) for y in range(top, bottom)) == want
             boxes = [tuple(int(v) for v in r.integers(-5, 45, 4)) for _ in range(200)]
             assert rasters.dark_parts(grey, boxes[:2], 60) == rasters.dark_parts(dark, boxes)[:2]
+
+
+def test_ink_angle_is_the_plain_search():
+    r = np.random.default_rng(8)
+    for k in range(3):
+        grey = np.where(r.random((160, 203)) < 0.03, 0, 255).astype(np.uint8)
+        x = np.arange(20, 180)
+        for line in range(20, 140, 15):
+            grey[np.rint(line + (x - 100) * np.tan(np.radians((k - 1) * 2.35))).astype(int), x] = 0
+        y, x = np.nonzero(grey < rasters.INK)
+        best, score = 0.0, -1.0
+        for a in sorted((i * 0.05 for i in range(-100, 101)), key=lambda a: (abs(a), a)):
+            level = np.floor(y - x * np.tan(np.radians(a))).astype(int)
+            own = (np.bincount(level - level.min()).astype(float) ** 2).sum()
+            if own > score:
+                best, score = a, own
+        assert rasters.skew_angle(grey) == round(best, 2)
+
+
+def test_pictures_that_come_again_are_searched_once(spark, tmp_path):
+    """Every page was searched at 201 angles twice, its copies too, and its pixels went from one Python step to another."""
+    from tallyforge.plans import scans
+
+    rasters._angles.cache_clear()
+    page = np.full((60, 80), 255, dtype=np.uint8)
+    page[20:24] = 0
+    assert [rasters.angles(page.copy(), 0.3) for _ in range(5)] == [(0.0, 0.0)] * 5 and rasters._angles.cache_info().misses == 1
+    page[30:34] = 0
+    rasters.angles(page, 0.3), rasters.angles(page.T, 0.3)
+    assert rasters._angles.cache_info().misses == 3
+    spark.range(3).selectExpr("id as c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    assert python_steps(scans.skew_angles(spark, str(tmp_path))) == (1, False)
