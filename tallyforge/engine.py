@@ -147,22 +147,34 @@ def convert_words(spark: SparkSession, words: DataFrame, templates: dict[str, di
     chosen = chosen.unionByName(chosen.join(parts.select("statement_id", "part"), "statement_id").select(F.col("part").alias("statement_id"), "template_id"))
     printed = stored(facts.printed(text_of), "facts")
     ocr = words_of.groupBy("statement_id").agg(F.count_distinct(F.when(F.col("ocr_conf").isNotNull(), F.col("page"))).cast("int").alias("ocr_pages"), F.min("ocr_conf").alias("ocr_min_confidence"), F.max("page").alias("pages"))
+    # a file that may be a bundle is read as a whole only where one of its parts gives nothing
+    read = lambda keys: _read_words(words_of, keys, templates, printed, ocr.drop("pages"))
+    tx, counters, headers = read(chosen.join(parts.select("statement_id").distinct(), "statement_id", "left_anti"))
+    tx = stored(tx, "transactions")
+    failed = stored(parts.join(tx.select(F.col("statement_id").alias("part")).distinct(), "part", "left_anti").select("statement_id").distinct(), "unread")
+    if not failed.isEmpty():
+        tx, counters, headers = (a.unionByName(b) for a, b in zip((tx, counters, headers), read(chosen.join(failed, "statement_id", "left_semi"))))
+    layout = whole.select("statement_id", layout_signature(F.array_sort(F.array_distinct(F.filter(F.split(F.lower(F.substring_index("page_text", "\n", 12)), r"\s+"), lambda t: t.rlike("^[a-z]{3,}$"))))).alias("layout"))
+    several = _several(text, printed)
+    documents = ocr.join(several.select("statement_id", "multiple"), "statement_id")
+    out = _result(detection, tx, counters, headers, several, layout, documents, parts)
+    out.lines = text
+    return out
+
+
+def _read_words(words: DataFrame, keys: DataFrame, templates: dict[str, dict], printed: DataFrame, ocr: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Transactions, counters and headers of the words under `keys` (statement_id, template_id)."""
     tx, counters, headers = [], [], []
     for name, template in templates.items():
-        mine = chosen.where(F.col("template_id") == name).select("statement_id")
-        head = facts.with_printed(parse.header(mine, template).drop("ocr_pages", "ocr_min_confidence"), printed).join(ocr.drop("pages"), "statement_id", "left")
-        own = words_of.join(mine, "statement_id", "left_semi")
+        mine = keys.where(F.col("template_id") == name).select("statement_id")
+        head = facts.with_printed(parse.header(mine, template).drop("ocr_pages", "ocr_min_confidence"), printed).join(ocr, "statement_id", "left")
+        own = words.join(mine, "statement_id", "left_semi")
         pins = (template.get("table") or {}).get("metadata_regions") or {}
         if pins:
             head = pdf_table.with_pins(head, pdf_table.pinned(own, pins))
         part, count = pdf_table.transactions(own, template, head)
         tx.append(part), counters.append(count), headers.append(head)
-    layout = whole.select("statement_id", layout_signature(F.array_sort(F.array_distinct(F.filter(F.split(F.lower(F.substring_index("page_text", "\n", 12)), r"\s+"), lambda t: t.rlike("^[a-z]{3,}$"))))).alias("layout"))
-    several = _several(text, printed)
-    documents = ocr.join(several.select("statement_id", "multiple"), "statement_id")
-    out = _result(detection, _merged(tx), _merged(counters), _merged(headers), several, layout, documents, parts)
-    out.lines = text
-    return out
+    return _merged(tx), _merged(counters), _merged(headers)
 
 
 def form_results(results: DataFrame, lines: DataFrame, forms: dict[str, dict]) -> tuple[DataFrame, DataFrame]:

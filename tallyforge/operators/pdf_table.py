@@ -11,6 +11,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +19,7 @@ from .. import vocab
 from ..functions import dates, money, text
 from ..params import OCR_CELL_MIN_CONF
 from ..schema import coerce_core
+from ..storage import stored
 from . import geometry, labels
 from .rows import ACTIONABLE, has_amount, keep_row, row_code
 
@@ -126,10 +128,14 @@ def assembled(rows: DataFrame, merge: bool = True) -> DataFrame:
         return continued(page, markers) if merge else page
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come page by page; a page may go on in the next batch."""
+        """Rows come page by page; a page may go on in the next batch. Those of pages in order are handed on as they are."""
         page: list[dict] = []
         for batch in itertools.chain(batches, [None]):
             done: list[dict] = []
+            if batch is not None and pc.any(batch.column("in_order")).as_py():
+                plain, batch = batch.filter(batch.column("in_order")), batch.filter(pc.invert(batch.column("in_order")))
+                none = pa.array([False] * plain.num_rows, pa.bool_())
+                yield pa.RecordBatch.from_arrays([none if kinds.get(c) == pa.bool_() else plain.column(c).cast(kinds.get(c, pa.string())) for c in columns], columns)
             for r in batch.to_pylist() if batch is not None else [None]:
                 if page and (r is None or (r["statement_id"], r["page"]) != (page[-1]["statement_id"], page[-1]["page"])):
                     done += finished(page)
@@ -140,8 +146,18 @@ def assembled(rows: DataFrame, merge: bool = True) -> DataFrame:
 
     noise = text.is_summary_line(F.col("raw")) | text.is_summary_line(F.col("description")) | text.is_footer(F.col("raw"))
     names = ["statement_id", "page", "row", *CELLS, "raw", "y0", "y1", "h", "conf"]
-    dealt = rows.select(*names, F.coalesce(noise, F.lit(False)).alias("noise")).repartition("statement_id", "page").sortWithinPartitions("statement_id", "page", "row")
-    return dealt.mapInArrow(run, schema)
+    dealt = rows.select(*names, F.coalesce(noise, F.lit(False)).alias("noise")).withColumn("in_order", in_order())
+    return dealt.repartition("statement_id", "page").sortWithinPartitions("statement_id", "page", "row").mapInArrow(run, schema)
+
+
+def in_order() -> Column:
+    """Whether a row's page surely has nothing to join or merge: lines without a date, then nothing but whole transactions."""
+    page = Window.partitionBy("statement_id", "page")
+    figure = lambda c: F.coalesce(F.col(c).rlike("[0-9]"), F.lit(False))
+    undated = F.coalesce(F.col("date") == "", F.lit(True))
+    whole = F.coalesce(F.col("date").rlike("[0-9A-Za-z]"), F.lit(False)) & (figure("amount") | figure("debit") | figure("credit")) & ~F.col("noise")
+    above, below = F.max(F.when(~whole, F.col("row"))).over(page), F.min(F.when(whole, F.col("row"))).over(page)
+    return F.bool_and(undated | whole).over(page) & F.coalesce(above < below, F.lit(True))
 
 
 def year_context(headers: DataFrame, pages: DataFrame | None = None) -> DataFrame:
@@ -224,6 +240,7 @@ def transactions(words: DataFrame, template: dict, headers: DataFrame, pages: Da
     dated = F.col("__day").isNotNull() | F.col("__unresolved")
     keep = keep_row(F.col("__summary"), F.col("__cell"), dated, hidden_date, bool(table.get("keep_dateless_rows")))
     rows = rows.withColumns({"kept": keep | band, "forced": band & ~keep, "verdict": F.when(keep | band, "kept").otherwise(row_code(F.col("__summary"), F.col("__cell"), dated))})
+    rows = stored(rows, "rows")  # transactions and counters both read these: rows and dates are worked out once
     counters = rows.groupBy("statement_id").agg(
         F.lit(None).cast("int").alias("source_lines"), F.lit(None).cast("int").alias("multiline_extra"), F.count_if(~F.col("kept")).cast("int").alias("skipped_rows"), F.count("*").cast("int").alias("visual_rows"), F.count_if(F.col("verdict").isin(*ACTIONABLE)).cast("int").alias("actionable")
     )

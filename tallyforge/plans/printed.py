@@ -140,9 +140,8 @@ def bundle_transactions(spark, sf_dir):
     nothing of several statements is left unresolved; trust is shown where the file's own balances bear on it."""
     from ..engine import convert_words
 
-    source = bundle_words(spark, sf_dir)
-    found = convert_words(spark, source, {"bundle": BUNDLE})
-    pages = source.groupBy("statement_id").agg(F.max("page").alias("parts"), F.max((F.col("text").startswith("Opening")).cast("int")).alias("printed"))
+    found = convert_words(spark, bundle_words(spark, sf_dir), {"bundle": BUNDLE})
+    pages = found.lines.groupBy("statement_id").agg(F.max("page").alias("parts"), F.max((F.col("text").startswith("Opening")).cast("int")).alias("printed"))
     split = found.statements.select("statement_id").distinct().withColumn("split", F.lit(True))
     rows = found.transactions.join(pages, "statement_id").join(split, "statement_id", "left").join(found.reconciled.select("statement_id", "trust_level"), "statement_id")
     alone = F.col("split").isNotNull() | (F.col("parts") == 1)

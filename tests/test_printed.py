@@ -131,3 +131,51 @@ def test_header_facts_sort_the_lines_once(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "lead(" not in plan
     assert {r["statement_id"]: (r["opening_balance"], r["closing_balance"]) for r in found.collect()} == {"a": ("12.50", None), "b": (None, "7.00"), "c": (None, None)}
+
+
+def bundle(key, *parts):
+    """Words of a file with a page for each of `parts`: opening balance, closing balance, rows."""
+    out = []
+    for p, (opening, closing, rows) in enumerate(parts):
+        texts = [(10, 10, "Sample Bank"), (10, 30, "Page 1 of 1"), (10, 50, f"Opening balance {opening}"), (10, 70, f"Closing balance {closing}")]
+        texts += [(x, 100 + 20 * i, t) for i, row in enumerate(rows) for x, t in zip((10, 110, 310), row)]
+        out += [(key, p + 1, i, float(x), float(y), 30.0, 10.0, t, False, None) for i, (x, y, t) in enumerate(texts)]
+    return out
+
+
+def test_bundles_are_read_whole_only_where_a_part_is_empty(spark, monkeypatch):
+    """Every bundle was read twice, as a whole and by its parts, and its rows were worked out again for the counters."""
+    from tallyforge.operators import pdf_table
+    from tallyforge.plans import printed
+    from tallyforge.schema import WORDS
+
+    good = bundle("good", ("1.00", "3.00", [("01/02/2024", "a", "2.00")]), ("3.00", "7.00", [("02/02/2024", "b", "4.00")]))
+    half = bundle("half", ("1.00", "3.00", [("01/02/2024", "c", "2.00")]), ("3.00", "3.00", []))
+    seen, plain = [], pdf_table.transactions
+    monkeypatch.setattr(pdf_table, "transactions", lambda words, *more: seen.append({r[0] for r in words.select("statement_id").distinct().collect()}) or plain(words, *more))
+    found = engine.convert_words(spark, spark.createDataFrame(good + half, WORDS), {"bundle": printed.BUNDLE})
+    assert seen == [{f"{k}{split.CUT}{n}" for k in ("good", "half") for n in (1, 2)}, {"half"}]
+    assert sorted((r["statement_id"], r["row_id"], r["statement_index"], r["amount"]) for r in found.transactions.collect()) == [("good", 1, 1, 2.0), ("good", 2, 2, 4.0), ("half", 1, None, 2.0)]
+    assert sorted((r["statement_id"], r["statement_index"]) for r in found.statements.collect()) == [("good", 1), ("good", 2)]
+    assert {r["statement_id"]: r["row_count"] for r in found.results.collect()} == {"good": 2, "half": 1}
+
+
+def test_pages_in_order_pass_as_they_are(spark, monkeypatch):
+    """Every row of every page became a dictionary, also where nothing can be joined or merged."""
+    import random
+
+    from tallyforge.operators import pdf_table
+
+    r, rows = random.Random(4), []
+    for p in range(60):
+        for i in range(6):
+            whole = p % 3 == 0 and i > 1
+            cell = {"date": "01/02/2024" if whole else r.choice([None, "", "01/02/2024"]) if p % 3 else None, "amount": "5.00" if whole else r.choice([None, "7.00", "CR", " "]), "description": r.choice([None, "text", "Closing balance"]) if p % 3 else "text"}
+            rows.append(("s", p, i, *(cell.get(c) for c in pdf_table.CELLS), f"raw {i}", 10.0 * i, 10.0 * i + 8, 8.0, None))
+    schema = "statement_id string, page int, row int, " + ", ".join(f"{c} string" for c in pdf_table.CELLS) + ", raw string, y0 double, y1 double, h double, conf double"
+    pages = spark.createDataFrame(rows, schema)
+    ordered = {r["page"] for r in pages.withColumn("noise", F.lit(False)).withColumn("in_order", pdf_table.in_order()).where("in_order").collect()}
+    assert {p for p in range(60) if p % 3 == 0} <= ordered
+    got = sorted(map(repr, pdf_table.assembled(pages).collect()))
+    monkeypatch.setattr(pdf_table, "in_order", lambda: F.lit(False))
+    assert got == sorted(map(repr, pdf_table.assembled(pages).collect())) and len(got) > 200
